@@ -281,8 +281,9 @@ SQL["fill_low_rotation"] = base("filled") + f" SELECT {WEEKLY} FROM filled WHERE
 SQL["fill_high_rotation"] = base("filled") + f" SELECT {WEEKLY} FROM filled WHERE Forte_rotation"
 SQL["union_completed"] = (
     base("filled")
-    + f" SELECT {WEEKLY} FROM filled WHERE Forte_rotation UNION ALL"
-    f" SELECT product_id, {day()}, NULL, NULL, NULL, {MEASURES}, sales_date_weekly_number"
+    + f" SELECT product_id, {day()}, 'true' AS Forte_rotation, sales_week, sales_year, {MEASURES},"
+    " sales_date_weekly_number FROM filled WHERE Forte_rotation UNION ALL"
+    f" SELECT product_id, {day()}, 'none', -1, -1, {MEASURES}, sales_date_weekly_number"
     " FROM filled WHERE NOT Forte_rotation"
 )
 SQL["attach_attributes"] = (

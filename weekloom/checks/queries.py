@@ -190,7 +190,16 @@ def fill_high_rotation(spark, d):
 def union_completed(spark, d):
     base = prepared(spark, d)
     low = complete.rank_real_over_filler(base).drop("Table_name")
-    return tidy(complete.union_completed(low, complete.fill_high_rotation(base)))
+    both = complete.union_completed(low, complete.fill_high_rotation(base))
+    return tidy(
+        both.withColumns(
+            {
+                FLAG: F.coalesce(F.col(FLAG).cast("string"), F.lit("none")),
+                "sales_week": F.coalesce("sales_week", F.lit(-1)),
+                "sales_year": F.coalesce("sales_year", F.lit(-1)),
+            }
+        )
+    )
 
 
 @query

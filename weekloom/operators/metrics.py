@@ -56,8 +56,9 @@ def align(forecast: DataFrame, actual: DataFrame, first_pos: int) -> DataFrame:
 def trim_last_steps(df: DataFrame, steps: tuple[int, ...]) -> DataFrame:
     """Long (product, week, step, y): rows whose week still has a value ``step`` weeks later."""
     w = product_weeks()
-    rows = F.array(*[F.struct(F.lit(s).alias("step"), F.lead(QTY, s).over(w).alias("y")) for s in steps])
-    return df.select(KEY, GROUP, DAY, QTY, F.inline(rows)).where(F.col("y").isNotNull())
+    ahead = df.select(KEY, GROUP, DAY, QTY, *[F.lead(QTY, s).over(w).alias(f"_{s}") for s in steps])
+    rows = F.array(*[F.struct(F.lit(s).alias("step"), F.col(f"_{s}").alias("y")) for s in steps])
+    return ahead.select(KEY, GROUP, DAY, QTY, F.inline(rows)).where(F.col("y").isNotNull())
 
 
 def step_group_table(scores: DataFrame, metric: str, groups: list[str] | None = None) -> DataFrame:

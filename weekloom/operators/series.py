@@ -31,16 +31,19 @@ def previous_known(col: str) -> Column:
     return F.expr(f"lag(`{col}`) ignore nulls")
 
 
-def series_arrays(df: DataFrame, value: str, *extra: str) -> DataFrame:
-    """One row per product: number of weeks, first and last week, values in week order.
+def series_arrays(df: DataFrame, value: str, *extra: str, **aggregates: Column) -> DataFrame:
+    """One row per product: number of weeks, first and last week, values ``y`` in week order.
 
-    ``extra`` columns are product attributes that are kept (smallest value if they vary).
+    ``extra`` columns are attributes that are kept (smallest value if they vary); ``aggregates``
+    are further columns computed over the product's rows in the same pass.
     """
     cells = F.array_sort(F.collect_list(F.struct(DAY, F.col(value).cast("double").alias("value"))))
-    grouped = df.groupBy(KEY).agg(cells.alias("cells"), *[F.min(c).alias(c) for c in extra])
+    made = [F.min(c).alias(c) for c in extra] + [c.alias(n) for n, c in aggregates.items()]
+    grouped = df.groupBy(KEY).agg(cells.alias("cells"), *made)
     return grouped.select(
         KEY,
         *extra,
+        *aggregates,
         F.size("cells").alias("n"),
         F.col("cells")[0][DAY].alias("first_week"),
         F.element_at("cells", -1)[DAY].alias("last_week"),
