@@ -141,12 +141,13 @@ def multi_step_names(cfg: ForecastConfig) -> tuple[list[str], list[str]]:
     return [*STATIC_FEATURES, *made], [f"{QTY}_next_week_{k}" for k in cfg.steps]
 
 
-def multi_step_features(df: DataFrame, cfg: ForecastConfig) -> DataFrame:
+def multi_step_features(df: DataFrame, cfg: ForecastConfig, *keep: str) -> DataFrame:
     """Lags, differences, rolling means and one target per step, within each split.
 
     Train rows need every lag, and since each target is taken on the frame the previous one has
     already trimmed, the last 1 + 2 + ... (sum of the steps) rows of a product go too. Validation
     rows are all kept. One sort serves every window, as they share the partitioning and order.
+    Columns named in ``keep`` stay too.
     """
     features, targets = multi_step_names(cfg)
     w = product_weeks("split")
@@ -156,7 +157,7 @@ def multi_step_features(df: DataFrame, cfg: ForecastConfig) -> DataFrame:
     left = F.count("*").over(whole(w)) - F.row_number().over(w)
     ready = kept.withColumns(lead_columns(w, QTY, cfg.steps) | {"_left": left})
     ready = ready.where((F.col("split") == "valid") | (F.col("_left") >= sum(cfg.steps)))
-    return ready.select(KEY, DAY, "split", *features, *targets)
+    return ready.select(KEY, DAY, "split", *features, *targets, *keep)
 
 
 def window_samples(df: DataFrame, cfg: ForecastConfig, col: str = QTY) -> DataFrame:

@@ -31,13 +31,16 @@ def previous_known(col: str) -> Column:
     return F.expr(f"lag(`{col}`) ignore nulls")
 
 
-def series_arrays(df: DataFrame, value: str, *extra: str, **aggregates: Column) -> DataFrame:
+def series_arrays(
+    df: DataFrame, value: str, *extra: str, also: tuple[str, ...] = (), **aggregates: Column
+) -> DataFrame:
     """One row per product: number of weeks, first and last week, values ``y`` in week order.
 
-    ``extra`` columns are attributes that are kept (smallest value if they vary); ``aggregates``
-    are further columns computed over the product's rows in the same pass.
+    ``extra`` columns are attributes that are kept (smallest value if they vary); columns named in
+    ``also`` become arrays like ``y``; ``aggregates`` are computed over the product's rows.
     """
-    cells = F.array_sort(F.collect_list(F.struct(DAY, F.col(value).cast("double").alias("value"))))
+    values = [F.col(c).cast("double").alias(c) for c in also]
+    cells = F.array_sort(F.collect_list(F.struct(DAY, F.col(value).cast("double").alias("y"), *values)))
     made = [F.min(c).alias(c) for c in extra] + [c.alias(n) for n, c in aggregates.items()]
     grouped = df.groupBy(KEY).agg(cells.alias("cells"), *made)
     return grouped.select(
@@ -47,5 +50,6 @@ def series_arrays(df: DataFrame, value: str, *extra: str, **aggregates: Column)
         F.size("cells").alias("n"),
         F.col("cells")[0][DAY].alias("first_week"),
         F.element_at("cells", -1)[DAY].alias("last_week"),
-        F.col("cells.value").alias("y"),
+        F.col("cells.y").alias("y"),
+        *[F.col(f"cells.{c}").alias(c) for c in also],
     )

@@ -16,6 +16,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .appName("weekloom")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
@@ -38,14 +39,19 @@ def staging_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     For results that several later jobs read: the lineage is cut, the files outlive any
-    executor, and each reader prunes columns and pushes filters into Parquet.
+    executor, and each reader prunes columns and pushes filters into Parquet. With ``partition_by``
+    readers of one value skip the files of the others; the rows are rebalanced on it first, which
+    splits a value that holds a large share.
     """
     path = f"{staging_dir(df.sparkSession)}/weekloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if partition_by:
+        df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
+    else:
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
