@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weekloom.config import DAY, MEASURES, PRICE, ForecastConfig
+from weekloom.config import MEASURES, PRICE, ForecastConfig
 from weekloom.functions.weeks import week_first_day
 from weekloom.operators.complete import complete
 from weekloom.operators.outliers import replace_outliers, upper_limits
@@ -25,7 +25,7 @@ INTERIOR_GAP = ("2000-03-06", "2000-03-13", "2001-01-15")
 EDGE_GAP = ("1995-01-09",)
 
 
-def _once(build):
+def once(build):
     """Stage a shared input once per application and data folder."""
     made = lru_cache(maxsize=None)(lambda app, sf_dir: build(SparkSession.getActiveSession(), sf_dir))
     return lambda spark, sf_dir: made(spark.sparkContext.applicationId, sf_dir)
@@ -34,12 +34,12 @@ def _once(build):
 raw = raw_demand
 
 
-@_once
+@once
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(prepare(raw(spark, sf_dir), CFG), "prepared")
 
 
-@_once
+@once
 def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = prepared(spark, sf_dir)
     return stage(replace_outliers(complete(base), upper_limits(base, CFG)).drop("all_outliers"), "filtered")
@@ -72,5 +72,3 @@ def tidy(df: DataFrame, single: tuple[str, ...] = (PRICE,)) -> DataFrame:
         out.append(c.alias(f.name))
     return df.select(out)
 
-
-__all__ = ["CFG", "DAY", "EDGE_GAP", "INTERIOR_GAP", "filtered", "prepared", "raw", "tidy"]

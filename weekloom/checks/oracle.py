@@ -504,3 +504,117 @@ SQL["autocorrelation"] = (
     f" SELECT product_id, count(*) AS pairs, {num('CASE WHEN max(x) > min(x) AND max(z) > min(z) THEN corr(x, z) END', 'autocorrelation')}"
     " FROM pairs WHERE z IS NOT NULL GROUP BY product_id"
 )
+
+# --- forecasts and scores ------------------------------------------------------------------------------
+
+VALID_ORDER = "OVER (PARTITION BY product_id ORDER BY First_day)"
+NAIVE = (
+    ", valid AS (SELECT * FROM split WHERE split = 'valid'), naive AS ("
+    + " UNION ALL ".join(
+        f"SELECT 'naive' AS model, product_id, sis_group_id, First_day, {k} AS step,"
+        f" lead(total_qty, {k}) {VALID_ORDER} AS y, total_qty AS yhat FROM valid"
+        for k in STEPS_AHEAD
+    )
+    + "), naive_known AS (SELECT * FROM naive WHERE y IS NOT NULL)"
+)
+SQL["naive_forecast"] = (
+    base("split")
+    + NAIVE
+    + f" SELECT model, product_id, sis_group_id, {day()}, step, {num('y')}, {num('yhat')} FROM naive_known"
+)
+MEAN_OR_LAST = (
+    NUMBERED
+    + FULLER.replace("fuller_input", "filtered")
+    + f""", varied AS (SELECT product_id, {COV} AS cov FROM filtered GROUP BY product_id),
+    cuts AS (SELECT *, floor(0.85::DOUBLE * cnt) AS cut FROM numbered),
+    levels AS (SELECT product_id, avg(total_qty) AS mean, arg_max(total_qty, rn) AS last_value
+        FROM cuts WHERE rn <= cut GROUP BY product_id),
+    mean_or_last AS (SELECT 'arima_mean_or_last' AS model, product_id, sis_group_id, CAST(rn - cut AS INTEGER) AS step,
+        total_qty AS y, CASE WHEN stationary THEN mean ELSE last_value END AS yhat
+        FROM cuts JOIN levels USING (product_id) JOIN varied USING (product_id) JOIN fuller USING (product_id)
+        WHERE cov >= 1 AND rn > cut AND rn <= cut + 24)"""
+)
+SQL["arima_mean_or_last"] = (
+    base("split")
+    + MEAN_OR_LAST
+    + f" SELECT model, product_id, sis_group_id, step, {num('y')}, {num('yhat')} FROM mean_or_last"
+)
+RMSE = "sqrt(avg((y - yhat) * (y - yhat)))"
+WMAPE = "sum(abs(y - yhat)) / nullif(sum(abs(y)), 0)"
+SCORES = f"{num(RMSE, 'rmse')}, {num(WMAPE, 'wmape')}, count(*) AS n"
+
+
+def _levels(source: str, where: str = "true") -> str:
+    return (
+        f"SELECT model, CAST(sis_group_id AS VARCHAR) AS grp, step, {RMSE} AS rmse, {WMAPE} AS wmape, count(*) AS n"
+        f" FROM {source} WHERE {where} GROUP BY 1, 2, 3 UNION ALL"
+        f" SELECT model, 'total', step, {RMSE}, {WMAPE}, count(*) FROM {source} WHERE {where} GROUP BY 1, 3"
+    )
+
+
+SQL["metrics_total"] = base("split") + NAIVE + f" SELECT {SCORES} FROM naive_known"
+SQL["metrics_by_step"] = base("split") + NAIVE + f" SELECT step, {SCORES} FROM naive_known GROUP BY step"
+SQL["metrics_by_group_step"] = (
+    base("split")
+    + NAIVE
+    + f", levels_ AS ({_levels('naive_known')}) SELECT model, grp, step, {num('rmse')}, {num('wmape')}, n FROM levels_"
+)
+SQL["metrics_by_product"] = (
+    base("split") + MEAN_OR_LAST + f" SELECT product_id, {SCORES} FROM mean_or_last GROUP BY product_id"
+)
+SQL["step_group_table"] = (
+    base("split")
+    + NAIVE
+    + f", levels_ AS ({_levels('naive_known')}) SELECT 'step_' || step AS step, "
+    + ", ".join(num(f"max(wmape) FILTER (grp = '{g}')", f"group_{g}") for g in range(1, 7))
+    + f", {num("max(wmape) FILTER (grp = 'total')", 'total')} FROM levels_ GROUP BY step"
+)
+SQL["aligned_actuals"] = (
+    base("filtered")
+    + NUMBERED
+    + ", ends AS (SELECT product_id, total_qty AS yhat FROM numbered WHERE rn = 134)"
+    f" SELECT product_id, sis_group_id, CAST(rn - 134 AS INTEGER) AS step, {num('total_qty', 'y')}, {num('yhat')}"
+    " FROM numbered JOIN ends USING (product_id) WHERE rn - 134 IN (1, 2, 3, 4, 12, 24)"
+)
+SQL["model_leaderboard"] = (
+    base("split")
+    + NAIVE
+    + MEAN_OR_LAST
+    + ", stacked AS (SELECT model, sis_group_id, step, y, yhat FROM naive_known UNION ALL"
+    " SELECT model, sis_group_id, step, y, yhat FROM mean_or_last),"
+    f" levels_ AS ({_levels('stacked', 'step IN (1, 2, 3, 4, 12)')})"
+    f" SELECT model, grp, step, {num('rmse')}, {num('wmape')}, n,"
+    " CAST(rank() OVER (PARTITION BY grp, step ORDER BY rmse) AS INTEGER) AS place FROM levels_"
+)
+
+# --- Gram matrices -------------------------------------------------------------------------------------
+
+
+def _ridge_rows(chunk: int) -> str:
+    cols = ["1.0"] + [f"lag(total_qty, {k}) {P}" for k in (1, 2, 3, 4, 12, 26, 52)]
+    cols += ["CAST(sales_year AS DOUBLE)", "CAST(sales_week AS DOUBLE)"]
+    cols += [f"lead(total_qty, {k}) {P}" for k in range(chunk)]
+    return (
+        f"SELECT {chunk} AS design, product_id, t, unnest(z) AS v, CAST(generate_subscripts(z, 1) - 1 AS INTEGER) AS j"
+        f" FROM (SELECT product_id, rn - 1 AS t, [{', '.join(cols)}] AS z FROM numbered)"
+        f" WHERE t >= 52 AND t <= 100 - {chunk}"
+    )
+
+
+SQL["ridge_gram"] = (
+    base("filtered")
+    + NUMBERED
+    + f", cells AS ({' UNION ALL '.join(_ridge_rows(c) for c in (1, 2, 6, 12, 26))})"
+    f" SELECT a.design, a.j AS i, b.j AS j, {num('sum(a.v * b.v)', 's')} FROM cells a JOIN cells b"
+    " ON a.design = b.design AND a.product_id = b.product_id AND a.t = b.t AND a.j <= b.j GROUP BY 1, 2, 3"
+)
+SQL["var_gram"] = (
+    base("filtered")
+    + f""", s AS (SELECT product_id, avg(total_qty) AS mu, CASE WHEN stddev_pop(total_qty) = 0 THEN 1
+        ELSE stddev_pop(total_qty) END AS sd FROM filtered GROUP BY 1),
+    z AS (SELECT product_id, sis_group_id, CAST(row_number() {P} - 2 AS INTEGER) AS t,
+        (total_qty - lag(total_qty) {P}) / sd AS x FROM filtered JOIN s USING (product_id)),
+    kept AS (SELECT * FROM z WHERE t BETWEEN 0 AND 126)
+    SELECT a.sis_group_id, a.t AS i, b.t AS j, round(sum(a.x * b.x), 4) AS s
+    FROM kept a JOIN kept b ON a.product_id = b.product_id AND a.t <= b.t GROUP BY 1, 2, 3"""
+)

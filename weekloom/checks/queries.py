@@ -12,6 +12,7 @@ from weekloom.checks.inputs import (
     EDGE_GAP,
     INTERIOR_GAP,
     filtered,
+    once,
     prepared,
     raw,
     raw_text,
@@ -19,8 +20,9 @@ from weekloom.checks.inputs import (
     raw_without_weeks,
     tidy,
 )
-from weekloom.config import COUNTER, DAY, DISCOUNT, FLAG, GROUP, KEY, MEASURES, PRICE, QTY
+from weekloom.config import DAY, FLAG, GROUP, KEY, MEASURES, QTY
 from weekloom.functions.weeks import calendar_year, iso_week
+from weekloom.models import arima, forest, naive, ridge, stationarity, var, window
 from weekloom.operators import (
     calendar,
     complete,
@@ -35,7 +37,8 @@ from weekloom.operators import (
     variation,
 )
 from weekloom.operators.series import series_arrays
-from weekloom.plans import preparation
+from weekloom.plans import evaluation, preparation
+from weekloom.session import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -428,4 +431,153 @@ def autocorrelation(spark, d):
     return tidy(explore.autocorrelation(filtered(spark, d)))
 
 
-_ = (COUNTER, DISCOUNT, PRICE, metrics)
+# --- forecasts that SQL can follow exactly, and their scores ----------------------------------------
+
+
+def _naive(spark, d):
+    return naive.forecast_naive(filtered(spark, d), CFG)
+
+
+@query
+def naive_forecast(spark, d):
+    return tidy(_naive(spark, d))
+
+
+def _mean_or_last(spark, d):
+    df = filtered(spark, d)
+    return arima.mean_or_last_forecast(df, variation.dickey_fuller_lag0(df), CFG)
+
+
+@query
+def arima_mean_or_last(spark, d):
+    return tidy(_mean_or_last(spark, d))
+
+
+@query
+def metrics_total(spark, d):
+    return tidy(metrics.score(_naive(spark, d), []))
+
+
+@query
+def metrics_by_step(spark, d):
+    return tidy(metrics.score(_naive(spark, d), ["step"]))
+
+
+@query
+def metrics_by_group_step(spark, d):
+    return tidy(metrics.scores_by_group_and_total(_naive(spark, d), CFG.steps))
+
+
+@query
+def metrics_by_product(spark, d):
+    return tidy(metrics.score(_mean_or_last(spark, d), [KEY]))
+
+
+@query
+def step_group_table(spark, d):
+    scores = metrics.scores_by_group_and_total(_naive(spark, d), CFG.steps)
+    names = [str(g) for g in range(1, 7)]
+    table = metrics.step_group_table(scores, "wmape", [*names, "total"])
+    return tidy(table.select("step", *[F.col(f"`{g}`").alias(f"group_{g}") for g in names], "total"))
+
+
+@query
+def aligned_actuals(spark, d):
+    """Last train value against the actual values of the ARIMA test rows, joined by position."""
+    df = filtered(spark, d)
+    cut = int(CFG.train_share * CFG.keep_weeks)
+    train = features.share_split(df, CFG.train_share).where("part = 'train'")
+    last = train.groupBy(KEY).agg(F.max_by(QTY, DAY).alias("yhat"))
+    steps = F.explode(F.array(*[F.lit(s) for s in CFG.arima_steps])).alias("step")
+    return tidy(metrics.align(last.select(KEY, "yhat", steps), df, cut + 1))
+
+
+@query
+def model_leaderboard(spark, d):
+    """The two forecasters above ranked per group and step they share."""
+    shared = (1, 2, 3, 4, 12)
+    rows = _naive(spark, d).drop(DAY).unionByName(_mean_or_last(spark, d))
+    scores = metrics.scores_by_group_and_total(rows, shared)
+    return tidy(metrics.leaderboard(scores))
+
+
+# --- Gram matrices and models ------------------------------------------------------------------------
+
+
+@query
+def ridge_gram(spark, d):
+    series = ridge.ridge_series(filtered(spark, d))
+    sums = ridge.ridge_gram(series, CFG.keep_weeks, CFG.ridge_train, ridge.CHUNKS)
+    return tidy(sums)
+
+
+@query
+def var_gram(spark, d):
+    series = var.var_series(filtered(spark, d), CFG)
+    sums = var.var_gram(series, CFG.keep_weeks - CFG.var_test - 1)
+    return sums.withColumn("s", F.round("s", 4))
+
+
+@query
+def adf_test(spark, d):
+    return tidy(stationarity.adf_test(filtered(spark, d), CFG))
+
+
+@query
+def non_stationary_count(spark, d):
+    df = features.last_split(filtered(spark, d), CFG.var_test).where("part = 'train'")
+    return stationarity.non_stationary_count(df, CFG)
+
+
+@query
+def arima_search(spark, d):
+    return tidy(arima.search_forecast(filtered(spark, d), CFG))
+
+
+@query
+def ridge_grid(spark, d):
+    return tidy(ridge.search_ridge(filtered(spark, d), CFG))
+
+
+@query
+def forest_grid(spark, d):
+    return tidy(forest.search_forest(filtered(spark, d), CFG))
+
+
+# Forecasts are staged once, as the comparison of all models reads them again.
+arima_rows = once(lambda spark, d: stage(arima.forecast_arima(filtered(spark, d), CFG), "arima"))
+ridge_rows = once(lambda spark, d: stage(ridge.forecast_ridge(filtered(spark, d), CFG), "ridge"))
+forest_rows = once(lambda spark, d: stage(forest.forecast_forest(filtered(spark, d), CFG), "forest"))
+var_rows = once(lambda spark, d: stage(var.forecast_var(filtered(spark, d), CFG), "var"))
+window_rows = once(lambda spark, d: stage(window.forecast_window(filtered(spark, d), CFG), "window"))
+
+
+@query
+def arima_forecast(spark, d):
+    return tidy(arima_rows(spark, d))
+
+
+@query
+def ridge_lag_forecast(spark, d):
+    return tidy(ridge_rows(spark, d))
+
+
+@query
+def random_forest_forecast(spark, d):
+    return tidy(forest_rows(spark, d))
+
+
+@query
+def var_forecast(spark, d):
+    return tidy(var_rows(spark, d))
+
+
+@query
+def window_forecast(spark, d):
+    return tidy(window_rows(spark, d))
+
+
+@query
+def all_models_leaderboard(spark, d):
+    rows = [f(spark, d) for f in (arima_rows, ridge_rows, forest_rows, var_rows, window_rows)]
+    return tidy(evaluation.compare([_naive(spark, d), *rows], CFG))

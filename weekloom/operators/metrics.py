@@ -27,22 +27,32 @@ def score(forecast: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def scores_by_group_and_total(forecast: DataFrame, model: str) -> DataFrame:
-    """(model, grp, step, rmse, wmape, n): one row per group and step, and ``total`` per step.
+def scores_by_group_and_total(forecast: DataFrame, steps: tuple[int, ...]) -> DataFrame:
+    """(model, grp, step, rmse, wmape, n) at the given steps: one row per group, and ``total``.
 
-    Grouping sets give both levels in one aggregation.
+    Where a ``scope`` tells group models from one over all products, groups are scored on the
+    former and the total on the latter; otherwise the total is over the same rows. Grouping sets
+    give both levels in one aggregation.
     """
     err = F.col("y") - F.col("yhat")
-    rows = forecast.where(F.col("y").isNotNull() & F.col("yhat").isNotNull())
-    return (
-        rows.groupingSets([[GROUP, "step"], ["step"]], GROUP, "step")
-        .agg(
-            F.when(F.grouping(GROUP) == 1, "total").otherwise(F.col(GROUP).cast("string")).alias("grp"),
-            F.sqrt(F.avg(err * err)).alias("rmse"),
-            F.try_divide(F.sum(F.abs(err)), F.sum(F.abs("y"))).alias("wmape"),
-            F.count("*").alias("n"),
-        )
-        .select(F.lit(model).alias("model"), "grp", "step", "rmse", "wmape", "n")
+    known = forecast.where(F.col("step").isin(*steps) & F.col("y").isNotNull() & F.col("yhat").isNotNull())
+    if "scope" not in known.columns:
+        known = known.withColumn("scope", F.lit("both"))
+    keys = ["model", "scope", GROUP, "step"]
+    scored = known.groupingSets([keys, ["model", "scope", "step"]], *keys).agg(
+        F.grouping(GROUP).alias("is_total"),
+        F.sqrt(F.avg(err * err)).alias("rmse"),
+        F.try_divide(F.sum(F.abs(err)), F.sum(F.abs("y"))).alias("wmape"),
+        F.count("*").alias("n"),
+    )
+    wanted = F.when(F.col("is_total") == 1, "total").otherwise("group")
+    return scored.where((F.col("scope") == "both") | (F.col("scope") == wanted)).select(
+        "model",
+        F.when(F.col("is_total") == 1, "total").otherwise(F.col(GROUP).cast("string")).alias("grp"),
+        "step",
+        "rmse",
+        "wmape",
+        "n",
     )
 
 
