@@ -23,23 +23,20 @@ def _rows(columns: list[str], rows: list[tuple]) -> list[tuple]:
     return sorted(plain, key=repr)
 
 
+SPARK_TYPES = {"DOUBLE": "double", "BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "BOOLEAN": "boolean"}
+
+
 def difference(spark_df, con: duckdb.DuckDBPyConnection, sql: str) -> str | None:
     """None when equal, else what differs."""
-    got_cols = spark_df.columns
-    got = _rows(got_cols, [tuple(r) for r in spark_df.collect()])
-    res = con.execute(sql)
-    want_cols = [c[0] for c in res.description]
-    want = _rows(want_cols, res.fetchall())
-    if sorted(got_cols) != sorted(want_cols):
-        return f"columns {sorted(got_cols)} against {sorted(want_cols)}"
+    want_rel = con.sql(sql)
+    got_types = dict(spark_df.dtypes)
+    want_types = {c: SPARK_TYPES.get(str(t), str(t)) for c, t in zip(want_rel.columns, want_rel.types)}
+    if got_types != want_types:
+        return f"columns differ: {sorted(set(got_types.items()) ^ set(want_types.items()))}"
+    got = _rows(spark_df.columns, [tuple(r) for r in spark_df.collect()])
+    want = _rows(want_rel.columns, want_rel.fetchall())
     if len(got) != len(want):
         return f"{len(got)} rows against {len(want)}"
-    kinds = {c[0]: str(c[1]) for c in res.description}
-    names = {"DOUBLE": "double", "BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "BOOLEAN": "boolean"}
-    for name, kind in spark_df.dtypes:
-        if names.get(kinds[name].upper(), kinds[name]) not in (kind, "NUMBER", "STRING", "bool"):
-            if kinds[name] not in ("NUMBER", "STRING"):
-                return f"type of {name}: {kind} against {kinds[name]}"
     bad = [(g, w) for g, w in zip(got, want) if not _same(g, w)]
     return f"{len(bad)} of {len(got)} rows differ, first {bad[0]}" if bad else None
 
