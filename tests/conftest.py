@@ -7,9 +7,13 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from weekloom.session import local_session
 
-    session = local_session("4", shuffle_partitions=4, memory="8g")
+    folders = {
+        "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("staged")),
+    }
+    session = local_session("4", shuffle_partitions=4, memory="8g", conf=folders)
     yield session
     session.stop()

@@ -214,7 +214,6 @@ def test_whole_preparation_and_tables(spark, tmp_path):
     assert all(top[c] < limits[c] for c in MEASURES)
     assert clean(raw).count() == raw.count() - 1
 
-    spark.sql("drop table if exists DATA_TST")
     write_table(raw, cfg.table())
     build_tables(scan_demand(spark, cfg), cfg)
     assert sorted(map(tuple, scan_filtered(spark, cfg).select(clear.columns).collect())) == sorted(

@@ -618,3 +618,19 @@ SQL["var_gram"] = (
     SELECT a.sis_group_id, a.t AS i, b.t AS j, round(sum(a.x * b.x), 4) AS s
     FROM kept a JOIN kept b ON a.product_id = b.product_id AND a.t <= b.t GROUP BY 1, 2, 3"""
 )
+WINDOW_CELLS = ", ".join(
+    ["1.0"]
+    + [f"lead(x, {k}) {P}" for k in range(50)]
+    + [f"lead(x, {49 + k}) {P}" for k in STEPS_AHEAD]
+)
+SQL["window_gram"] = (
+    base("filtered")
+    + f""", s AS (SELECT product_id, avg(total_qty) AS mu, CASE WHEN stddev_pop(total_qty) = 0 THEN 1
+        ELSE stddev_pop(total_qty) END AS sd FROM filtered GROUP BY 1),
+    z AS (SELECT product_id, sis_group_id, First_day, (total_qty - mu) / sd AS x FROM filtered JOIN s USING (product_id)),
+    wide AS (SELECT product_id, sis_group_id, row_number() {P} - 1 AS w, [{WINDOW_CELLS}] AS v FROM z),
+    cells AS (SELECT product_id, sis_group_id, w, unnest(v) AS v, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS j
+        FROM wide WHERE w < 70)
+    SELECT a.sis_group_id, a.j AS i, b.j AS j, round(sum(a.v * b.v), 3) AS s
+    FROM cells a JOIN cells b ON a.product_id = b.product_id AND a.w = b.w AND a.j <= b.j GROUP BY 1, 2, 3"""
+)

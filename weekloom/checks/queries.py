@@ -36,7 +36,7 @@ from weekloom.operators import (
     scaling,
     variation,
 )
-from weekloom.operators.series import series_arrays
+from weekloom.operators.series import pivot_weeks, series_arrays
 from weekloom.plans import evaluation, preparation
 from weekloom.session import stage
 
@@ -358,7 +358,7 @@ def series_arrays_summary(spark, d):
 @query
 def pivot_week_group(spark, d):
     """Weeks by product groups; the six groups of the data as columns."""
-    wide = filtered(spark, d).groupBy(DAY).pivot(GROUP, list(range(1, 7))).agg(F.sum(QTY))
+    wide = pivot_weeks(filtered(spark, d), QTY, GROUP, list(range(1, 7)))
     return tidy(wide.select(DAY, *[F.col(f"`{g}`").alias(f"group_{g}") for g in range(1, 7)]))
 
 
@@ -518,6 +518,12 @@ def var_gram(spark, d):
     return sums.withColumn("s", F.round("s", 4))
 
 
+@query
+def window_gram(spark, d):
+    sums = window.window_gram(window.window_series(filtered(spark, d), CFG), CFG.keep_weeks, CFG)
+    return sums.withColumn("s", F.round("s", 3))
+
+
 @query
 def adf_test(spark, d):
     return tidy(stationarity.adf_test(filtered(spark, d), CFG))

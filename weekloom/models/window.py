@@ -50,18 +50,28 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, w: x * w), F.lit(0.0), lambda s, v: s + v)
 
 
+def window_series(history: DataFrame, cfg: ForecastConfig) -> DataFrame:
+    """Standard scores of each product as an array, with the mean and sigma for the way back."""
+    fit = F.col(DAY) < F.lit(cfg.split_date) if cfg.scale_fit_on == "train" else None
+    scaled = scale(history.select(KEY, DAY, GROUP, QTY), QTY, KEY, fit)
+    return series_arrays(scaled, QTY, GROUP, mu=F.min("mu"), sd=F.min("sd"))
+
+
+def window_gram(series: DataFrame, weeks: int, cfg: ForecastConfig) -> DataFrame:
+    """(sis_group_id, i, j, s), i <= j; columns: 1, the window's weeks, the targets."""
+    return gram(series, "y", weeks, {0: _windows(cfg, weeks)}, GROUP).drop("design")
+
+
 def forecast_window(history: DataFrame, cfg: ForecastConfig) -> DataFrame:
     """Forecasts of the last window, by a model per product group (``scope`` 'group') and one over
     all products ('total'). Inputs are standard scores per product; forecasts below zero become zero.
     """
-    fit = F.col(DAY) < F.lit(cfg.split_date) if cfg.scale_fit_on == "train" else None
-    scaled = scale(history.select(KEY, DAY, GROUP, QTY), QTY, KEY, fit)
-    series = stage(series_arrays(scaled, QTY, GROUP, mu=F.min("mu"), sd=F.min("sd")), "window-series")
+    series = stage(window_series(history, cfg), "window-series")
     weeks = series.agg(F.max("n")).first()[0] or 0
     if weeks < cfg.window + max(cfg.steps) + 1:
         raise ValueError(f"{weeks} weeks are too few for a window of {cfg.window} and {max(cfg.steps)} steps")
 
-    sums = stage(gram(series, "y", weeks, {0: _windows(cfg, weeks)}, GROUP), "window-gram")
+    sums = stage(window_gram(series, weeks, cfg), "window-gram")
     schema = f"{GROUP} bigint, step int, intercept double, weights array<double>"
     by_group = sums.groupBy(GROUP).applyInPandas(_solve(cfg), schema)
     overall = (

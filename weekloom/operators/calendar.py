@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.config import DAY, KEY, ForecastConfig
+from weekloom.config import DAY, ForecastConfig
 from weekloom.functions.weeks import weeks_between
 from weekloom.operators.fill import fill_weeks
 from weekloom.operators.series import product_weeks, whole
 
+WEEK = dt.timedelta(days=7)
+
 
 def _weeks(df: DataFrame) -> DataFrame:
     """One row with the sorted array of all weeks present.
@@ -34,77 +39,97 @@ def calendar_gaps(df: DataFrame) -> DataFrame:
     )
 
 
-def _missing(weeks: Column) -> Column:
-    return F.array_except(
-        weeks_between(F.element_at(weeks, 1), F.element_at(weeks, -1)), weeks
-    )
-
-
 def missing_weeks(df: DataFrame) -> DataFrame:
     """Weeks between the first and the last one that no product has."""
-    return _weeks(df).where(F.size("weeks") > 0).select(F.explode(_missing(F.col("weeks"))).alias(DAY))
+    w = F.col("weeks")
+    expected = weeks_between(F.element_at(w, 1), F.element_at(w, -1))
+    return _weeks(df).where(F.size(w) > 0).select(F.explode(F.array_except(expected, w)).alias(DAY))
+
+
+@dataclass(frozen=True)
+class WeekCalendar:
+    """First and last week after edge handling, and the weeks in between that nobody has."""
+
+    first: dt.date
+    last: dt.date
+    missing: tuple[dt.date, ...]
 
+    def oldest_kept(self, n: int) -> dt.date:
+        """First of the newest ``n`` weeks; after repair they are consecutive."""
+        return max(self.first, self.last - (n - 1) * WEEK)
 
-def week_calendar(rows: DataFrame, cfg: ForecastConfig) -> Column:
-    """Scalar struct of the calendar after edge handling.
+    def needed_from(self, n: int) -> dt.date:
+        """First week that can influence the newest ``n``: a repair looks at all of history."""
+        return self.first if self.missing else self.oldest_kept(n)
 
-    ``first`` and ``last`` week, the ``missing`` weeks in between, and ``needed_from``: the first
-    week that can influence the newest ``keep_weeks`` weeks (older rows matter only when a gap has
-    to be repaired). An isolated outermost week is left out with ``edge_gap="drop"``.
+
+def week_calendar(rows: DataFrame, cfg: ForecastConfig) -> WeekCalendar | None:
+    """Look the calendar up (one small row); None without rows.
+
+    With ``edge_gap="drop"`` an outermost week that is not next to another one is left out, on
+    either side, before interior gaps are listed. Knowing the weeks while the plan is built means
+    no repair step where nothing is missing, and plain filters that reach the scan.
     """
-    w = F.col("weeks")
-    n = F.size(w)
-    days_apart = lambda i, j: F.datediff(F.get(w, j), F.get(w, i))
-    drop = F.lit(cfg.edge_gap == "drop") & (n >= 3)
-    head = F.when(drop & (days_apart(F.lit(0), F.lit(1)) != 7), 1).otherwise(0)
-    tail = F.when(drop & (days_apart(n - 2, n - 1) != 7), 1).otherwise(0)
-    kept = _weeks(rows).select(F.slice(w, head + 1, n - head - tail).alias("weeks"))
-    first, last = F.get(w, F.lit(0)), F.get(w, n - 1)
-    missing = F.coalesce(_missing(w), F.array().cast("array<date>"))
-    newest = F.date_sub(last, 7 * (cfg.keep_weeks - 1))
-    return kept.select(
-        F.struct(
-            first.alias("first"),
-            last.alias("last"),
-            missing.alias("missing"),
-            F.when(F.size(missing) > 0, first).otherwise(F.greatest(first, newest)).alias("needed_from"),
-        )
-    ).scalar()
-
-
-def repair_missing_weeks(df: DataFrame, cfg: ForecastConfig, calendar: Column | None = None) -> DataFrame:
+    weeks = _weeks(rows).first()["weeks"]
+    if not weeks:
+        return None
+    if cfg.edge_gap == "drop" and len(weeks) >= 3:
+        head = weeks[1] - weeks[0] != WEEK
+        tail = weeks[-1] - weeks[-2] != WEEK
+        weeks = weeks[int(head) : len(weeks) - int(tail)]
+    span = range((weeks[-1] - weeks[0]) // WEEK + 1)
+    present = set(weeks)
+    missing = tuple(d for d in (weeks[0] + i * WEEK for i in span) if d not in present)
+    return WeekCalendar(weeks[0], weeks[-1], missing)
+
+
+def repair_missing_weeks(df: DataFrame, cfg: ForecastConfig, calendar: WeekCalendar | None = None) -> DataFrame:
     """Give every product a row in each week that is missing for all products.
 
     Products with at least ``gap_neighbour_weeks`` weeks get the mean of their nearest earlier and
     later row (a copy when only one exists); the others get a zero row. Without a gap the rows stay
-    as they are, but for an isolated outermost week. ``calendar`` may come from
-    ``week_calendar`` of the rows before merging, which saves a pass over the merged ones.
+    as they are, but for an isolated outermost week. ``calendar`` may come from the rows before
+    merging, which have the same weeks.
     """
-    cal = week_calendar(df, cfg) if calendar is None else calendar
+    calendar = calendar or week_calendar(df, cfg)
+    if calendar is None:
+        return df
+    kept = df.where(F.col(DAY).between(F.lit(calendar.first), F.lit(calendar.last)))
+    if not calendar.missing:
+        return kept
     w = product_weeks()
-    kept = df.where(F.col(DAY).between(cal["first"], cal["last"])).withColumns(
+    marked = kept.withColumns(
         {
-            "_missing": cal["missing"],
             "_neighbours": F.count("*").over(whole(w)) >= cfg.gap_neighbour_weeks,
             "_next_day": F.lead(DAY).over(w),
         }
     )
-    after = F.filter(
-        "_missing", lambda d: (d > F.col(DAY)) & (F.col("_next_day").isNull() | (d < F.col("_next_day")))
-    )
-    before = F.filter("_missing", lambda d: d < F.col(DAY))
-    return fill_weeks(kept, before, after, F.col("_neighbours")).select(df.columns)
+    missing = F.array(*[F.lit(d) for d in calendar.missing])
+    until = F.col("_next_day")
+    after = F.filter(missing, lambda d: (d > F.col(DAY)) & (until.isNull() | (d < until)))
+    before = F.filter(missing, lambda d: d < F.col(DAY))
+    return fill_weeks(marked, before, after, F.col("_neighbours")).select(df.columns)
 
 
-def last_n_weeks(df: DataFrame, n: int, calendar: Column | None = None) -> DataFrame:
+def last_n_weeks(df: DataFrame, n: int, calendar: WeekCalendar | None = None) -> DataFrame:
     """Rows of the newest ``n`` distinct weeks.
 
-    After repair the weeks are consecutive, so a given ``calendar`` yields the cut by arithmetic;
-    otherwise the distinct weeks of ``df`` are looked up.
+    A ``calendar`` stands for repaired rows and gives the cut by arithmetic; otherwise the distinct
+    weeks of ``df`` are looked up within the query.
     """
     if calendar is not None:
-        return df.where(F.col(DAY) >= F.date_sub(calendar["last"], 7 * (n - 1)))
+        return df.where(F.col(DAY) >= F.lit(calendar.oldest_kept(n)))
     oldest = _weeks(df).select(
         F.element_at("weeks", -F.least(F.lit(n), F.greatest(F.size("weeks"), F.lit(1)))).alias("oldest")
     )
     return df.where(F.col(DAY) >= oldest.scalar())
+
+
+def since(day: dt.date) -> Column:
+    """Rows from a week on, in a form the raw table can prune by.
+
+    The Monday of (year, week <= 53) lies in that year or just before it, so earlier years are out;
+    stated on the raw columns this skips partitions and row groups of a table kept by year.
+    """
+    years = (F.col("sales_year") >= day.year) | (F.col("sales_week") > 53)
+    return years & (F.col(DAY) >= F.lit(day))

@@ -30,27 +30,16 @@ def describe_measures(df: DataFrame) -> DataFrame:
 def attribute_hierarchy(df: DataFrame, cols: tuple[str, ...] = (KEY, *ATTRIBUTES)) -> DataFrame:
     """For each ordered pair of attributes: does a value of the first fix the second?
 
-    The data is first reduced to its distinct attribute tuples (partial aggregation); only those
-    are expanded to pairs.
+    The data is first reduced to its distinct attribute tuples (partial aggregation). Pairs
+    without the product come from the far fewer tuples that remain when it is left out.
     """
-    text = {c: F.col(c).cast("string") for c in cols}
-    pairs = [
-        F.struct(
-            F.lit(a).alias("attribute"),
-            F.lit(b).alias("dependent"),
-            text[a].alias("a"),
-            text[b].alias("b"),
-        )
-        for a, b in permutations(cols, 2)
-    ]
-    per_value = (
-        df.select(*cols)
-        .distinct()
-        .select(F.inline(F.array(*pairs)))
-        .distinct()
-        .groupBy("attribute", "dependent", "a")
-        .agg(F.count("b").alias("dependents"))
-    )
+    tuples = df.select(*cols).distinct()
+    others = [c for c in cols if c != KEY]
+    pairs = _value_pairs(tuples.select(*others).distinct(), list(permutations(others, 2)))
+    if KEY in cols:
+        with_key = [p for p in permutations(cols, 2) if KEY in p]
+        pairs = pairs.unionByName(_value_pairs(tuples, with_key))
+    per_value = pairs.groupBy("attribute", "dependent", "a").agg(F.count("b").alias("dependents"))
     return per_value.groupBy("attribute", "dependent").agg(
         F.count("*").alias("n_values"),
         F.max("dependents").alias("max_dependents"),
@@ -58,6 +47,20 @@ def attribute_hierarchy(df: DataFrame, cols: tuple[str, ...] = (KEY, *ATTRIBUTES
     )
 
 
+def _value_pairs(tuples: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Distinct value pairs (a, b) of each attribute pair."""
+    cells = [
+        F.struct(
+            F.lit(x).alias("attribute"),
+            F.lit(y).alias("dependent"),
+            F.col(x).cast("string").alias("a"),
+            F.col(y).cast("string").alias("b"),
+        )
+        for x, y in pairs
+    ]
+    return tuples.select(F.inline(F.array(*cells))).distinct()
+
+
 def measure_correlation(df: DataFrame) -> DataFrame:
     """Pearson correlation of each pair of measures, in one pass."""
     pairs = list(combinations([*MEASURES, COUNTER], 2))
@@ -94,7 +97,7 @@ def density_grid(df: DataFrame, col: str = QTY, points: int = 100) -> DataFrame:
     )
     scaled = values.withColumns({"u": (F.col("v") - F.col("lo")) / F.col("h"), "du": F.col("gap") / F.col("h")})
     sums = [
-        F.sum(F.col("k") * F.exp(-F.pow(F.col("u") - i * F.col("du"), F.lit(2.0)) / 2)).alias(f"s{i}")
+        F.sum(F.col("k") * F.exp((F.col("u") - i * F.col("du")) * (F.col("u") - i * F.col("du")) / -2)).alias(f"s{i}")
         for i in range(points)
     ]
     keep = [F.max(c).alias(c) for c in ("n", "h", "lo", "gap")]

@@ -17,19 +17,31 @@ def merge_duplicate_weeks(df: DataFrame) -> DataFrame:
     """One row per (product, week): summed quantity, discount and weekly number, mean price;
     the other columns come from the row with the smallest (sales_year, sales_week).
 
-    Every aggregate combines on the map side, so a product with very many rows sends at most one
-    row per week and map task through the shuffle. The minimum of the whole struct makes "first"
-    deterministic even if a (year, week) pair repeats.
+    Rows that agree in everything but the measures are summed first, on the map side and with plain
+    hash aggregation, as text is only a grouping key there. That bounds what a product sends to its
+    weeks, however many rows it has. What is left is partitioned by product, so that the merge of
+    the New Year halves and all later product windows share one shuffle and one sort.
     """
     rest = [c for c in df.columns if c not in (KEY, DAY, QTY, PRICE, DISCOUNT, COUNTER)]
-    order = ["sales_year", "sales_week"]
-    first = F.struct(*order, *[c for c in rest if c not in order])
-    merged = df.groupBy(KEY, DAY).agg(
+    same = df.groupBy(KEY, DAY, *rest).agg(
         F.sum(QTY).alias(QTY),
-        F.avg(PRICE).alias(PRICE),
+        F.sum(PRICE).alias("price_sum"),
+        F.count(PRICE).alias("price_rows"),
         F.sum(DISCOUNT).alias(DISCOUNT),
         F.sum(COUNTER).alias(COUNTER),
-        F.min(first).alias("first_row"),
+    )
+    order = ["sales_year", "sales_week"]
+    first = F.struct(*order, *[c for c in rest if c not in order])
+    merged = (
+        same.repartition(KEY)
+        .groupBy(KEY, DAY)
+        .agg(
+            F.sum(QTY).alias(QTY),
+            F.try_divide(F.sum("price_sum"), F.sum("price_rows")).alias(PRICE),
+            F.sum(DISCOUNT).alias(DISCOUNT),
+            F.sum(COUNTER).alias(COUNTER),
+            F.min(first).alias("first_row"),
+        )
     )
     return merged.select(
         *[F.col(f"first_row.{c}").alias(c) if c in rest else F.col(c) for c in df.columns]

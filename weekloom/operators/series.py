@@ -53,3 +53,11 @@ def series_arrays(
         F.col("cells.y").alias("y"),
         *[F.col(f"cells.{c}").alias(c) for c in also],
     )
+
+
+def pivot_weeks(df: DataFrame, value: str, by: str, values: list | None = None) -> DataFrame:
+    """Weeks as rows, the values of ``by`` as columns, sums as cells.
+
+    For few columns such as product groups; thousands of products stay in long form.
+    """
+    return df.groupBy(DAY).pivot(by, values).agg(F.sum(value))

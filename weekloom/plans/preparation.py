@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from weekloom.config import DAY, ForecastConfig
-from weekloom.operators.calendar import last_n_weeks, repair_missing_weeks, week_calendar
+from weekloom.config import ForecastConfig
+from weekloom.operators.calendar import last_n_weeks, repair_missing_weeks, since, week_calendar
 from weekloom.operators.complete import complete
 from weekloom.operators.merge import merge_duplicate_weeks
 from weekloom.operators.outliers import replace_outliers, upper_limits
@@ -29,14 +28,15 @@ def clean(raw: DataFrame) -> DataFrame:
 def prepare(raw: DataFrame, cfg: ForecastConfig) -> DataFrame:
     """Merged, calendar repaired, newest weeks only, rotation flagged, rare products gone.
 
-    The calendar is one scalar from a map-only pass over the raw rows. It drops weeks that cannot
-    matter before the first shuffle. Then there are two shuffles: pre-aggregated rows by (product,
-    week) for the merge, merged rows by product for every window that follows.
+    The calendar comes from a map-only pass over the raw rows; it tells which years the main pass
+    has to read at all. That one has two shuffles: pre-aggregated rows for the merge, then merged
+    rows by product for every window that follows.
     """
     rows = typed_rows(raw)
     calendar = week_calendar(rows, cfg)
-    merged = merge_duplicate_weeks(rows.where(F.col(DAY) >= calendar["needed_from"]))
-    repaired = repair_missing_weeks(merged, cfg, calendar)
+    if calendar is not None:
+        rows = rows.where(since(calendar.needed_from(cfg.keep_weeks)))
+    repaired = repair_missing_weeks(merge_duplicate_weeks(rows), cfg, calendar)
     recent = last_n_weeks(repaired, cfg.keep_weeks, calendar)
     return drop_rare_products(rotation_flag(recent, cfg), cfg)
 
