@@ -386,3 +386,18 @@ def test_series_keep_week_order(spark, data):
     df, series = data
     got = {r[KEY]: r["y"] for r in series_arrays(df.repartition(7), QTY).collect()}
     assert got == {p: y.tolist() for p, y in series.items()}
+
+
+def test_evaluation_saves_score_tables(spark, data):
+    from weekloom.plans.evaluation import evaluate
+    from weekloom.sources.tables import write_table
+
+    df, _ = data
+    cfg = replace(CFG, country="EVL")
+    write_table(df, cfg.table("Filtered"))
+    board = evaluate(spark, cfg, ("naive", "arima", "window"))
+    assert {r["model"] for r in board.collect()} == {"naive", "arima", "window"}
+    table = spark.table("RMSE_window_EVL")
+    assert table.columns == ["step", "0", "1", "total"]
+    assert {r["step"] for r in table.collect()} == {f"step_{s}" for s in cfg.steps}
+    assert {r["step"] for r in spark.table("WMAPE_arima_EVL").collect()} == {f"step_{s}" for s in cfg.arima_steps}

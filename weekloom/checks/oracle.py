@@ -407,7 +407,7 @@ SQL["window_samples"] = (
     + ", ".join(num(f"target_{s}") for s in STEPS_AHEAD)
     + " FROM frames WHERE rn - 1 <= cnt - 50 - 26"
 )
-SQL["series_arrays_summary"] = (
+SQL["series_arrays"] = (
     base("filtered")
     + f" SELECT product_id, CAST(count(*) AS INTEGER) AS n, {day('min(First_day)', 'first_week')},"
     f" {day('max(First_day)', 'last_week')}, {num('arg_min(total_qty, First_day)', 'y_first')},"

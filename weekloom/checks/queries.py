@@ -36,7 +36,8 @@ from weekloom.operators import (
     scaling,
     variation,
 )
-from weekloom.operators.series import pivot_weeks, series_arrays
+from weekloom.operators.series import pivot_weeks
+from weekloom.operators.series import series_arrays as arrays_per_product
 from weekloom.plans import evaluation, preparation
 from weekloom.session import stage
 
@@ -340,8 +341,9 @@ def window_samples(spark, d):
 
 
 @query
-def series_arrays_summary(spark, d):
-    df = series_arrays(filtered(spark, d), QTY)
+def series_arrays(spark, d):
+    """The arrays by their length, ends and sum."""
+    df = arrays_per_product(filtered(spark, d), QTY)
     return tidy(
         df.select(
             KEY,
@@ -531,8 +533,12 @@ def adf_test(spark, d):
 
 @query
 def non_stationary_count(spark, d):
+    """Train weeks before and after taking first differences."""
     df = features.last_split(filtered(spark, d), CFG.var_test).where("part = 'train'")
-    return stationarity.non_stationary_count(df, CFG)
+    changes = features.first_difference(df)
+    before = stationarity.non_stationary_count(df, CFG).withColumn("of", F.lit("level"))
+    after = stationarity.non_stationary_count(changes, CFG, f"diff_{QTY}").withColumn("of", F.lit("difference"))
+    return before.unionByName(after)
 
 
 @query

@@ -37,7 +37,8 @@ def _fill(rows: DataFrame, span: Column) -> DataFrame:
     until = F.coalesce(F.date_sub(F.col("_next_day"), 7), F.col("_to"))
     after = weeks_between(F.date_add(F.col(DAY), 7), until)
     before = weeks_between(F.col("_from"), F.date_sub(F.col(DAY), 7))
-    return fill_weeks(ready, before, after, F.col(FLAG))
+    steady = tuple(c for c in rows.columns if c in (FLAG, "newest"))
+    return fill_weeks(ready, before, after, F.col(FLAG), steady)
 
 
 def _low_week_parts(df: DataFrame) -> DataFrame:

@@ -14,67 +14,57 @@ from weekloom.functions.weeks import calendar_year, iso_week
 from weekloom.operators.series import product_weeks, whole
 
 
-def fill_weeks(df: DataFrame, before: Column, after: Column, neighbours: Column) -> DataFrame:
+def fill_weeks(
+    df: DataFrame, before: Column, after: Column, neighbours: Column, steady: tuple[str, ...] = ()
+) -> DataFrame:
     """All rows of ``df`` plus filler rows.
 
     ``after`` holds the weeks to add between a row and the product's next row (or after its last
     one), ``before`` those ahead of its first row. Where ``neighbours`` is true a filler is the mean
     of the rows around it, or a copy when only one side exists; the averaged weekly number is
-    rounded half to even. Elsewhere a filler is zero, with the remaining columns of the newest row.
-    Week number and year of a filler are the ISO week and the calendar year of its day.
+    rounded half to even. Elsewhere a filler is zero, with the remaining columns of the newest row
+    (``steady`` ones do not vary within a product). Week number and year of a filler are the ISO week
+    and the calendar year of its day. Columns named with a leading underscore are dropped.
     """
-    # The key stays outside the exploded struct, so the product partitioning survives.
-    cols = [c for c in df.columns if not c.startswith("_") and c != KEY]
+    cols = [c for c in df.columns if not c.startswith("_")]
+    values = [*MEASURES, COUNTER]
+    derived = [KEY, DAY, "sales_week", "sales_year", *values]
+    varying = [c for c in cols if c not in derived and c not in steady]
     w = product_weeks()
-    row = F.struct(*cols)
-    ahead = df.withColumns(
-        {
-            "_row": row,
-            "_next": F.lead(row).over(w),
-            "_newest": F.last(row).over(whole(w)),
-            "_first": F.row_number().over(w) == 1,
-            "_before": before,
-            "_after": after,
-            "_use": neighbours,
-        }
+    ahead = {
+        "_next": F.lead(F.struct(*values)).over(w),
+        "_first": F.row_number().over(w) == 1,
+        "_use": neighbours,
+    }
+    if varying:
+        ahead["_newest"] = F.last(F.struct(*varying)).over(whole(w))
+    days = F.concat(
+        F.array(DAY), after, F.when(F.col("_first"), before).otherwise(F.array().cast("array<date>"))
     )
+    # The key is passed through untouched, so the product partitioning survives the explosion.
+    rows = df.withColumns(ahead).withColumn("_day", F.explode(days))
+
+    day, own, use = F.col("_day"), F.col("_day") == F.col(DAY), F.col("_use")
+    between = (day > F.col(DAY)) & F.col("_next").isNotNull()
 
     def blank(name: str) -> Column:
         return F.lit(0).cast(df.schema[name].dataType)
 
-    def filler(day: Column, prev: Column, nxt: Column) -> Column:
-        """``prev`` or ``nxt`` may be null, not both."""
-        prev, nxt = F.coalesce(prev, nxt), F.coalesce(nxt, prev)
-        fields = []
-        for c in cols:
-            if c == DAY:
-                value = day
-            elif c == "sales_week":
-                value = iso_week(day)
-            elif c == "sales_year":
-                value = calendar_year(day)
-            elif c in MEASURES:
-                value = F.when(F.col("_use"), (prev[c] + nxt[c]) / 2).otherwise(blank(c))
-            elif c == COUNTER:
-                mean = F.bround((prev[c] + nxt[c]) / 2, 0).cast("bigint")
-                value = F.when(F.col("_use"), mean).otherwise(blank(c))
-            else:
-                value = F.when(F.col("_use"), prev[c]).otherwise(F.col("_newest")[c])
-            fields.append(value.cast(df.schema[c].dataType).alias(c))
-        return F.struct(*fields)
-
-    nothing = F.lit(None)
-    leading = F.when(
-        F.col("_first"),
-        F.transform("_before", lambda d: filler(d, nothing.cast(row_type(df, cols)), F.col("_row"))),
-    )
-    trailing = F.transform("_after", lambda d: filler(d, F.col("_row"), F.col("_next")))
-    rows = F.concat(
-        F.array("_row"), trailing, F.coalesce(leading, F.array().cast(f"array<{row_type(df, cols)}>"))
-    )
-    return ahead.select(KEY, F.inline(rows))
-
+    def cell(name: str) -> Column:
+        col = F.col(name)
+        if name == KEY:
+            return col
+        if name == DAY:
+            return day
+        if name == "sales_week":
+            return F.when(own, col).otherwise(iso_week(day))
+        if name == "sales_year":
+            return F.when(own, col).otherwise(calendar_year(day))
+        if name in values:
+            mean = (col + F.col("_next")[name]) / 2
+            if name == COUNTER:
+                mean = F.bround(mean, 0).cast("bigint")
+            return F.when(own | (use & ~between), col).when(use, mean).otherwise(blank(name))
+        return F.when(own | use, col).otherwise(F.col("_newest")[name]) if name in varying else col
 
-def row_type(df: DataFrame, cols: list[str]) -> str:
-    """DDL type of the struct of ``cols``."""
-    return "struct<" + ",".join(f"`{c}`:{df.schema[c].dataType.simpleString()}" for c in cols) + ">"
+    return rows.select(*[cell(c).alias(c) for c in cols])
