@@ -53,7 +53,7 @@ def _predict(rows: DataFrame, features: list[str], targets: list[str], trees: in
 
 
 def forecast_forest(
-    history: DataFrame, cfg: ForecastConfig, trees: int = TREES, parallelism: int = 4, scopes=("group", "total")
+    history: DataFrame, cfg: ForecastConfig, trees: int = TREES, parallelism: int = 6, scopes=("group", "total")
 ) -> DataFrame:
     """From every validation week: forecasts by the forest of the product's group (``scope``
     'group') and by the one over all products ('total'), back in original units.
