@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weekloom.config import MEASURES, QTY, ForecastConfig
 from weekloom.functions.encode import class_number, yes_no
 from weekloom.functions.weeks import week_first_day
-from weekloom.operators.calendar import calendar_gaps, last_n_weeks, missing_weeks, repair_missing_weeks
+from weekloom.operators.calendar import calendar_gaps, last_n_weeks, missing_weeks, repair_missing_weeks, week_calendar
 from weekloom.operators.complete import (
     attach_attributes,
     complete,
@@ -189,9 +189,10 @@ def test_outlier_limit_uses_population_sigma(spark):
     assert limit == pytest.approx(2 + 3 * 1)
 
 
-def raw_rows(spark):
-    cells = [(1, w, 5 + w % 3) for w in range(40)] + [(2, w, 2) for w in range(0, 40, 3)] + [(3, 4, 1)]
-    cells += [(1, 39, 500)]
+def raw_rows(spark, cells=None):
+    if cells is None:
+        cells = [(1, w, 5 + w % 3) for w in range(40)] + [(2, w, 2) for w in range(0, 40, 3)] + [(3, 4, 1)]
+        cells += [(1, 39, 500)]
     df = demand(spark, cells)
     # week numbers of the calendar that starts in the week of January 1
     jan1 = F.trunc("First_day", "year")
@@ -228,6 +229,36 @@ def test_whole_preparation_and_tables(spark, tmp_path):
     assert "Exchange" not in windows._jdf.queryExecution().executedPlan().toString()
 
 
+def test_years_are_pruned_in_the_scan(spark, tmp_path):
+    cells = [(p, w, w) for p in (1, 2) for w in range(160)]
+    rows = raw_rows(spark, cells)
+    rows.write.partitionBy("sales_year").parquet(str(tmp_path / "raw"))
+    raw = with_first_day(spark.read.schema(DEMAND_SCHEMA).parquet(str(tmp_path / "raw")))
+    calendar = week_calendar(raw, CFG)
+    assert (calendar.first, calendar.last, calendar.missing) == (monday(0), monday(159), ())
+    df = raw.where(calendar.needed(30))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(sales_year" in plan and ">= 2022)" in plan
+    assert values(df) == values(raw.where(F.col("First_day") >= F.lit(monday(130))))
+    # week numbers beyond 53 reach into later years and must not be lost
+    odd = raw.withColumns({"sales_year": F.col("sales_year") - 1, "sales_week": F.col("sales_week") + 52})
+    odd = with_first_day(odd)
+    kept = odd.where(week_calendar(odd, CFG).needed(30))
+    assert kept.select("First_day").distinct().count() == 30
+
+
+def test_a_product_with_most_rows_is_reduced_before_the_shuffle(spark):
+    cells = [(1, w, 1) for w in range(12)] * 300 + [(p, w, 1) for p in range(2, 8) for w in range(12)]
+    df = demand(spark, cells).repartition(4)
+    merged = merge_duplicate_weeks(df)
+    got = values(merged)
+    assert got[1, 3] == 300.0 and got[5, 3] == 1.0 and len(got) == 7 * 12
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.rindex("Exchange hashpartitioning(product_id") :]
+    assert "HashAggregate" in below  # partial sums under the first shuffle
+    assert values(prepare(df.drop("First_day"), CFG))[1, 3] == 300.0
+
+
 def test_one_shuffle_by_product_after_the_merge(spark):
     plan = prepare(raw_rows(spark), CFG)._jdf.queryExecution().executedPlan().toString()
     main = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]

@@ -61,14 +61,15 @@ def raw_without_weeks(spark: SparkSession, sf_dir: str, weeks: tuple[str, ...])
 
 def tidy(df: DataFrame, single: tuple[str, ...] = (PRICE,)) -> DataFrame:
     """Comparable output: days as text, doubles to six decimals. ``single`` columns go to single
-    precision instead: unit prices have decimal ties that two engines may round apart."""
+    precision instead: unit prices have decimal ties that two engines may round apart. Adding zero
+    turns -0.0 into 0.0."""
     out = []
     for f in df.schema:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.DateType):
             c = c.cast("string")
         elif isinstance(f.dataType, T.DoubleType):
-            c = c.cast("float").cast("double") if f.name in single else F.round(c, 6)
+            c = (c.cast("float").cast("double") if f.name in single else F.round(c, 6)) + F.lit(0.0)
         out.append(c.alias(f.name))
     return df.select(out)
 

@@ -129,12 +129,13 @@ def base(*last: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({STEPS[n]})" for n in names[: upto + 1])
 
 
+# Adding zero below turns -0.0 into 0.0.
 def num(expr: str, name: str | None = None) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 6) AS {name or expr}"
+    return f"round(CAST({expr} AS DOUBLE), 6) + 0.0::DOUBLE AS {name or expr}"
 
 
 def single(expr: str, name: str | None = None) -> str:
-    return f"CAST(CAST({expr} AS FLOAT) AS DOUBLE) AS {name or expr}"
+    return f"CAST(CAST({expr} AS FLOAT) AS DOUBLE) + 0.0::DOUBLE AS {name or expr}"
 
 
 def day(expr: str = "First_day", name: str | None = None) -> str:
@@ -615,7 +616,7 @@ SQL["var_gram"] = (
     z AS (SELECT product_id, sis_group_id, CAST(row_number() {P} - 2 AS INTEGER) AS t,
         (total_qty - lag(total_qty) {P}) / sd AS x FROM filtered JOIN s USING (product_id)),
     kept AS (SELECT * FROM z WHERE t BETWEEN 0 AND 126)
-    SELECT a.sis_group_id, a.t AS i, b.t AS j, round(sum(a.x * b.x), 4) AS s
+    SELECT a.sis_group_id, a.t AS i, b.t AS j, round(sum(a.x * b.x), 4) + 0.0::DOUBLE AS s
     FROM kept a JOIN kept b ON a.product_id = b.product_id AND a.t <= b.t GROUP BY 1, 2, 3"""
 )
 WINDOW_CELLS = ", ".join(
@@ -631,6 +632,6 @@ SQL["window_gram"] = (
     wide AS (SELECT product_id, sis_group_id, row_number() {P} - 1 AS w, [{WINDOW_CELLS}] AS v FROM z),
     cells AS (SELECT product_id, sis_group_id, w, unnest(v) AS v, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS j
         FROM wide WHERE w < 70)
-    SELECT a.sis_group_id, a.j AS i, b.j AS j, round(sum(a.v * b.v), 3) AS s
+    SELECT a.sis_group_id, a.j AS i, b.j AS j, round(sum(a.v * b.v), 3) + 0.0::DOUBLE AS s
     FROM cells a JOIN cells b ON a.product_id = b.product_id AND a.w = b.w AND a.j <= b.j GROUP BY 1, 2, 3"""
 )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from weekloom.config import DAY, GROUP, KEY, QTY, ForecastConfig
 from weekloom.operators.features import STATIC_FEATURES, multi_step_features, multi_step_names, one_step_features
 from weekloom.operators.scaling import impute_mean, scale
-from weekloom.session import stage
+from weekloom.session import stage, stage_all
 
 TREES = 100
 DEPTH = 10
@@ -58,14 +58,17 @@ def forecast_forest(
     """From every validation week: forecasts by the forest of the product's group (``scope``
     'group') and by the one over all products ('total'), back in original units.
 
-    Each forest trains distributed, so a group of any size is fine; ``parallelism`` forests are
-    submitted at a time, as in cross validation. A reader of one group skips the other files.
+    Each forest trains distributed, so a group of any size is fine; the forests of the
+    ``parallelism`` steps are submitted together, as in cross validation. A reader of one group
+    skips the files of the others, and the forecasts of a group are written before the next one.
     """
+    return stage_all(_group_forecasts(history, cfg, trees, parallelism, scopes), "forest-forecast")
+
+
+def _group_forecasts(history: DataFrame, cfg: ForecastConfig, trees: int, parallelism: int, scopes):
     features, targets = multi_step_names(cfg)
     fit_rows = F.col(DAY) < F.lit(cfg.split_date) if cfg.scale_fit_on == "train" else None
-    pool = ThreadPool(parallelism)
-    parts = []
-    try:
+    with ThreadPool(parallelism) as pool:
         for scope in scopes:
             by = GROUP if scope == "group" else None
             scaled = scale(history, QTY, by, fit_rows)
@@ -75,10 +78,7 @@ def forecast_forest(
             groups = [r[0] for r in frame.select("grp").distinct().orderBy("grp").collect()] if by else [None]
             for g in groups:
                 rows = frame if g is None else frame.where(F.col("grp") == g)
-                parts.append(_long(_predict(rows, features, targets, trees, pool), scope, cfg))
-    finally:
-        pool.close()
-    return reduce(DataFrame.unionByName, parts)
+                yield _long(_predict(rows, features, targets, trees, pool), scope, cfg)
 
 
 def _long(predicted: DataFrame, scope: str, cfg: ForecastConfig) -> DataFrame:

@@ -86,7 +86,8 @@ def forecast_window(history: DataFrame, cfg: ForecastConfig) -> DataFrame:
     models = stage(by_group.groupBy(GROUP).agg(pack("group").alias("own")), "window-models")
     last = F.slice("y", F.col("n") - max(cfg.steps) - cfg.window + 1, cfg.window)
     ready = series.withColumns({"x": last, "shared": total.agg(pack("total")).scalar()})
-    rows = join_small(ready, models, GROUP).select(
+    # Six weight vectors per group, some 3 kB.
+    rows = join_small(ready, models, GROUP, max_rows=10_000).select(
         KEY, GROUP, "mu", "sd", "n", "y", "x", F.inline(F.concat("own", "shared"))
     )
     level = _dot(F.col("x"), F.col("m.weights")) + F.col("m.intercept")

@@ -48,11 +48,13 @@ def missing_weeks(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class WeekCalendar:
-    """First and last week after edge handling, and the weeks in between that nobody has."""
+    """First and last week after edge handling, the weeks in between that nobody has, and the
+    largest week number."""
 
     first: dt.date
     last: dt.date
     missing: tuple[dt.date, ...]
+    largest_number: int = 53
 
     def oldest_kept(self, n: int) -> dt.date:
         """First of the newest ``n`` weeks; after repair they are consecutive."""
@@ -62,6 +64,17 @@ class WeekCalendar:
         """First week that can influence the newest ``n``: a repair looks at all of history."""
         return self.first if self.missing else self.oldest_kept(n)
 
+    def needed(self, n: int) -> Column:
+        """Filter for those weeks, in a form the raw table can prune by.
+
+        Weeks up to 53 begin in their year or just before it (larger numbers may reach later
+        years), so earlier years are out. Stated on the raw column alone, this skips partitions
+        and row groups of a table kept by year.
+        """
+        day = self.needed_from(n)
+        reach = 7 * (self.largest_number - 1) // 365
+        return (F.col("sales_year") >= day.year - reach) & (F.col(DAY) >= F.lit(day))
+
 
 def week_calendar(rows: DataFrame, cfg: ForecastConfig) -> WeekCalendar | None:
     """Look the calendar up (one small row); None without rows.
@@ -70,7 +83,8 @@ def week_calendar(rows: DataFrame, cfg: ForecastConfig) -> WeekCalendar | None:
     either side, before interior gaps are listed. Knowing the weeks while the plan is built means
     no repair step where nothing is missing, and plain filters that reach the scan.
     """
-    weeks = _weeks(rows).first()["weeks"]
+    row = rows.agg(F.array_sort(F.collect_set(DAY)).alias("weeks"), F.max("sales_week").alias("number")).first()
+    weeks = row["weeks"]
     if not weeks:
         return None
     if cfg.edge_gap == "drop" and len(weeks) >= 3:
@@ -80,7 +94,7 @@ def week_calendar(rows: DataFrame, cfg: ForecastConfig) -> WeekCalendar | None:
     span = range((weeks[-1] - weeks[0]) // WEEK + 1)
     present = set(weeks)
     missing = tuple(d for d in (weeks[0] + i * WEEK for i in span) if d not in present)
-    return WeekCalendar(weeks[0], weeks[-1], missing)
+    return WeekCalendar(weeks[0], weeks[-1], missing, row["number"])
 
 
 def repair_missing_weeks(df: DataFrame, cfg: ForecastConfig, calendar: WeekCalendar | None = None) -> DataFrame:
@@ -124,12 +138,3 @@ def last_n_weeks(df: DataFrame, n: int, calendar: WeekCalendar | None = None) ->
     )
     return df.where(F.col(DAY) >= oldest.scalar())
 
-
-def since(day: dt.date) -> Column:
-    """Rows from a week on, in a form the raw table can prune by.
-
-    The Monday of (year, week <= 53) lies in that year or just before it, so earlier years are out;
-    stated on the raw columns this skips partitions and row groups of a table kept by year.
-    """
-    years = (F.col("sales_year") >= day.year) | (F.col("sales_week") > 53)
-    return years & (F.col(DAY) >= F.lit(day))

@@ -57,8 +57,10 @@ def gram(df: DataFrame, column: str, width: int, designs: dict[int, Design], key
         for batch in batches:
             y = matrix_of(batch.column(column), width)
             keys = batch.column(key).to_numpy(zero_copy_only=False) if key else np.zeros(len(y))
-            for k in np.unique(keys):
-                block = y[keys == k]
+            order = np.argsort(keys, kind="stable")
+            found, starts = np.unique(keys[order], return_index=True)
+            for k, rows in zip(found, np.split(order, starts[1:])):
+                block = y[rows]
                 for lo in range(0, len(block), SERIES_PER_STEP):
                     for name in names:
                         z = designs[name](block[lo : lo + SERIES_PER_STEP])

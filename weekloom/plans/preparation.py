@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from weekloom.config import ForecastConfig
-from weekloom.operators.calendar import last_n_weeks, repair_missing_weeks, since, week_calendar
+from weekloom.operators.calendar import last_n_weeks, repair_missing_weeks, week_calendar
 from weekloom.operators.complete import complete
 from weekloom.operators.merge import merge_duplicate_weeks
 from weekloom.operators.outliers import replace_outliers, upper_limits
@@ -35,7 +35,7 @@ def prepare(raw: DataFrame, cfg: ForecastConfig) -> DataFrame:
     rows = typed_rows(raw)
     calendar = week_calendar(rows, cfg)
     if calendar is not None:
-        rows = rows.where(since(calendar.needed_from(cfg.keep_weeks)))
+        rows = rows.where(calendar.needed(cfg.keep_weeks))
     repaired = repair_missing_weeks(merge_duplicate_weeks(rows), cfg, calendar)
     recent = last_n_weeks(repaired, cfg.keep_weeks, calendar)
     return drop_rare_products(rotation_flag(recent, cfg), cfg)

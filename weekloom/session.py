@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,21 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_all(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """Write frames of one schema one after the other into one staged table.
+
+    The plan stays small however many parts there are, and what made a part can be let go.
+    """
+    path = schema = None
+    for df in parts:
+        if path is None:
+            path, schema = f"{staging_dir(df.sparkSession)}/weekloom/{name}-{uuid.uuid4().hex}", df.schema
+        df.write.mode("append").parquet(path)
+    if path is None:
+        raise ValueError(f"nothing to stage for {name}")
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def join_small(
     left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", max_rows: int = 100_000
 ) -> DataFrame:
