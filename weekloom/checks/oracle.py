@@ -573,9 +573,9 @@ SQL["step_group_table"] = (
 SQL["aligned_actuals"] = (
     base("filtered")
     + NUMBERED
-    + ", ends AS (SELECT product_id, total_qty AS yhat FROM numbered WHERE rn = 134)"
-    f" SELECT product_id, sis_group_id, CAST(rn - 134 AS INTEGER) AS step, {num('total_qty', 'y')}, {num('yhat')}"
-    " FROM numbered JOIN ends USING (product_id) WHERE rn - 134 IN (1, 2, 3, 4, 12, 24)"
+    + ", ends AS (SELECT product_id, total_qty AS yhat FROM numbered WHERE rn = 132)"
+    f" SELECT product_id, sis_group_id, CAST(rn - 132 AS INTEGER) AS step, {num('total_qty', 'y')}, {num('yhat')}"
+    " FROM numbered JOIN ends USING (product_id) WHERE rn - 132 IN (1, 2, 3, 4, 12, 24)"
 )
 SQL["model_leaderboard"] = (
     base("split")
@@ -614,8 +614,9 @@ SQL["var_gram"] = (
     + f""", s AS (SELECT product_id, avg(total_qty) AS mu, CASE WHEN stddev_pop(total_qty) = 0 THEN 1
         ELSE stddev_pop(total_qty) END AS sd FROM filtered GROUP BY 1),
     z AS (SELECT product_id, sis_group_id, CAST(row_number() {P} - 2 AS INTEGER) AS t,
-        (total_qty - lag(total_qty) {P}) / sd AS x FROM filtered JOIN s USING (product_id)),
-    kept AS (SELECT * FROM z WHERE t BETWEEN 0 AND 126)
+        (total_qty - lag(total_qty) {P}) / sd AS x, count(*) OVER (PARTITION BY product_id) AS cnt
+        FROM filtered JOIN s USING (product_id)),
+    kept AS (SELECT * FROM z WHERE t BETWEEN 0 AND cnt - 30 - 2)
     SELECT a.sis_group_id, a.t AS i, b.t AS j, round(sum(a.x * b.x), 4) + 0.0::DOUBLE AS s
     FROM kept a JOIN kept b ON a.product_id = b.product_id AND a.t <= b.t GROUP BY 1, 2, 3"""
 )
@@ -629,9 +630,9 @@ SQL["window_gram"] = (
     + f""", s AS (SELECT product_id, avg(total_qty) AS mu, CASE WHEN stddev_pop(total_qty) = 0 THEN 1
         ELSE stddev_pop(total_qty) END AS sd FROM filtered GROUP BY 1),
     z AS (SELECT product_id, sis_group_id, First_day, (total_qty - mu) / sd AS x FROM filtered JOIN s USING (product_id)),
-    wide AS (SELECT product_id, sis_group_id, row_number() {P} - 1 AS w, [{WINDOW_CELLS}] AS v FROM z),
+    wide AS (SELECT product_id, sis_group_id, row_number() {P} - 1 AS w, count(*) OVER (PARTITION BY product_id) AS cnt, [{WINDOW_CELLS}] AS v FROM z),
     cells AS (SELECT product_id, sis_group_id, w, unnest(v) AS v, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS j
-        FROM wide WHERE w < 70)
+        FROM wide WHERE w < floor(0.85::DOUBLE * (cnt - 75)))
     SELECT a.sis_group_id, a.j AS i, b.j AS j, round(sum(a.v * b.v), 3) + 0.0::DOUBLE AS s
     FROM cells a JOIN cells b ON a.product_id = b.product_id AND a.w = b.w AND a.j <= b.j GROUP BY 1, 2, 3"""
 )

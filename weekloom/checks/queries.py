@@ -36,6 +36,7 @@ from weekloom.operators import (
     scaling,
     variation,
 )
+from weekloom.operators.gram import series_length
 from weekloom.operators.series import pivot_weeks
 from weekloom.operators.series import series_arrays as arrays_per_product
 from weekloom.plans import evaluation, preparation
@@ -193,7 +194,7 @@ def fill_high_rotation(spark, d):
 @query
 def union_completed(spark, d):
     base = prepared(spark, d)
-    low = complete.rank_real_over_filler(base).drop("Table_name")
+    low = complete.fill_low_rotation(base).drop(FLAG, "sales_week", "sales_year")
     both = complete.union_completed(low, complete.fill_high_rotation(base))
     return tidy(
         both.withColumns(
@@ -485,13 +486,13 @@ def step_group_table(spark, d):
 
 @query
 def aligned_actuals(spark, d):
-    """Last train value against the actual values of the ARIMA test rows, joined by position."""
+    """Last value before the test weeks against their actual values, joined by position."""
     df = filtered(spark, d)
-    cut = int(CFG.train_share * CFG.keep_weeks)
-    train = features.share_split(df, CFG.train_share).where("part = 'train'")
-    last = train.groupBy(KEY).agg(F.max_by(QTY, DAY).alias("yhat"))
+    start = CFG.ridge_train + CFG.ridge_valid
+    known = features.position_split(df, CFG.ridge_train, CFG.ridge_valid).where("part <> 'test'")
+    last = known.groupBy(KEY).agg(F.max_by(QTY, DAY).alias("yhat"))
     steps = F.explode(F.array(*[F.lit(s) for s in CFG.arima_steps])).alias("step")
-    return tidy(metrics.align(last.select(KEY, "yhat", steps), df, cut + 1))
+    return tidy(metrics.align(last.select(KEY, "yhat", steps), df, start + 1))
 
 
 @query
@@ -509,20 +510,22 @@ def model_leaderboard(spark, d):
 @query
 def ridge_gram(spark, d):
     series = ridge.ridge_series(filtered(spark, d))
-    sums = ridge.ridge_gram(series, CFG.keep_weeks, CFG.ridge_train, ridge.CHUNKS)
+    weeks = series_length(series, "y", CFG.ridge_train)
+    sums = ridge.ridge_gram(series, weeks, CFG.ridge_train, ridge.CHUNKS)
     return tidy(sums)
 
 
 @query
 def var_gram(spark, d):
     series = var.var_series(filtered(spark, d), CFG)
-    sums = var.var_gram(series, CFG.keep_weeks - CFG.var_test - 1)
+    sums = var.var_gram(series, series_length(series, "x", CFG.var_lags + 1))
     return sums.withColumn("s", F.round("s", 4))
 
 
 @query
 def window_gram(spark, d):
-    sums = window.window_gram(window.window_series(filtered(spark, d), CFG), CFG.keep_weeks, CFG)
+    series = window.window_series(filtered(spark, d), CFG)
+    sums = window.window_gram(series, series_length(series, "y", CFG.window + max(CFG.steps)), CFG)
     return sums.withColumn("s", F.round("s", 3))
 
 

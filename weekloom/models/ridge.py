@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from weekloom.config import GROUP, KEY, QTY, ForecastConfig
-from weekloom.operators.gram import SERIES_PER_STEP, gram, matrix, matrix_of
+from weekloom.operators.gram import SERIES_PER_STEP, gram, matrix, matrix_of, series_length
 from weekloom.operators.series import series_arrays
 from weekloom.session import stage
 
@@ -146,13 +146,6 @@ def _matrices(series: DataFrame, weeks: int, train: int, chunks: tuple[int, ...]
     return {int(c): matrix(part) for c, part in rows.groupby("design")}
 
 
-def _weeks(series: DataFrame, need: int) -> int:
-    weeks = series.agg(F.max("n")).first()[0] or 0
-    if weeks < need:
-        raise ValueError(f"{weeks} weeks are too few, {need} are needed")
-    return weeks
-
-
 def search_ridge(
     history: DataFrame, cfg: ForecastConfig, grid: tuple[RidgeParams, ...] = GRID
 ) -> DataFrame:
@@ -163,7 +156,7 @@ def search_ridge(
 
 def _search(series: DataFrame, cfg: ForecastConfig, grid: tuple[RidgeParams, ...]) -> DataFrame:
     train, steps = cfg.ridge_train, cfg.ridge_valid
-    weeks = _weeks(series, train + steps)
+    weeks = series_length(series, "y", train + steps)
     sums = _matrices(series, weeks, train, tuple(sorted({p.chunk for p in grid})))
     models = [fit(sums[p.chunk], p) for p in grid]
     out = pa.schema([("id", pa.int32()), ("sse", pa.float64()), ("n", pa.int64())])
@@ -202,7 +195,7 @@ def forecast_ridge(
     """Best parameters of the grid, refitted on train and validation weeks, ``ridge_test`` steps."""
     series = stage(ridge_series(history), "ridge-series")
     start, steps = cfg.ridge_train + cfg.ridge_valid, cfg.ridge_test
-    weeks = _weeks(series, start + steps)
+    weeks = series_length(series, "y", start + steps)
     best = grid[0] if len(grid) == 1 else grid[_search(series, cfg, grid).orderBy("rmse", "id").first()["id"]]
     model = fit(_matrices(series, weeks, start, (best.chunk,))[best.chunk], best)
 

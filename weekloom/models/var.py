@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from weekloom.config import DAY, GROUP, KEY, QTY, ForecastConfig
 from weekloom.models.window import _dot
-from weekloom.operators.gram import gram, matrix
+from weekloom.operators.gram import gram, matrix, series_length
 from weekloom.operators.scaling import scale
 from weekloom.operators.series import product_weeks, series_arrays, whole
 from weekloom.session import join_small, stage
@@ -61,9 +61,7 @@ def var_gram(series: DataFrame, weeks: int) -> DataFrame:
 def forecast_var(history: DataFrame, cfg: ForecastConfig) -> DataFrame:
     """``var_test`` steps after the train weeks."""
     series = stage(var_series(history.select(KEY, DAY, GROUP, QTY), cfg), "var-series")
-    weeks = series.agg(F.max(F.size("x"))).first()[0] or 0
-    if weeks <= cfg.var_lags:
-        raise ValueError(f"{weeks} differences are too few for {cfg.var_lags} lags")
+    weeks = series_length(series, "x", cfg.var_lags + 1)
     sums = stage(var_gram(series, weeks), "var-gram")
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:

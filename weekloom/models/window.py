@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.config import DAY, GROUP, KEY, QTY, ForecastConfig
-from weekloom.operators.gram import gram, matrix
+from weekloom.operators.gram import gram, matrix, series_length
 from weekloom.operators.scaling import scale
 from weekloom.operators.series import series_arrays
 from weekloom.session import join_small, stage
@@ -67,10 +67,7 @@ def forecast_window(history: DataFrame, cfg: ForecastConfig) -> DataFrame:
     all products ('total'). Inputs are standard scores per product; forecasts below zero become zero.
     """
     series = stage(window_series(history, cfg), "window-series")
-    weeks = series.agg(F.max("n")).first()[0] or 0
-    if weeks < cfg.window + max(cfg.steps) + 1:
-        raise ValueError(f"{weeks} weeks are too few for a window of {cfg.window} and {max(cfg.steps)} steps")
-
+    weeks = series_length(series, "y", cfg.window + max(cfg.steps) + 1)
     sums = stage(window_gram(series, weeks, cfg), "window-gram")
     schema = f"{GROUP} bigint, step int, intercept double, weights array<double>"
     by_group = sums.groupBy(GROUP).applyInPandas(_solve(cfg), schema)

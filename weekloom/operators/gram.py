@@ -31,6 +31,14 @@ def matrix_of(column: pa.Array, width: int) -> np.ndarray:
     return flat.reshape(-1, width)
 
 
+def series_length(df: DataFrame, column: str, need: int) -> int:
+    """Length of the array column; fewer than ``need`` values are refused."""
+    length = df.agg(F.max(F.size(column))).first()[0] or 0
+    if length < need:
+        raise ValueError(f"{length} weeks are too few, {need} are needed")
+    return length
+
+
 def gram(df: DataFrame, column: str, width: int, designs: dict[int, Design], key: str | None = None) -> DataFrame:
     """(key, design, i, j, s): s = sum over design rows of z_i z_j, for i <= j.
 
