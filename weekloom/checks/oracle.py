@@ -636,3 +636,34 @@ SQL["window_gram"] = (
     SELECT a.sis_group_id, a.j AS i, b.j AS j, round(sum(a.v * b.v), 3) + 0.0::DOUBLE AS s
     FROM cells a JOIN cells b ON a.product_id = b.product_id AND a.w = b.w AND a.j <= b.j GROUP BY 1, 2, 3"""
 )
+
+# --- actual values of the test weeks ---------------------------------------------------------------------
+
+
+def _actuals(model: str, start: str, steps: str) -> str:
+    """Rows after position ``start`` as steps 1, 2, ..."""
+    return (
+        f"SELECT '{model}' AS model, product_id, sis_group_id, CAST(rn - {start} AS INTEGER) AS step,"
+        f" {num('total_qty', 'y')} FROM numbered JOIN varied USING (product_id) WHERE rn - {start} {steps}"
+    )
+
+
+SQL["forecast_alignment"] = (
+    base("filtered")
+    + NUMBERED
+    + f", varied AS (SELECT product_id, {COV} AS cov FROM filtered GROUP BY product_id) "
+    + _unpivot(
+        [
+            _actuals("arima", "floor(0.85::DOUBLE * cnt)", "BETWEEN 1 AND 24 AND cov IS NOT NULL"),
+            _actuals("ridge", "132", "BETWEEN 1 AND 26"),
+            _actuals("var", "(cnt - 30)", "BETWEEN 1 AND 30"),
+            _actuals("window", "(cnt - 26)", "IN (1, 2, 3, 4, 12, 26)"),
+        ]
+    )
+)
+SQL["forest_alignment"] = (
+    base("split")
+    + NAIVE
+    + f" SELECT scope, product_id, sis_group_id, {day()}, step, {num('y')}"
+    " FROM naive_known CROSS JOIN (SELECT unnest(['group', 'total']) AS scope)"
+)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -592,6 +593,19 @@ def window_forecast(spark, d):
     return tidy(window_rows(spark, d))
 
 
+@query
+def forecast_alignment(spark, d):
+    """The actual values the forecasts are scored against, by model and step."""
+    rows = [f(spark, d) for f in (arima_rows, ridge_rows, var_rows, window_rows)]
+    keep = ["model", KEY, GROUP, "step", "y"]
+    return tidy(reduce(DataFrame.unionByName, [r.select(keep) for r in rows]).distinct())
+
+
+@query
+def forest_alignment(spark, d):
+    return tidy(forest_rows(spark, d).select("scope", KEY, GROUP, DAY, "step", "y"))
+
+
 @query
 def all_models_leaderboard(spark, d):
     rows = [f(spark, d) for f in (arima_rows, ridge_rows, forest_rows, var_rows, window_rows)]
