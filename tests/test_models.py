@@ -32,6 +32,7 @@ from weekloom.operators.metrics import leaderboard, score, scores_by_group_and_t
 from weekloom.operators.scaling import impute_mean, scale, unscale
 from weekloom.operators.series import series_arrays
 from weekloom.operators.variation import demand_cov, dickey_fuller_lag0
+from weekloom.session import join_small, stage, stage_all
 
 WEEKS = 158
 CFG = ForecastConfig(split_date=dt.date(2020, 1, 6) + dt.timedelta(days=7 * 106))
@@ -401,3 +402,34 @@ def test_evaluation_saves_score_tables(spark, data):
     assert table.columns == ["step", "0", "1", "total"]
     assert {r["step"] for r in table.collect()} == {f"step_{s}" for s in cfg.steps}
     assert {r["step"] for r in spark.table("WMAPE_arima_EVL").collect()} == {f"step_{s}" for s in cfg.arima_steps}
+
+
+def test_scaling_on_train_weeks_only(spark, data):
+    df, series = data
+    cfg = replace(CFG, scale_fit_on="train")
+    var_rows = {(r[KEY], r["step"]): r for r in forecast_var(df, cfg).collect()}
+    members = [2, 4]
+    y = np.array([series[p] for p in members]).T
+    mu, sd = y[:-30].mean(0), y[:-30].std(0)
+    s = (y - mu) / sd
+    x = np.diff(s[:-30], axis=0)
+    made = (s[-31] + forecast_weights(x @ x.T, 10, 30) @ x) * sd + mu
+    for i, p in enumerate(members):
+        assert [var_rows[p, h + 1]["yhat"] for h in range(30)] == pytest.approx(made[:, i].tolist(), abs=1e-6)
+        assert var_rows[p, 30]["y"] == pytest.approx(series[p][-1])
+    window_rows = forecast_window(df, cfg)
+    assert window_rows.where("yhat is null or yhat < 0").count() == 0
+
+
+def test_join_beyond_the_broadcast_limit_is_a_shuffle_join(spark):
+    left = spark.range(100).withColumn("k", F.col("id") % 3)
+    right = stage(spark.range(3).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v")), "right")
+    small, large = join_small(left, right, "k"), join_small(left, right, "k", max_rows=2)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+    hinted = [df._jdf.queryExecution().analyzed().toString() for df in (small, large)]
+    assert "strategy=broadcast" in hinted[0] and "strategy=broadcast" not in hinted[1]
+
+
+def test_staged_parts_form_one_table(spark):
+    parts = (spark.range(i, i + 2) for i in (0, 10, 20))
+    assert sorted(r[0] for r in stage_all(parts, "parts").collect()) == [0, 1, 10, 11, 20, 21]

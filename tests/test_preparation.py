@@ -24,7 +24,7 @@ from weekloom.operators.outliers import replace_outliers, upper_limits
 from weekloom.operators.quality import cast_measures, cast_rejects, drop_nulls, null_audit, with_first_day
 from weekloom.operators.rotation import drop_rare_products, rotation_flag, rotation_summary
 from weekloom.plans.preparation import build_tables, clean, demand_complete, demand_filtered, prepare
-from weekloom.sources.tables import DEMAND_SCHEMA, scan_demand, scan_filtered, write_series_table, write_table
+from weekloom.sources.tables import DEMAND_SCHEMA, scan_demand, scan_filtered, write_parquet, write_series_table, write_table
 
 CFG = ForecastConfig(min_rotation=2, keep_weeks=10, high_rotation_weeks=5, gap_neighbour_weeks=5)
 
@@ -222,7 +222,9 @@ def test_whole_preparation_and_tables(spark, tmp_path):
     )
     write_table(full, "weekly_by_group", partition_by="sis_group_id")
     assert spark.table("weekly_by_group").count() == 60
-    raw.write.parquet(str(tmp_path / "raw"))
+    write_parquet(raw, str(tmp_path / "raw"))
+    write_parquet(full, str(tmp_path / "groups"), partition_by="sis_group_id")
+    assert spark.read.parquet(str(tmp_path / "groups")).where("sis_group_id = 1").count() == 60
     assert scan_demand(spark, cfg, str(tmp_path / "raw")).count() == raw.count()
     write_series_table(full, "weekly_series", 3)
     windows = rotation_flag(spark.table("weekly_series").drop("Forte_rotation"), cfg)

@@ -50,6 +50,14 @@ def write_table(df: DataFrame, name: str, partition_by: str | None = None) -> No
         df.write.mode("overwrite").saveAsTable(name)
 
 
+def write_parquet(df: DataFrame, path: str, partition_by: str | None = None) -> None:
+    """The same as ``write_table`` into a Parquet folder."""
+    if partition_by:
+        df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
+
+
 def write_series_table(df: DataFrame, name: str, buckets: int) -> None:
     """Overwrite a table bucketed and sorted by product, so that later per-product windows
     read it without a shuffle."""
