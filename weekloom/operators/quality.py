@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.config import COUNTER, DAY, KEY, MEASURES
 from weekloom.functions.weeks import week_first_day
 
 
+def _missing(df: DataFrame, col: str) -> Column:
+    """Null, or NaN in a floating-point column."""
+    c = F.col(col)
+    return c.isNull() | F.isnan(c) if df.schema[col].dataType.typeName() in ("double", "float") else c.isNull()
+
+
 def null_audit(df: DataFrame, cols: list[str]) -> DataFrame:
     """Null rows per column, and the percentage of products that have a row in which *all*
     columns with any null are null (0 when no column has nulls).
@@ -21,9 +27,9 @@ def null_audit(df: DataFrame, cols: list[str]) -> DataFrame:
     """
     mask = reduce(
         lambda a, b: a + b,
-        [F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(0).cast("bigint") for i, c in enumerate(cols)],
+        [F.when(_missing(df, c), F.lit(1 << i)).otherwise(0).cast("bigint") for i, c in enumerate(cols)],
     )
-    nulls = [F.count_if(F.col(c).isNull()).alias(f"n_{i}") for i, c in enumerate(cols)]
+    nulls = [F.count_if(_missing(df, c)).alias(f"n_{i}") for i, c in enumerate(cols)]
     per_product = df.groupBy(KEY).agg(
         F.max(mask).alias("widest"), F.bit_or(mask).alias("any_null"), *nulls
     )
@@ -51,8 +57,12 @@ def null_audit(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def drop_nulls(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Rows without a null in any of the columns."""
-    return df.dropna(how="any", subset=cols)
+    """Rows without a null in any of the columns.
+
+    Stated column by column, so that the scan gets the filters and columns a table declares NOT
+    NULL need not be read for it.
+    """
+    return df.where(reduce(lambda a, b: a & b, [~_missing(df, c) for c in cols]))
 
 
 def cast_measures(df: DataFrame, on_bad: str = "raise") -> DataFrame:
