@@ -26,7 +26,26 @@ def words(text: Column) -> Column:
 
 
 def strip(line: Column) -> Column:
-    return F.regexp_replace(line, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(line, F.lit(" \t\n\x0b\f\r"))
+
+
+#: A side of a join is broadcast up to this size, which is measured first.
+BROADCAST_BYTES = 64_000_000
+
+
+def identity(*columns: str) -> dict[str, Column]:
+    """``_k1``, ``_k2``: 128 bits that rows share only if they agree in ``columns``."""
+    parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return {f"_k{seed}": F.xxhash64(F.lit(seed), *parts) for seed in (1, 2)}
+
+
+KEY = ["_k1", "_k2"]
+
+
+def join_measured(left: DataFrame, right: DataFrame, on: list[str], how: str, row_bytes: Column | int) -> DataFrame:
+    """Join with a staged side, broadcast if its measured size allows, else by a shuffle that splits skew."""
+    size = right.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0] or 0
+    return left.join(F.broadcast(right) if size <= BROADCAST_BYTES else right, on, how)
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import lower_ascii, numbered, strip, with_text
+from weekloom.llm.common import KEY, identity, join_measured, lower_ascii, strip, with_text
 from weekloom.session import stage
 
 FIRST = -(2**63)
@@ -27,19 +27,19 @@ def split_lines(text: Column) -> Column:
 
 
 def dropped_lines(rows: DataFrame, min_chars: int = 10) -> DataFrame:
-    """(``_row``, ``_at``) of each line to drop. ``rows``: ``_row``, ``_doc_id``, ``_text``."""
+    """(key, ``_at``) of each line to drop. ``rows``: ``_k1``, ``_k2``, ``_doc_id``, ``_text``."""
     key = strip(lower_ascii(F.col("_line")))
     lines = (
-        rows.select("_row", "_doc_id", F.posexplode(split_lines(F.col("_text"))).alias("_at", "_line"))
-        .select("_row", "_doc_id", "_at", key.alias("_key"))
+        rows.select(*KEY, "_doc_id", F.posexplode(split_lines(F.col("_text"))).alias("_at", "_line"))
+        .select(*KEY, "_doc_id", "_at", key.alias("_key"))
         .where(F.length("_key") >= min_chars)
         .select(
             # 128 bits: two documents' lines meet only if both hashes agree.
             F.xxhash64("_key").alias("_h"),
-            F.xxhash64(F.lit(1), F.reverse("_key")).alias("_h2"),
+            F.xxhash64(F.lit(1), "_key").alias("_h2"),
             F.coalesce("_doc_id", F.lit(FIRST)).alias("_d"),
             "_at",
-            "_row",
+            *KEY,
         )
     )
     lines = stage(lines, "lines")
@@ -52,7 +52,7 @@ def dropped_lines(rows: DataFrame, min_chars: int = 10) -> DataFrame:
         .agg(F.min("_d").alias("_first"), F.max("_d").alias("_last"))
         .where("_first < _last")
     )
-    return lines.join(firsts, ["_h", "_h2"]).where("_d > _first").select("_row", "_at")
+    return lines.join(firsts, ["_h", "_h2"]).where("_d > _first").select(*KEY, "_at")
 
 
 def with_bitmaps(rows: DataFrame, min_chars: int = 10) -> DataFrame:
@@ -60,10 +60,11 @@ def with_bitmaps(rows: DataFrame, min_chars: int = 10) -> DataFrame:
 
     Segment i of kept lines is [from, to); a dropped run lies between two segments.
     """
-    gone = dropped_lines(rows, min_chars).groupBy("_row").agg(F.sort_array(F.collect_list("_at")).alias("_gone"))
+    gone = dropped_lines(rows, min_chars).groupBy(*KEY).agg(F.sort_array(F.collect_set("_at")).alias("_gone"))
+    gone = stage(gone, "dropped")
     near = lambda k, x: F.coalesce(F.abs(F.get("_gone", k) - x) == 1, F.lit(False))
     return (
-        rows.join(gone, "_row", "left")
+        join_measured(rows, gone, KEY, "left", 64 + 4 * F.size("_gone"))
         .withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
         .withColumn("_lines", split_lines(F.col("_text")))
         .withColumn("_n", F.size("_lines"))
@@ -100,10 +101,16 @@ def kept_text() -> Column:
     )
 
 
+def rows_of(docs: DataFrame, *more: Column) -> DataFrame:
+    key = identity("doc_id", "text")
+    return docs.select(
+        *more, F.col("doc_id").alias("_doc_id"), F.col("text").alias("_text"), *(c.alias(k) for k, c in key.items())
+    )
+
+
 def plan(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """Per document the number of lines, those dropped, and the keep bitmap ``keep_runs``."""
-    rows = numbered(docs.select(F.col("doc_id").alias("_doc_id"), F.col("text").alias("_text")), "line-dedup")
-    return with_bitmaps(rows, min_chars).select(
+    """Per document the number of lines, those dropped, the keep bitmap ``keep_runs``, and the kept text."""
+    return with_bitmaps(rows_of(docs), min_chars).select(
         F.col("_doc_id").alias("doc_id"),
         F.col("_n").cast("long").alias("n_lines"),
         F.size("_gone").cast("long").alias("n_dropped"),
@@ -121,11 +128,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def apply(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """``docs`` without the dropped lines; ``n_chars``, where there is one, follows. Null stays null."""
-    rows = numbered(
-        docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_doc_id"), F.col("text").alias("_text")),
-        "line-dedup",
-    )
-    df = with_bitmaps(rows, min_chars).withColumn(
+    df = with_bitmaps(rows_of(docs, F.struct("*").alias("_doc")), min_chars).withColumn(
         "_new", F.when(F.size("_gone") > 0, kept_text()).otherwise(F.col("_text"))
     )
     return with_text(df, "_new")

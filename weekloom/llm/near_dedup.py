@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import numbered
+from weekloom.llm.common import KEY, identity, join_measured, numbered
 from weekloom.llm.components import components
 from weekloom.llm.words import NOT_SPACE, Words, as_bytes, group_cuts, mix, passes, whole_groups
 from weekloom.session import join_small, stage
@@ -413,17 +413,29 @@ def group(docs: DataFrame, cfg: NearDedup = NearDedup()) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, cfg: NearDedup = NearDedup()) -> DataFrame:
-    """``docs`` with one document of each component, the one of the smallest doc_id."""
-    named = numbered(docs.select(F.struct("*").alias("_doc")), "near-input")
-    slim = named.select(
-        F.col("_doc.doc_id").alias("_id"),
-        "_row",
-        F.xxhash64(F.coalesce("_doc.text", F.lit(""))).alias("_text_hash"),
-        F.col("_doc.text").alias("_text"),
+    """``docs`` with one document of each component, the one of the smallest doc_id.
+
+    The others come back as 128-bit keys, so texts are not shuffled. Rows that agree in id and text have one
+    key; of those that stay one row is picked.
+    """
+    key = {k: c.alias(k) for k, c in identity("doc_id", "text").items()}
+    slim = docs.select(
+        F.col("doc_id").alias("_id"),
+        *key.values(),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text_hash"),
+        F.col("text").alias("_text"),
     )
-    rows = stage(signed(slim, cfg, "_id bigint, _row bigint, _text_hash bigint"), "signed")
-    first = linked(rows, hashed(docs), cfg).where("_first").select("_row")
-    return named.join(first, "_row", "left_semi").select("_doc.*")
+    rows = numbered(signed(slim, cfg, "_id bigint, _k1 bigint, _k2 bigint, _text_hash bigint"), "signed")
+    marked = linked(rows, hashed(docs), cfg)
+    keys = marked.groupBy(*KEY).agg(F.max("_first").alias("_stays"), (F.count_if(F.col("_g").isNotNull()) > 1).alias("_again"))
+    keys = stage(keys.where("_again OR NOT _stays"), "near-keys")
+    named = docs.select(F.struct("*").alias("_doc"), *key.values())
+    out = join_measured(named, keys.select(*KEY), KEY, "left_anti", 16).select("_doc.*")
+    again = keys.where("_again AND _stays").select(*KEY)
+    if again.isEmpty():
+        return out
+    picked = join_measured(named, again, KEY, "left_semi", 16).groupBy(*KEY).agg(F.first("_doc").alias("_doc"))
+    return out.union(picked.select("_doc.*"))
 
 
 SQL = r"""

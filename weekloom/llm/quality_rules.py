@@ -20,7 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import SPACE, lower_ascii, numbered, strip, words
+from weekloom.llm.common import KEY, SPACE, identity, join_measured, lower_ascii, numbered, strip, words
+from weekloom.session import stage
 
 
 @dataclass(frozen=True)
@@ -162,14 +163,15 @@ def rate(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
 
 
 def keep(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
-    """The rows of ``docs`` that pass, unchanged and with all their columns."""
-    df = judged(
-        docs.select(
-            F.struct("*").alias("_doc"), F.col("text").alias("_text_in"), host_key(F.col("source")).alias("_host")
-        ),
-        limits,
-    )
-    return df.where("_kept").select("_doc.*")
+    """The rows of ``docs`` that pass, unchanged and with all their columns.
+
+    Texts are neither staged nor shuffled for it: the rejected rows come back as 128-bit keys.
+    """
+    key = identity("doc_id", "text", "source")
+    df = judged(docs.select(*(c.alias(k) for k, c in key.items()), F.col("text").alias("_text_in"), host_key(F.col("source")).alias("_host")), limits)
+    rejected = stage(df.where("NOT _kept").select(*KEY).distinct(), "rejected")
+    rows = docs.select(F.struct("*").alias("_doc"), *(c.alias(k) for k, c in key.items()))
+    return join_measured(rows, rejected, KEY, "left_anti", 16).select("_doc.*")
 
 
 SQL = r"""
