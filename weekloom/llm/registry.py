@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekloom.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules
+from weekloom.llm import (
+    decontaminate,
+    html_extract,
+    line_dedup,
+    mixing,
+    near_dedup,
+    quality_rules,
+    suffix_dedup,
+    token_counts,
+)
 from weekloom.llm.common import table
 
 
@@ -22,6 +31,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents"), token_counts.vocabulary())
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group(table(spark, sf_dir, "documents"), near_dedup.NearDedup(shingle=2))
 
@@ -30,12 +43,23 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(table(spark, sf_dir, "documents"))
+
+
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_quality_rules": op3_quality_rules,
+    "op4_token_counts": op4_token_counts,
     "op5_line_dedup": op5_line_dedup,
     "op6_near_dedup": op6_near_dedup,
     "op8_mix_sources": op8_mix_sources,
+    "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_html_extract": op10_html_extract,
 }
 
 SQL: dict[str, str] = {
