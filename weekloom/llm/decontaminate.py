@@ -193,10 +193,9 @@ def matched(docs: DataFrame, benchmark: DataFrame, window: int, max_bytes: int)
 
 def _annotate(batches: Iterator[pa.RecordBatch], automaton: Automaton) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = as_bytes(batch.column("_text"))
         before, known_items = batch.column("_hits").to_pylist(), batch.column("_items").to_pylist()
         counts, hits, items = [], [], []
-        for at, part in passes(texts):
+        for at, part in passes(batch.column("_text")):
             w = Words(part, LETTERS)
             automaton.prepare(w)
             for k in range(len(part)):

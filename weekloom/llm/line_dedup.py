@@ -64,7 +64,7 @@ def with_bitmaps(rows: DataFrame, min_chars: int = 10) -> DataFrame:
     gone = stage(gone, "dropped")
     near = lambda k, x: F.coalesce(F.abs(F.get("_gone", k) - x) == 1, F.lit(False))
     return (
-        join_measured(rows, gone, KEY, "left", 64 + 4 * F.size("_gone"))
+        join_measured(rows, gone, KEY, "left", 96 + 4 * F.size("_gone"))
         .withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
         .withColumn("_lines", split_lines(F.col("_text")))
         .withColumn("_n", F.size("_lines"))

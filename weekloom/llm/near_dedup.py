@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from weekloom.llm.common import KEY, identity, join_measured, numbered
 from weekloom.llm.components import components
-from weekloom.llm.words import NOT_SPACE, Words, as_bytes, group_cuts, mix, passes, whole_groups
+from weekloom.llm.words import NOT_SPACE, Words, group_cuts, mix, passes, whole_groups
 from weekloom.session import join_small, stage
 
 PLACES = 128
@@ -81,7 +81,7 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int, seed: int) -> Iterator[p
     a, b = coefficients(seed)
     for batch in batches:
         rows = []
-        for _, part in passes(as_bytes(batch.column("_text"))):
+        for _, part in passes(batch.column("_text")):
             w = Words(part, NOT_SPACE)
             for k in range(len(part)):
                 s = shingles(w, w.cut[k], w.cut[k + 1], size)
@@ -306,7 +306,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
     for batch in batches:
         keep, out = [], []
         s1s, s2s = batch.column("_s1").to_pylist(), batch.column("_s2").to_pylist()
-        for at, part in passes(as_bytes(batch.column("_text"))):
+        for at, part in passes(batch.column("_text")):
             w = Words(part, NOT_SPACE)
             for k in range(len(part)):
                 s = shingles(w, w.cut[k], w.cut[k + 1], size)
@@ -430,11 +430,11 @@ def keep_first(docs: DataFrame, cfg: NearDedup = NearDedup()) -> DataFrame:
     keys = marked.groupBy(*KEY).agg(F.max("_first").alias("_stays"), (F.count_if(F.col("_g").isNotNull()) > 1).alias("_again"))
     keys = stage(keys.where("_again OR NOT _stays"), "near-keys")
     named = docs.select(F.struct("*").alias("_doc"), *key.values())
-    out = join_measured(named, keys.select(*KEY), KEY, "left_anti", 16).select("_doc.*")
+    out = join_measured(named, keys.select(*KEY), KEY, "left_anti", 64).select("_doc.*")
     again = keys.where("_again AND _stays").select(*KEY)
     if again.isEmpty():
         return out
-    picked = join_measured(named, again, KEY, "left_semi", 16).groupBy(*KEY).agg(F.first("_doc").alias("_doc"))
+    picked = join_measured(named, again, KEY, "left_semi", 64).groupBy(*KEY).agg(F.first("_doc").alias("_doc"))
     return out.union(picked.select("_doc.*"))
 
 

@@ -171,7 +171,7 @@ def keep(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     df = judged(docs.select(*(c.alias(k) for k, c in key.items()), F.col("text").alias("_text_in"), host_key(F.col("source")).alias("_host")), limits)
     rejected = stage(df.where("NOT _kept").select(*KEY).distinct(), "rejected")
     rows = docs.select(F.struct("*").alias("_doc"), *(c.alias(k) for k, c in key.items()))
-    return join_measured(rows, rejected, KEY, "left_anti", 16).select("_doc.*")
+    return join_measured(rows, rejected, KEY, "left_anti", 64).select("_doc.*")
 
 
 SQL = r"""

@@ -9,11 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes that are handled in one numpy pass; one longer text is a pass of its own.
-PASS_BYTES = 2_000_000
+PASS_BYTES = 500_000
 
 _bytes = np.arange(256)
 LOWER = np.where((_bytes >= 65) & (_bytes <= 90), _bytes + 32, _bytes).astype(np.uint8)
@@ -72,18 +73,25 @@ class Words:
         self.hash = hashes(prefix_sums(self.data), self.start, self.end)
 
 
-def passes(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """Slices of about PASS_BYTES; null is empty."""
-    at, part, size = 0, [], 0
-    for k, t in enumerate(texts):
-        t = t or b""
-        if part and size + len(t) > PASS_BYTES:
-            yield at, part
-            at, part, size = k, [], 0
-        part.append(t)
-        size += len(t) + 1
-    if part:
-        yield at, part
+def passes(texts: pa.Array | list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts as bytes) in slices of about PASS_BYTES; null is empty.
+
+    Of an Arrow column only one slice at a time is turned into Python objects.
+    """
+    if isinstance(texts, list):
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        cut = lambda a, b: texts[a:b]
+    else:
+        column = texts.cast(pa.binary() if pa.types.is_string(texts.type) else pa.large_binary())
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cut = lambda a, b: [t or b"" for t in column.slice(a, b - a).to_pylist()]
+    upto = np.cumsum(sizes + 1)
+    at = 0
+    while at < len(sizes):
+        before = upto[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, before + PASS_BYTES, "right")))
+        yield at, cut(at, end)
+        at = end
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
