@@ -2,8 +2,9 @@
 
 1. Exact copies of a text are one text with its smallest id; only those are searched.
 2. Every string of ``length`` bytes names one of its places by content alone, the one with the smallest hash
-   of ``GRAM`` bytes. Equal strings name equal places, so they meet at one such anchor, and only anchors that
-   lie in two documents go on, each with the bytes around it that its strings can reach.
+   of ``GRAM`` bytes. Equal strings name equal places, so they meet at one such anchor. Anchors of two
+   documents or more set a bit in a map of fixed size; the anchors it knows go on, each with the bytes around
+   it that its strings can reach.
 3. Per anchor the distinct surroundings are ordered to the right and, reversed, to the left by a deep-shallow
    sort: multikey quicksort on the first ``SHALLOW`` bytes, then a blind trie for each group that is still
    equal. The common prefix lengths of neighbours give those of all pairs, and a pair of which left and right
@@ -36,6 +37,8 @@ LENGTH = 50
 GRAM = 16
 SHALLOW = 8
 GROUP = 256
+#: The bit map of shared anchors has 2**27 bits, 16 MB.
+MAP_BITS = 27
 FIRST = -(2**63)
 
 
@@ -69,34 +72,69 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], length: int, around: bool) -> Iterator[pa.RecordBatch]:
-    """(``_h``, ``_d``) once per document, or with ``around`` every place with its surroundings."""
+def _seen(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """(``_g``, ``_d``): 32 bits of every anchor, once per document."""
+    for batch in batches:
+        docs = batch.column("_d").to_numpy(zero_copy_only=False)
+        for at, part in passes(batch.column("_text")):
+            found = [np.unique(short(anchors(np.frombuffer(t, np.uint8), length)[1])) for t in part]
+            owner = np.repeat(docs[at : at + len(part)], [len(g) for g in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(owner)], names=["_g", "_d"])
+
+
+def short(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def slot(g: np.ndarray) -> np.ndarray:
+    """Place of an anchor in the bit map."""
+    return (g.view(np.uint32) >> np.uint32(32 - MAP_BITS)).astype(np.int64)
+
+
+def bit_map(shared: DataFrame) -> np.ndarray:
+    """Bits of the anchors in ``shared``: a filter of fixed size, whatever the corpus. What it lets through by
+    chance is sorted out by the exact steps behind it."""
+    rows = (
+        shared.select(F.shiftrightunsigned("_g", 32 - MAP_BITS).alias("_slot"))
+        .groupBy(F.shiftrightunsigned("_slot", 6).alias("_word"))
+        .agg(F.expr("bit_or(shiftleft(1L, _slot & 63))").alias("_bits"))
+        .toArrow()
+    )
+    words = np.zeros(2 ** (MAP_BITS - 6), np.int64)
+    words[rows.column("_word").to_numpy()] = rows.column("_bits").to_numpy()
+    return words.view(np.uint64)
+
+
+def _around(batches: Iterator[pa.RecordBatch], length: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Every place of an anchor that the bit map knows, with the bytes around it."""
     left = length - GRAM
     for batch in batches:
         docs, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_d", "_t"))
-        for at, part in passes(as_bytes(batch.column("_text"))):
+        for at, part in passes(batch.column("_text")):
             hs, ds, ts, ps, ctx = [], [], [], [], []
             for k, t in enumerate(part):
                 place, h = anchors(np.frombuffer(t, np.uint8), length)
-                if not len(h):
-                    continue
-                if not around:
-                    h = np.unique(h)
-                else:
-                    ps.append(place)
-                    ts.append(np.full(len(h), keys[at + k]))
-                    for p in place.tolist():
-                        # The first byte says how many bytes stand before the anchor.
-                        a = max(0, p - left)
-                        ctx.append(bytes((p - a,)) + t[a : p + length])
-                hs.append(h)
-                ds.append(np.full(len(h), docs[at + k]))
-            if not hs:
-                continue
-            columns = {"_h": np.concatenate(hs).astype(np.int64), "_d": np.concatenate(ds)}
-            if around:
-                columns |= {"_t": np.concatenate(ts), "_at": np.concatenate(ps).astype(np.int32), "_ctx": pa.array(ctx, pa.binary())}
-            yield pa.RecordBatch.from_pydict({k: pa.array(v) if isinstance(v, np.ndarray) else v for k, v in columns.items()})
+                s = slot(short(h))
+                known = np.flatnonzero((bits[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1))
+                for p in place[known].tolist():
+                    # The first byte says how many bytes stand before the anchor.
+                    a = max(0, p - left)
+                    ctx.append(bytes((p - a,)) + t[a : p + length])
+                hs.append(h[known])
+                ps.append(place[known])
+                ds.append(np.full(len(known), docs[at + k]))
+                ts.append(np.full(len(known), keys[at + k]))
+            if ctx:
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate(hs).astype(np.int64)),
+                        pa.array(np.concatenate(ds)),
+                        pa.array(np.concatenate(ts)),
+                        pa.array(np.concatenate(ps).astype(np.int32)),
+                        pa.array(ctx, pa.binary()),
+                    ],
+                    names=["_h", "_d", "_t", "_at", "_ctx"],
+                )
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -264,25 +302,24 @@ def covered(texts: DataFrame, length: int, group: int) -> DataFrame:
     ``texts``: ``_d``, ``_t`` (hash of the text) and ``_text``.
     """
     slim = texts.select("_d", "_t", "_text")
-    seen = slim.mapInArrow(lambda b: _anchors(b, length, False), "_h bigint, _d bigint")
-    shared = seen.groupBy("_h").agg(F.min("_d").alias("_a"), F.max("_d").alias("_b")).where("_a < _b").select("_h")
-    shared = stage(shared, "anchors")
-    every = slim.mapInArrow(lambda b: _anchors(b, length, True), "_h bigint, _d bigint, _t bigint, _at int, _ctx binary")
+    seen = slim.select("_d", "_text").mapInArrow(lambda b: _seen(b, length), "_g int, _d bigint")
+    shared = seen.groupBy("_g").agg(F.min("_d").alias("_a"), F.max("_d").alias("_b")).where("_a < _b")
+    bits = texts.sparkSession.sparkContext.broadcast(bit_map(shared))
+    every = slim.mapInArrow(lambda b: _around(b, length, bits.value), "_h bigint, _d bigint, _t bigint, _at int, _ctx binary")
     code = [F.xxhash64(F.lit(s), "_h", "_ctx").alias(f"_k{s}") for s in (1, 2)]
-    places = stage(join_measured(every, shared, ["_h"], "inner", 8).select("_h", "_d", "_t", "_at", "_ctx", *code), "places")
+    places = stage(every, "places").select("*", *code)
     distinct = places.groupBy("_h", *KEY).agg(F.min("_d").alias("_first"), F.first("_ctx").alias("_ctx"))
     distinct = stage(distinct, "surroundings")
-    sizes = distinct.groupBy("_h").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    sizes = distinct.groupBy("_h").agg(F.count(F.lit(1)).alias("_size"))
     large = stage(sizes.where(F.col("_size") > group).select("_h"), "large")
-    small = sizes.where(F.col("_size") <= group).select("_h")
     compared = (
-        distinct.join(small, "_h")
+        join_measured(distinct, large, ["_h"], "left_anti", 64)
         .repartition("_h")
         .sortWithinPartitions("_h")
         .select("_h", *KEY, "_first", "_ctx")
         .mapInArrow(lambda b: _reach(b, length), "_k1 bigint, _k2 bigint, _left int, _right int")
     )
-    reached = compared.union(spelled_out(join_measured(distinct, large, ["_h"], "inner", 8), length).select(*KEY, "_left", "_right"))
+    reached = compared.union(spelled_out(join_measured(distinct, large, ["_h"], "inner", 64), length).select(*KEY, "_left", "_right"))
     reached = distinct.drop("_h", "_ctx").join(reached, KEY, "left")
     size = F.least(F.lit(length), F.length("_ctx") - 1 - F.ascii(F.substring("_ctx", 1, 1).cast("string")))
     # A later document with the same surroundings is covered as far as they hold a whole string.
@@ -341,7 +378,7 @@ def removed(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFr
     long = F.octet_length("_text") >= length
     firsts = rows.where(long).groupBy(*KEY).agg(F.min("_d").alias("_first"), F.count(F.lit(1)).alias("_n"))
     copies = stage(firsts.where("_n > 1").select(*KEY, "_first"), "copies")
-    known = join_measured(rows, copies, KEY, "left", 24).withColumn("_copy", F.coalesce(F.col("_d") > F.col("_first"), F.lit(False)))
+    known = join_measured(rows, copies, KEY, "left", 64).withColumn("_copy", F.coalesce(F.col("_d") > F.col("_first"), F.lit(False)))
     alone = known.where(~F.col("_copy") & long).withColumnRenamed("_k1", "_t")
     found = covered(alone, length, group)
     spans = stage(
@@ -350,7 +387,7 @@ def removed(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFr
         ),
         "spans",
     )
-    out = join_measured(known.withColumnRenamed("_k1", "_t"), spans, ["_d", "_t"], "left", 40 + 16 * F.size("_spans"))
+    out = join_measured(known.withColumnRenamed("_k1", "_t"), spans, ["_d", "_t"], "left", 80 + 16 * F.size("_spans"))
     kind = dict(docs.dtypes)["doc_id"]
     return out.select("doc_id", "_text", "_copy", F.when(~F.col("_copy"), F.col("_spans")).alias("_spans")).mapInArrow(
         lambda b: _digest(b, length), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
