@@ -34,7 +34,7 @@ from weekloom.llm.words import INVERSE, as_bytes, group_cuts, mix, passes, power
 from weekloom.session import stage
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 SHALLOW = 8
 GROUP = 256
 #: The bit map of shared anchors has 2**27 bits, 16 MB.
@@ -83,7 +83,8 @@ def _seen(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
 
 
 def short(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    """32 bits; mixed once more, as anchors are minima and their high bits are mostly zero."""
+    return (mix(h + np.uint64(1)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def slot(g: np.ndarray) -> np.ndarray:
