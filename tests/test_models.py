@@ -137,6 +137,16 @@ def test_arma_finds_an_autoregression():
     assert np.isfinite(arma_forecast(rng.normal(size=(2, 12)), 5)).all()
 
 
+def test_arima_keeps_short_products(spark):
+    rng = np.random.default_rng(3)
+    sizes = {1: 3, 2: 9, 3: 30, 4: 158}
+    cells = [(p, w, 50 + rng.random()) for p, n in sizes.items() for w in range(n)]
+    rows = forecast_arima(demand(spark, cells), CFG).collect()
+    per_product = {p: sum(r["product_id"] == p for r in rows) for p in sizes}
+    assert per_product == dict.fromkeys(sizes, CFG.arima_horizon)
+    assert all(r["yhat"] is not None for r in rows)
+
+
 def test_arima_by_class(spark):
     spiky = [0.0] * WEEKS
     spiky[::20] = [100.0] * len(spiky[::20])

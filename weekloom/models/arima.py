@@ -12,8 +12,6 @@ from weekloom.config import GROUP, KEY, QTY, ForecastConfig
 from weekloom.models.stationarity import BLOCK, adf_column, difference_order
 from weekloom.operators.series import series_arrays
 
-MAX_P = MAX_Q = 5  # orders searched: all (p, q) up to these
-
 
 def _fit(target: np.ndarray, cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Least squares of each series: coefficients, residuals, residual sum of squares."""
@@ -34,7 +32,7 @@ def _stationary(ar: np.ndarray) -> np.ndarray:
     return np.abs(np.linalg.eigvals(companion)).max(axis=1) < 0.999
 
 
-def arma_forecast(x: np.ndarray, horizon: int, max_p: int = MAX_P, max_q: int = MAX_Q) -> np.ndarray:
+def arma_forecast(x: np.ndarray, horizon: int, max_p: int = 5, max_q: int = 5) -> np.ndarray:
     """Best ARMA(p, q) with constant of each row by AIC, forecast ``horizon`` steps.
 
     Two-stage least squares: a long autoregression yields the innovations, then values are
@@ -78,20 +76,22 @@ def arma_forecast(x: np.ndarray, horizon: int, max_p: int = MAX_P, max_q: int =
     return np.stack(out, axis=1)
 
 
-def _searcher(horizon: int):
+def _searcher(cfg: ForecastConfig):
+    horizon, shortest, orders = cfg.arima_horizon, cfg.arima_min_train, (cfg.arima_max_p, cfg.arima_max_q)
+
     @pandas_udf("array<double>")
     def search(train: pd.Series, d: pd.Series) -> pd.Series:
         size = train.map(lambda v: 0 if v is None else len(v)).to_numpy()
         out: list = [None] * len(train)
-        for n, order in {(a, b) for a, b in zip(size, d) if a >= 8}:
+        for n, order in {(a, b) for a, b in zip(size, d) if a >= shortest}:
             rows = np.flatnonzero((size == n) & (d == order).to_numpy())
             for lo in range(0, len(rows), BLOCK):
                 part = rows[lo : lo + BLOCK]
                 x = np.stack(train.iloc[part].to_list())
                 if order == 1:
-                    made = x[:, -1:] + np.cumsum(arma_forecast(np.diff(x, axis=1), horizon), axis=1)
+                    made = x[:, -1:] + np.cumsum(arma_forecast(np.diff(x, axis=1), horizon, *orders), axis=1)
                 else:
-                    made = arma_forecast(x, horizon)
+                    made = arma_forecast(x, horizon, *orders)
                 for i, values in zip(part, made):
                     out[i] = values
         return pd.Series(out)
@@ -110,8 +110,8 @@ def _series(history: DataFrame, cfg: ForecastConfig) -> DataFrame:
 
 def _mean_or_last(d: Column, cfg: ForecastConfig) -> Column:
     """ARIMA(0, d, 0): the train mean (d = 0) or the last train value (d = 1), repeated."""
-    mean = F.aggregate("train", F.lit(0.0), lambda a, v: a + v) / F.size("train")
-    return F.array_repeat(F.when(d == 0, mean).otherwise(F.element_at("train", -1)), cfg.arima_horizon)
+    mean = F.try_divide(F.aggregate("train", F.lit(0.0), lambda a, v: a + v), F.size("train"))
+    return F.array_repeat(F.when(d == 0, mean).otherwise(F.get("train", F.size("train") - 1)), cfg.arima_horizon)
 
 
 def _long(df: DataFrame, model: str) -> DataFrame:
@@ -138,17 +138,21 @@ def search_forecast(history: DataFrame, cfg: ForecastConfig) -> DataFrame:
     """Products with COV < ``cov_cut``: order search with the tested differencing order."""
     low = _series(history, cfg).where(F.col("cov") < cfg.cov_cut)
     tested = low.withColumn("d", difference_order(adf_column(F.col("y")), cfg))
-    made = _searcher(cfg.arima_horizon)(F.col("train"), F.col("d"))
-    return _long(tested.withColumn("made", made), "arima_search")
+    made = tested.withColumn("found", _searcher(cfg)(F.col("train"), F.col("d")))
+    return _long(made.withColumn("made", F.coalesce("found", _mean_or_last(F.col("d"), cfg))), "arima_search")
 
 
 def forecast_arima(history: DataFrame, cfg: ForecastConfig) -> DataFrame:
-    """Both product classes; a product with undefined COV (no demand at all) is in neither."""
+    """Both product classes; a product with undefined COV (no demand at all) is in neither.
+
+    A steady product with fewer train rows than ``arima_min_train`` is too short for a search and gets
+    ARIMA(0, d, 0), like the erratic ones; none is lost.
+    """
     series = _series(history, cfg).where(F.col("cov").isNotNull())
     tested = series.withColumn("d", difference_order(adf_column(F.col("y")), cfg))
     steady = F.col("cov") < cfg.cov_cut
-    search = _searcher(cfg.arima_horizon)(F.when(steady, F.col("train")), F.col("d"))
+    search = _searcher(cfg)(F.when(steady, F.col("train")), F.col("d"))
     made = tested.withColumn("found", search).withColumn(
-        "made", F.when(steady, F.col("found")).otherwise(_mean_or_last(F.col("d"), cfg))
+        "made", F.coalesce("found", _mean_or_last(F.col("d"), cfg))
     )
     return _long(made, "arima")

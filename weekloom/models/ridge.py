@@ -102,6 +102,8 @@ def non_negative(a: np.ndarray, b: np.ndarray) -> np.ndarray:
                 trial = np.zeros(k)
                 break
         w = trial
+    else:
+        raise ArithmeticError("non-negative least squares did not converge")
     return w
 
 

@@ -19,10 +19,10 @@ WEEK = dt.timedelta(days=7)
 def _weeks(df: DataFrame) -> DataFrame:
     """One row with the sorted array of all weeks present.
 
-    Bounded by the calendar, not by the data: partial aggregation leaves a few hundred days per
-    map task.
+    Bounded by the calendar, not by the data: weeks are made distinct in parallel, and one task
+    gathers each of them once.
     """
-    return df.agg(F.array_sort(F.collect_set(DAY)).alias("weeks"))
+    return df.select(DAY).distinct().agg(F.array_sort(F.collect_set(DAY)).alias("weeks"))
 
 
 def calendar_gaps(df: DataFrame) -> DataFrame:
@@ -83,7 +83,8 @@ def week_calendar(rows: DataFrame, cfg: ForecastConfig) -> WeekCalendar | None:
     either side, before interior gaps are listed. Knowing the weeks while the plan is built means
     no repair step where nothing is missing, and plain filters that reach the scan.
     """
-    row = rows.agg(F.array_sort(F.collect_set(DAY)).alias("weeks"), F.max("sales_week").alias("number")).first()
+    seen = rows.groupBy(DAY).agg(F.max("sales_week").alias("number"))
+    row = seen.agg(F.array_sort(F.collect_set(DAY)).alias("weeks"), F.max("number").alias("number")).first()
     weeks = row["weeks"]
     if not weeks:
         return None

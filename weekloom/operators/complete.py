@@ -24,7 +24,7 @@ def week_product_grid(prepared: DataFrame) -> DataFrame:
     The weeks (at most ``keep_weeks`` days) travel as one scalar array and are exploded per
     product, so there is no join.
     """
-    weeks = prepared.agg(F.array_sort(F.collect_set(DAY))).scalar()
+    weeks = prepared.select(DAY).distinct().agg(F.array_sort(F.collect_set(DAY))).scalar()
     low = prepared.where(~F.col(FLAG)).select(KEY).distinct()
     return low.select(F.explode(weeks).alias(DAY), KEY)
 
