@@ -361,7 +361,9 @@ def class_links(classes: DataFrame, texts: DataFrame, cfg: NearDedup) -> DataFra
             name, F.coalesce(name, c)
         )
     )
-    refused = label(label(pairs, "a", "_la"), "b", "_lb").where("_la != _lb").select("_node").distinct()
+    # A pair stands in many nodes: it is labelled once, and only refused pairs look for their nodes.
+    refused = label(label(star.select("a", "b"), "a", "_la"), "b", "_lb").where("_la != _lb").select("a", "b")
+    refused = pairs.join(stage(refused, "refused-pairs"), ["a", "b"], "left_semi").select("_node").distinct()
     again = label(nodes.join(stage(refused, "refused"), "_node", "left_semi"), "_c", "_label")
     # Classes that were plausible with nobody have no set here, and no link either.
     more = confirmed(again.withColumn("_ask", F.lit(False)), sets, cfg.percent)
