@@ -3,8 +3,10 @@
 1. Exact copies of a text are one text with its smallest id; only those are searched.
 2. Every string of ``length`` bytes names one of its places by content alone, the one with the smallest hash
    of ``GRAM`` bytes. Equal strings name equal places, so they meet at one such anchor. Anchors of two
-   documents or more set a bit in a map of fixed size; the anchors it knows go on, each with the bytes around
-   it that its strings can reach.
+   documents or more set a bit in a map of fixed size. A string reaches half its spare bytes beyond the
+   anchor on one side at least, so anchors in the map are looked up once more, longer by that half to the left
+   and to the right; those of which either form stands in two documents go on, each with the bytes around it
+   that its strings can reach.
 3. Per anchor the distinct surroundings are ordered to the right and, reversed, to the left by a deep-shallow
    sort: multikey quicksort on the first ``SHALLOW`` bytes, then a blind trie for each group that is still
    equal. The common prefix lengths of neighbours give those of all pairs, and a pair of which left and right
@@ -72,12 +74,31 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-def _seen(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(``_g``, ``_d``): 32 bits of every anchor, once per document."""
+def longer(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """32 bits of every anchor with half the spare bytes of a string before it, and behind it.
+
+    Where the text has not that many bytes on one side, the other side stands for it; on neither side means that
+    no string of ``length`` bytes fits, which ``anchors`` rules out.
+    """
+    half = (length - GRAM + 1) // 2
+    g = short(gram_hashes(data, GRAM + half))
+    has_left, has_right = at >= half, at < len(g)
+    before, behind = np.where(has_left, at - half, at), np.where(has_right, at, at - half)
+    return g[before], g[behind]
+
+
+def _seen(batches: Iterator[pa.RecordBatch], length: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """(``_g``, ``_d``): 32 bits of every anchor, or of both longer forms of those that ``bits`` knows; once per
+    document."""
+
+    def codes(data: np.ndarray) -> np.ndarray:
+        at, h = anchors(data, length)
+        return short(h) if bits is None else np.concatenate(longer(data, at[known(bits, short(h))], length))
+
     for batch in batches:
         docs = batch.column("_d").to_numpy(zero_copy_only=False)
         for at, part in passes(batch.column("_text")):
-            found = [np.unique(short(anchors(np.frombuffer(t, np.uint8), length)[1])) for t in part]
+            found = [np.unique(codes(np.frombuffer(t, np.uint8))) for t in part]
             owner = np.repeat(docs[at : at + len(part)], [len(g) for g in found])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(owner)], names=["_g", "_d"])
 
@@ -92,9 +113,15 @@ def slot(g: np.ndarray) -> np.ndarray:
     return (g.view(np.uint32) >> np.uint32(32 - MAP_BITS)).astype(np.int64)
 
 
-def bit_map(shared: DataFrame) -> np.ndarray:
-    """Bits of the anchors in ``shared``: a filter of fixed size, whatever the corpus. What it lets through by
+def known(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
+    s = slot(g)
+    return ((bits[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
+def bit_map(seen: DataFrame) -> np.ndarray:
+    """Bits of what stands in two documents: a filter of fixed size, whatever the corpus. What it lets through by
     chance is sorted out by the exact steps behind it."""
+    shared = seen.groupBy("_g").agg(F.min("_d").alias("_a"), F.max("_d").alias("_b")).where("_a < _b")
     rows = (
         shared.select(F.shiftrightunsigned("_g", 32 - MAP_BITS).alias("_slot"))
         .groupBy(F.shiftrightunsigned("_slot", 6).alias("_word"))
@@ -106,25 +133,31 @@ def bit_map(shared: DataFrame) -> np.ndarray:
     return words.view(np.uint64)
 
 
-def _around(batches: Iterator[pa.RecordBatch], length: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Every place of an anchor that the bit map knows, with the bytes around it."""
+def _around(
+    batches: Iterator[pa.RecordBatch], length: int, bits: np.ndarray, far: np.ndarray
+) -> Iterator[pa.RecordBatch]:
+    """Every place of an anchor that both bit maps know, with the bytes around it."""
     left = length - GRAM
     for batch in batches:
         docs, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_d", "_t"))
         for at, part in passes(batch.column("_text")):
             hs, ds, ts, ps, ctx = [], [], [], [], []
             for k, t in enumerate(part):
-                place, h = anchors(np.frombuffer(t, np.uint8), length)
-                s = slot(short(h))
-                known = np.flatnonzero((bits[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1))
-                for p in place[known].tolist():
+                data = np.frombuffer(t, np.uint8)
+                place, h = anchors(data, length)
+                keep = known(bits, short(h))
+                place, h = place[keep], h[keep]
+                before, behind = longer(data, place, length)
+                keep = known(far, before) | known(far, behind)
+                place, h = place[keep], h[keep]
+                for p in place.tolist():
                     # The first byte says how many bytes stand before the anchor.
                     a = max(0, p - left)
                     ctx.append(bytes((p - a,)) + t[a : p + length])
-                hs.append(h[known])
-                ps.append(place[known])
-                ds.append(np.full(len(known), docs[at + k]))
-                ts.append(np.full(len(known), keys[at + k]))
+                hs.append(h)
+                ps.append(place)
+                ds.append(np.full(len(h), docs[at + k]))
+                ts.append(np.full(len(h), keys[at + k]))
             if ctx:
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -303,10 +336,11 @@ def covered(texts: DataFrame, length: int, group: int) -> DataFrame:
     ``texts``: ``_d``, ``_t`` (hash of the text) and ``_text``.
     """
     slim = texts.select("_d", "_t", "_text")
-    seen = slim.select("_d", "_text").mapInArrow(lambda b: _seen(b, length), "_g int, _d bigint")
-    shared = seen.groupBy("_g").agg(F.min("_d").alias("_a"), F.max("_d").alias("_b")).where("_a < _b")
-    bits = texts.sparkSession.sparkContext.broadcast(bit_map(shared))
-    every = slim.mapInArrow(lambda b: _around(b, length, bits.value), "_h bigint, _d bigint, _t bigint, _at int, _ctx binary")
+    only = slim.select("_d", "_text")
+    send = texts.sparkSession.sparkContext.broadcast
+    bits = send(bit_map(only.mapInArrow(lambda b: _seen(b, length, None), "_g int, _d bigint")))
+    far = send(bit_map(only.mapInArrow(lambda b: _seen(b, length, bits.value), "_g int, _d bigint")))
+    every = slim.mapInArrow(lambda b: _around(b, length, bits.value, far.value), "_h bigint, _d bigint, _t bigint, _at int, _ctx binary")
     code = [F.xxhash64(F.lit(s), "_h", "_ctx").alias(f"_k{s}") for s in (1, 2)]
     places = stage(every, "places").select("*", *code)
     distinct = places.groupBy("_h", *KEY).agg(F.min("_d").alias("_first"), F.first("_ctx").alias("_ctx"))
