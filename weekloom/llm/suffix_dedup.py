@@ -36,7 +36,7 @@ from weekloom.llm.words import INVERSE, as_bytes, group_cuts, mix, passes, power
 from weekloom.session import stage
 
 LENGTH = 50
-GRAM = 24
+GRAM = 20
 SHALLOW = 8
 GROUP = 256
 #: The bit map of shared anchors has 2**27 bits, 16 MB.
@@ -302,8 +302,8 @@ def _reach(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         some = np.flatnonzero(right)
         if len(some):
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(c).take(some).combine_chunks() for c in KEY), pa.array(left[some]), pa.array(right[some])],
-                names=[*KEY, "_left", "_right"],
+                [pa.array(h[some]), pa.array([ctx[k] for k in some], pa.binary()), pa.array(left[some]), pa.array(right[some])],
+                names=["_h", "_ctx", "_left", "_right"],
             )
 
 
@@ -341,26 +341,28 @@ def covered(texts: DataFrame, length: int, group: int) -> DataFrame:
     bits = send(bit_map(only.mapInArrow(lambda b: _seen(b, length, None), "_g int, _d bigint")))
     far = send(bit_map(only.mapInArrow(lambda b: _seen(b, length, bits.value), "_g int, _d bigint")))
     every = slim.mapInArrow(lambda b: _around(b, length, bits.value, far.value), "_h bigint, _d bigint, _t bigint, _at int, _ctx binary")
+    # Surroundings travel as bytes; their keys are made from them where a join wants them.
     code = [F.xxhash64(F.lit(s), "_h", "_ctx").alias(f"_k{s}") for s in (1, 2)]
-    places = stage(every, "places").select("*", *code)
-    distinct = places.groupBy("_h", *KEY).agg(F.min("_d").alias("_first"), F.first("_ctx").alias("_ctx"))
-    distinct = stage(distinct, "surroundings")
+    places = stage(every, "places")
+    distinct = stage(places.groupBy("_h", "_ctx").agg(F.min("_d").alias("_first")), "surroundings")
     sizes = distinct.groupBy("_h").agg(F.count(F.lit(1)).alias("_size"))
     large = stage(sizes.where(F.col("_size") > group).select("_h"), "large")
     compared = (
         join_measured(distinct, large, ["_h"], "left_anti", 64)
         .repartition("_h")
         .sortWithinPartitions("_h")
-        .select("_h", *KEY, "_first", "_ctx")
-        .mapInArrow(lambda b: _reach(b, length), "_k1 bigint, _k2 bigint, _left int, _right int")
+        .select("_h", "_first", "_ctx")
+        .mapInArrow(lambda b: _reach(b, length), "_h bigint, _ctx binary, _left int, _right int")
+        .select(*code, "_left", "_right")
     )
-    reached = compared.union(spelled_out(join_measured(distinct, large, ["_h"], "inner", 64), length).select(*KEY, "_left", "_right"))
-    reached = distinct.drop("_h", "_ctx").join(reached, KEY, "left")
+    often = join_measured(distinct, large, ["_h"], "inner", 64).select("*", *code)
+    reached = compared.union(spelled_out(often, length).select(*KEY, "_left", "_right"))
+    reached = distinct.select(*code, "_first").join(reached, KEY, "left")
     size = F.least(F.lit(length), F.length("_ctx") - 1 - F.ascii(F.substring("_ctx", 1, 1).cast("string")))
     # A later document with the same surroundings is covered as far as they hold a whole string.
     whole = F.when(F.length("_ctx") > length, F.struct(F.ascii(F.substring("_ctx", 1, 1).cast("string")).alias("l"), size.alias("r")))
     return (
-        places.select(*KEY, "_d", "_t", "_at", whole.alias("_whole"))
+        places.select(*code, "_d", "_t", "_at", whole.alias("_whole"))
         .join(reached, KEY)
         .select(
             "_d",
