@@ -416,9 +416,10 @@ SQL["series_arrays"] = (
 )
 SQL["pivot_week_group"] = (
     base("filtered")
-    + f" SELECT {day('f.First_day', 'First_day')}, "
-    + ", ".join(num(f"sum(total_qty) FILTER (sis_group_id = {g})", f"group_{g}") for g in range(1, 7))
-    + " FROM filtered f GROUP BY f.First_day"
+    + ", sums AS (SELECT First_day, sis_group_id, sum(total_qty) AS total_qty FROM filtered GROUP BY 1, 2),"
+    " cells AS (SELECT * FROM (SELECT DISTINCT First_day FROM filtered) CROSS JOIN (SELECT DISTINCT sis_group_id FROM filtered))"
+    f" SELECT {day('c.First_day', 'First_day')}, CAST(c.sis_group_id AS VARCHAR) AS grp, {num('s.total_qty', 'total_qty')}"
+    " FROM cells c LEFT JOIN sums s ON s.First_day = c.First_day AND s.sis_group_id = c.sis_group_id"
 )
 IMPUTED = {"lag_total_qty_1": f"lag(total_qty) {W}", "diff_total_qty_1": f"total_qty - lag(total_qty) {W}"}
 FRAME4 = "OVER (PARTITION BY product_id, split ORDER BY First_day ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"
@@ -566,9 +567,10 @@ SQL["metrics_by_product"] = (
 SQL["step_group_table"] = (
     base("split")
     + NAIVE
-    + f", levels_ AS ({_levels('naive_known')}) SELECT 'step_' || step AS step, "
-    + ", ".join(num(f"max(wmape) FILTER (grp = '{g}')", f"group_{g}") for g in range(1, 7))
-    + f", {num("max(wmape) FILTER (grp = 'total')", 'total')} FROM levels_ GROUP BY step"
+    + f", levels_ AS ({_levels('naive_known')}),"
+    " cells AS (SELECT * FROM (SELECT DISTINCT step FROM levels_) CROSS JOIN (SELECT DISTINCT grp FROM levels_))"
+    f" SELECT 'step_' || c.step AS step, c.grp, {num('l.wmape', 'wmape')}"
+    " FROM cells c LEFT JOIN levels_ l ON l.step = c.step AND l.grp = c.grp"
 )
 SQL["aligned_actuals"] = (
     base("filtered")
@@ -583,7 +585,7 @@ SQL["model_leaderboard"] = (
     + MEAN_OR_LAST
     + ", stacked AS (SELECT model, sis_group_id, step, y, yhat FROM naive_known UNION ALL"
     " SELECT model, sis_group_id, step, y, yhat FROM mean_or_last),"
-    f" levels_ AS ({_levels('stacked', 'step IN (1, 2, 3, 4, 12)')})"
+    f" levels_ AS ({_levels('stacked', 'step IN (1, 2, 3, 4, 12, 24, 26)')})"
     f" SELECT model, grp, step, {num('rmse')}, {num('wmape')}, n,"
     " CAST(rank() OVER (PARTITION BY grp, step ORDER BY rmse) AS INTEGER) AS place FROM levels_"
 )
@@ -640,26 +642,86 @@ SQL["window_gram"] = (
 # --- actual values of the test weeks ---------------------------------------------------------------------
 
 
-def _actuals(model: str, start: str, steps: str) -> str:
+def _actuals(model: str, start: str, steps: str, scope: str = "-") -> str:
     """Rows after position ``start`` as steps 1, 2, ..."""
     return (
-        f"SELECT '{model}' AS model, product_id, sis_group_id, CAST(rn - {start} AS INTEGER) AS step,"
+        f"SELECT '{model}' AS model, '{scope}' AS scope, product_id, sis_group_id, CAST(rn - {start} AS INTEGER) AS step,"
         f" {num('total_qty', 'y')} FROM numbered JOIN varied USING (product_id) WHERE rn - {start} {steps}"
     )
 
 
-SQL["forecast_alignment"] = (
+VARIED = f", varied AS (SELECT product_id, {COV} AS cov FROM filtered GROUP BY product_id) "
+ALIGNED = _unpivot(
+    [
+        _actuals("arima", "floor(0.85::DOUBLE * cnt)", "BETWEEN 1 AND 24 AND cov IS NOT NULL"),
+        _actuals("ridge", "132", "BETWEEN 1 AND 26"),
+        _actuals("var", "(cnt - 30)", "BETWEEN 1 AND 30"),
+        _actuals("window", "(cnt - 26)", "IN (1, 2, 3, 4, 12, 26)", "group"),
+        _actuals("window", "(cnt - 26)", "IN (1, 2, 3, 4, 12, 26)", "total"),
+    ]
+)
+SQL["forecast_alignment"] = base("filtered") + NUMBERED + VARIED + ALIGNED
+SQL["forecast_coverage"] = (
     base("filtered")
     + NUMBERED
-    + f", varied AS (SELECT product_id, {COV} AS cov FROM filtered GROUP BY product_id) "
-    + _unpivot(
-        [
-            _actuals("arima", "floor(0.85::DOUBLE * cnt)", "BETWEEN 1 AND 24 AND cov IS NOT NULL"),
-            _actuals("ridge", "132", "BETWEEN 1 AND 26"),
-            _actuals("var", "(cnt - 30)", "BETWEEN 1 AND 30"),
-            _actuals("window", "(cnt - 26)", "IN (1, 2, 3, 4, 12, 26)"),
-        ]
-    )
+    + VARIED
+    + f", aligned AS ({ALIGNED}) SELECT model, scope, product_id, count(*) AS n_rows FROM aligned GROUP BY 1, 2, 3"
+)
+
+# --- models small enough for a closed form ------------------------------------------------------------------
+
+STANDARD = """, s AS (SELECT product_id, avg(total_qty) AS mu, CASE WHEN stddev_pop(total_qty) = 0 THEN 1
+        ELSE stddev_pop(total_qty) END AS sd FROM filtered GROUP BY 1)"""
+SQL["window_one"] = (
+    base("filtered")
+    + NUMBERED
+    + STANDARD
+    + f""", z AS (SELECT product_id, sis_group_id, rn, cnt, total_qty, mu, sd, (total_qty - mu) / sd AS x,
+        (lead(total_qty) {P} - mu) / sd AS nx, lead(total_qty) {P} AS y FROM numbered JOIN s USING (product_id)),
+    train AS (SELECT * FROM z WHERE rn <= floor(0.85::DOUBLE * (cnt - 1))),
+    line AS (SELECT 'group' AS scope, sis_group_id AS grp, regr_slope(nx, x) AS b, regr_intercept(nx, x) AS a FROM train GROUP BY sis_group_id
+        UNION ALL SELECT 'total', NULL, regr_slope(nx, x), regr_intercept(nx, x) FROM train)
+    SELECT 'window' AS model, scope, product_id, sis_group_id, 1 AS step, {num('y')},
+        {num('greatest((a + b * x) * sd + mu, 0)', 'yhat')}
+    FROM z JOIN line ON grp = sis_group_id OR grp IS NULL WHERE rn = cnt - 1"""
+)
+SQL["var_single"] = (
+    base("filtered")
+    + NUMBERED
+    + f""", diffs AS (SELECT product_id, rn, cnt, total_qty - lag(total_qty) {P} AS x FROM numbered),
+    pairs AS (SELECT product_id, rn, cnt, x, lag(x) {P.replace("First_day", "rn")} AS z FROM diffs),
+    line AS (SELECT product_id, regr_slope(x, z) AS b, regr_intercept(x, z) AS a FROM pairs WHERE rn <= cnt - 30 GROUP BY 1),
+    ends AS (SELECT product_id, total_qty AS last_value, x AS last_x FROM numbered JOIN diffs USING (product_id, rn, cnt)
+        WHERE rn = cnt - 30),
+    made AS (SELECT product_id, CAST(step AS INTEGER) AS step,
+        last_value + sum(b ** step * last_x + a * (1 - b ** step) / (1 - b)) OVER (PARTITION BY product_id ORDER BY step) AS yhat
+        FROM ends JOIN line USING (product_id) CROSS JOIN (SELECT unnest(range(1, 31)) AS step))
+    SELECT 'var' AS model, product_id, product_id AS sis_group_id, step, {num('total_qty', 'y')}, {num('yhat')}
+    FROM made JOIN numbered USING (product_id) WHERE rn = cnt - 30 + step"""
+)
+# The first ten values only feed the long autoregression.
+SQL["arima_ar1"] = (
+    base("filtered")
+    + NUMBERED
+    + VARIED
+    + f""", known AS (SELECT product_id, rn, total_qty, lag(total_qty) {P} AS before, floor(0.85::DOUBLE * cnt) AS cut
+        FROM numbered JOIN varied USING (product_id) WHERE cov < 1),
+    u AS (SELECT product_id, 0 AS d, rn AS t, total_qty AS x FROM known WHERE rn <= cut
+        UNION ALL SELECT product_id, 1, rn - 1, total_qty - before FROM known WHERE rn <= cut AND rn > 1),
+    pairs AS (SELECT *, lag(x) OVER (PARTITION BY product_id, d ORDER BY t) AS z FROM u),
+    fit AS (SELECT product_id, d, count(*) AS n, avg(x) AS mean, var_pop(x) * count(*) AS rss0, regr_slope(x, z) AS b,
+        regr_intercept(x, z) AS a, regr_syy(x, z) - regr_sxy(x, z) * regr_sxy(x, z) / regr_sxx(x, z) AS rss1
+        FROM pairs WHERE t > 10 GROUP BY 1, 2),
+    model AS (SELECT product_id, d, CASE WHEN ar THEN b ELSE 0 END AS b, CASE WHEN ar THEN a ELSE mean END AS a
+        FROM (SELECT *, n * ln(rss1 / n) + 4 < n * ln(rss0 / n) + 2 AND abs(b) < 0.999 AS ar FROM fit)),
+    ends AS (SELECT product_id, d, arg_max(x, t) AS last_x FROM u GROUP BY 1, 2),
+    made AS (SELECT product_id, d, CAST(step AS INTEGER) AS step, b ** step * last_x + a * (1 - b ** step) / (1 - b) AS v
+        FROM model JOIN ends USING (product_id, d) CROSS JOIN (SELECT unnest(range(1, 25)) AS step)),
+    level AS (SELECT product_id, d, step, CASE d WHEN 0 THEN v
+        ELSE total_qty + sum(v) OVER (PARTITION BY product_id, d ORDER BY step) END AS yhat
+        FROM made JOIN known USING (product_id) WHERE rn = cut)
+    SELECT 'arima_search' AS model, l.product_id, sis_group_id, step, d, {num('total_qty', 'y')}, {num('yhat')}
+    FROM level l JOIN numbered k ON k.product_id = l.product_id AND rn = floor(0.85::DOUBLE * cnt) + step"""
 )
 SQL["forest_alignment"] = (
     base("split")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -361,9 +362,9 @@ def series_arrays(spark, d):
 
 @query
 def pivot_week_group(spark, d):
-    """Weeks by product groups; the six groups of the data as columns."""
-    wide = pivot_weeks(filtered(spark, d), QTY, GROUP, list(range(1, 7)))
-    return tidy(wide.select(DAY, *[F.col(f"`{g}`").alias(f"group_{g}") for g in range(1, 7)]))
+    """Weeks by product groups, the groups being those of the data; the cells of the wide table as rows."""
+    wide = pivot_weeks(filtered(spark, d), QTY, GROUP)
+    return tidy(wide.unpivot([DAY], [F.col(f"`{c}`") for c in wide.columns if c != DAY], "grp", QTY))
 
 
 @query
@@ -480,9 +481,8 @@ def metrics_by_product(spark, d):
 @query
 def step_group_table(spark, d):
     scores = metrics.scores_by_group_and_total(_naive(spark, d), CFG.steps)
-    names = [str(g) for g in range(1, 7)]
-    table = metrics.step_group_table(scores, "wmape", [*names, "total"])
-    return tidy(table.select("step", *[F.col(f"`{g}`").alias(f"group_{g}") for g in names], "total"))
+    table = metrics.step_group_table(scores, "wmape")
+    return tidy(table.unpivot(["step"], [F.col(f"`{c}`") for c in table.columns if c != "step"], "grp", "wmape"))
 
 
 @query
@@ -498,10 +498,10 @@ def aligned_actuals(spark, d):
 
 @query
 def model_leaderboard(spark, d):
-    """The two forecasters above ranked per group and step they share."""
-    shared = (1, 2, 3, 4, 12)
+    """The two forecasters above ranked per group and step; a step that only one forecasts has one place."""
+    steps = tuple(sorted({*CFG.steps, *CFG.arima_steps}))
     rows = _naive(spark, d).drop(DAY).unionByName(_mean_or_last(spark, d))
-    scores = metrics.scores_by_group_and_total(rows, shared)
+    scores = metrics.scores_by_group_and_total(rows, steps)
     return tidy(metrics.leaderboard(scores))
 
 
@@ -593,12 +593,50 @@ def window_forecast(spark, d):
     return tidy(window_rows(spark, d))
 
 
+def _four_models(spark, d):
+    rows = [f(spark, d) for f in (arima_rows, ridge_rows, var_rows, window_rows)]
+    scoped = [r if "scope" in r.columns else r.withColumn("scope", F.lit("-")) for r in rows]
+    keep = ["model", "scope", KEY, GROUP, "step", "y"]
+    return reduce(DataFrame.unionByName, [r.select(keep) for r in scoped])
+
+
 @query
 def forecast_alignment(spark, d):
-    """The actual values the forecasts are scored against, by model and step."""
-    rows = [f(spark, d) for f in (arima_rows, ridge_rows, var_rows, window_rows)]
-    keep = ["model", KEY, GROUP, "step", "y"]
-    return tidy(reduce(DataFrame.unionByName, [r.select(keep) for r in rows]).distinct())
+    """The actual values the forecasts are scored against, by model, scope and step."""
+    return tidy(_four_models(spark, d))
+
+
+@query
+def forecast_coverage(spark, d):
+    """How many forecasts every product has, by model and scope."""
+    return _four_models(spark, d).groupBy("model", "scope", KEY).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# The same code with parameters small enough for SQL to solve in closed form.
+
+
+@query
+def window_one(spark, d):
+    """One week predicts the next: a straight line per group and one over all."""
+    return tidy(window.forecast_window(filtered(spark, d), replace(CFG, window=1, steps=(1,))))
+
+
+@query
+def var_single(spark, d):
+    """Every product its own group, one lag."""
+    alone = filtered(spark, d).withColumn(GROUP, F.col(KEY).cast("bigint"))
+    return tidy(var.forecast_var(alone, replace(CFG, var_lags=1)))
+
+
+@query
+def arima_ar1(spark, d):
+    """Constant or AR(1) by AIC, on the values (d = 0) and on their differences (d = 1)."""
+    small = replace(CFG, arima_max_p=1, arima_max_q=0)
+    parts = [
+        arima.search_forecast(filtered(spark, d), replace(small, adf_level=level)).withColumn("d", F.lit(order))
+        for order, level in ((0, 2.0), (1, 0.0))
+    ]
+    return tidy(parts[0].unionByName(parts[1]))
 
 
 @query

@@ -46,6 +46,8 @@ class ForecastConfig:
     arima_max_p: int = 5  # orders searched: all (p, q) up to these, as far as the series is long enough
     arima_max_q: int = 5
     arima_min_train: int = 8  # steady products with fewer train rows get ARIMA(0, d, 0)
+    forest_depth: int = 10  # MLlib takes up to 30
+    forest_bins: int = 32  # split candidates per feature
     ridge_train: int = 100
     ridge_valid: int = 32
     ridge_test: int = 26

@@ -18,18 +18,18 @@ from weekloom.operators.scaling import impute_mean, scale
 from weekloom.session import stage, stage_all
 
 TREES = 100
-DEPTH = 10
 # The searched tree counts and feature rules.
 GRID = tuple(product((100, 133, 166, 200), ("all", "sqrt")))
 
 
-def _forest(label: str, trees: int, subset: str) -> RandomForestRegressor:
+def _forest(label: str, trees: int, subset: str, cfg: ForecastConfig) -> RandomForestRegressor:
     return RandomForestRegressor(
         featuresCol="features",
         labelCol=label,
         predictionCol=f"p_{label}",
         numTrees=trees,
-        maxDepth=DEPTH,
+        maxDepth=cfg.forest_depth,
+        maxBins=cfg.forest_bins,
         featureSubsetStrategy=subset,
         seed=0,
         cacheNodeIds=True,  # deep trees: rows remember their node instead of walking every tree again
@@ -42,12 +42,15 @@ def _assembled(rows: DataFrame, features: list[str]) -> DataFrame:
     )
 
 
-def _predict(rows: DataFrame, features: list[str], targets: list[str], trees: int, pool: ThreadPool) -> DataFrame:
+def _predict(
+    rows: DataFrame, features: list[str], targets: list[str], trees: int, pool: ThreadPool, cfg: ForecastConfig
+) -> DataFrame:
     """Fit one forest per target on the train rows and predict the validation rows."""
     ready = _assembled(rows, features)
     train = ready.where("split = 'train'").select("features", *targets).persist()
     try:
-        models = pool.map(lambda t: _forest(t, trees, "sqrt").fit(train), targets)
+        train.count()  # fills the cache before the fits start together
+        models = pool.map(lambda t: _forest(t, trees, "sqrt", cfg).fit(train), targets)
     finally:
         train.unpersist()
     return reduce(lambda df, m: m.transform(df), models, ready.where("split = 'valid'"))
@@ -79,7 +82,7 @@ def _group_forecasts(history: DataFrame, cfg: ForecastConfig, trees: int, parall
             groups = [r[0] for r in frame.select("grp").distinct().orderBy("grp").collect()] if by else [None]
             for g in groups:
                 rows = frame if g is None else frame.where(F.col("grp") == g)
-                yield _long(_predict(rows, features, targets, trees, pool), scope, cfg)
+                yield _long(_predict(rows, features, targets, trees, pool, cfg), scope, cfg)
 
 
 def _long(predicted: DataFrame, scope: str, cfg: ForecastConfig) -> DataFrame:
@@ -112,10 +115,11 @@ def search_forest(
     ready = _assembled(frame, features).select("split", "features", label)
     train = ready.where("split = 'train'").persist()
     valid = ready.where((F.col("split") == "valid") & F.col(label).isNotNull()).persist()
+    train.count(), valid.count()  # fill the caches before the fits start together
     judge = RegressionEvaluator(labelCol=label, predictionCol=f"p_{label}", metricName="rmse")
 
     def run(params: tuple[int, str]) -> tuple[int, str, float]:
-        model = _forest(label, *params).fit(train)
+        model = _forest(label, *params, cfg).fit(train)
         return (*params, judge.evaluate(model.transform(valid)))
 
     pool = ThreadPool(parallelism)

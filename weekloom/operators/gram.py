@@ -2,8 +2,9 @@
 fit here.
 
 Each task adds up Z'Z of its own rows, so what is shuffled depends on the number of keys and
-columns, not on the number of rows, and a key with a large share of the rows is spread over all
-tasks. No pairs of rows or of products are ever produced.
+columns, not on the number of rows. With a key the series are first rebalanced on it: a task meets few
+keys, and a key with a large share of the rows is spread over several tasks. No pairs of rows or of
+products are ever produced.
 """
 
 from __future__ import annotations
@@ -81,7 +82,11 @@ def gram(df: DataFrame, column: str, width: int, designs: dict[int, Design], key
             yield emit(parts)
 
     group = [key] if key else []
-    pieces = df.select(*group, column).mapInArrow(partial, schema)
+    series = df.select(*group, column)
+    if key:
+        # Few keys per task, so partial matrices stay fewer than series; a hot key is split over tasks.
+        series = series.hint("rebalance", key)
+    pieces = series.mapInArrow(partial, schema)
     # Rows are already combined per task; one shuffle by matrix row, then the sums need no other.
     return (
         pieces.repartition(*group, "design", "i")

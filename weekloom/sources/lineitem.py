@@ -20,7 +20,8 @@ def _sales_week(day: Column) -> Column:
 def raw_demand(spark: SparkSession, sf_dir: str, key: str = "brand_type") -> DataFrame:
     """One row per (product, sales_year, sales_week).
 
-    ``key`` picks what counts as a product: ``brand_type``, ``brand`` or ``supplier``.
+    ``key`` picks what counts as a product: ``brand_type``, ``brand`` or ``supplier``. Part types outside
+    ``PART_TYPES`` are kind 0, a group of their own.
     """
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         "l_partkey",
@@ -36,11 +37,15 @@ def raw_demand(spark: SparkSession, sf_dir: str, key: str = "brand_type") -> Dat
         label = F.concat(F.lit("Brand#"), brand.cast("string"))
         product = F.col("l_suppkey")
     else:
-        parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_type")
+        # Brand and kind are worked out once per part, not once per order line.
+        parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(
+            "p_partkey",
+            F.col("p_brand").alias("label"),
+            F.regexp_extract("p_brand", r"^Brand#(\d+)$", 1).cast("bigint").alias("brand"),
+            F.array_position(F.array(*[F.lit(t) for t in PART_TYPES]), F.col("p_type")).alias("kind"),
+        )
         lines = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        brand = F.regexp_extract("p_brand", r"^Brand#(\d+)$", 1).cast("bigint")
-        kind = F.array_position(F.array(*[F.lit(t) for t in PART_TYPES]), F.col("p_type"))
-        label = F.col("p_brand")
+        brand, kind, label = F.col("brand"), F.col("kind"), F.col("label")
         product = brand * 10 + kind if key == "brand_type" else brand
         if key == "brand":
             kind = brand % 6 + 1
