@@ -291,6 +291,7 @@ def reach(ctx: list[bytes], first: np.ndarray, length: int) -> tuple[np.ndarray,
 
 
 def _reach(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Every surrounding with its reach, also those that no other one covers: copies of it look here too."""
     for part in whole_groups(batches, "_h"):
         h, first = part.column("_h").to_numpy(), part.column("_first").to_numpy()
         ctx = part.column("_ctx").to_pylist()
@@ -299,12 +300,10 @@ def _reach(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             if hi - lo > 1:
                 left[lo:hi], right[lo:hi] = reach(ctx[lo:hi], first[lo:hi], length)
-        some = np.flatnonzero(right)
-        if len(some):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[some]), pa.array([ctx[k] for k in some], pa.binary()), pa.array(left[some]), pa.array(right[some])],
-                names=["_h", "_ctx", "_left", "_right"],
-            )
+        yield pa.RecordBatch.from_arrays(
+            [*(part.column(c).combine_chunks() for c in ("_h", "_ctx", "_first")), pa.array(left), pa.array(right)],
+            names=["_h", "_ctx", "_first", "_left", "_right"],
+        )
 
 
 def spelled_out(large: DataFrame, length: int) -> DataFrame:
@@ -352,12 +351,12 @@ def covered(texts: DataFrame, length: int, group: int) -> DataFrame:
         .repartition("_h")
         .sortWithinPartitions("_h")
         .select("_h", "_first", "_ctx")
-        .mapInArrow(lambda b: _reach(b, length), "_h bigint, _ctx binary, _left int, _right int")
-        .select(*code, "_left", "_right")
+        .mapInArrow(lambda b: _reach(b, length), "_h bigint, _ctx binary, _first bigint, _left int, _right int")
+        .select(*code, "_first", "_left", "_right")
     )
     often = join_measured(distinct, large, ["_h"], "inner", 64).select("*", *code)
-    reached = compared.union(spelled_out(often, length).select(*KEY, "_left", "_right"))
-    reached = distinct.select(*code, "_first").join(reached, KEY, "left")
+    often = often.select(*KEY, "_first").join(spelled_out(often, length), KEY, "left")
+    reached = compared.union(often.select(*KEY, "_first", "_left", "_right"))
     size = F.least(F.lit(length), F.length("_ctx") - 1 - F.ascii(F.substring("_ctx", 1, 1).cast("string")))
     # A later document with the same surroundings is covered as far as they hold a whole string.
     whole = F.when(F.length("_ctx") > length, F.struct(F.ascii(F.substring("_ctx", 1, 1).cast("string")).alias("l"), size.alias("r")))
