@@ -11,6 +11,7 @@ from weekloom.llm import (
     html_extract,
     license_scan,
     line_dedup,
+    merkle_manifest,
     mixing,
     near_dedup,
     quality_rules,
@@ -61,6 +62,10 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.verified(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_decontaminate": op2_decontaminate,
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_html_extract": op10_html_extract,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 SQL: dict[str, str] = {
@@ -80,4 +86,5 @@ SQL: dict[str, str] = {
     "op5_line_dedup": line_dedup.SQL,
     "op6_near_dedup": near_dedup.SQL,
     "op8_mix_sources": mixing.SQL,
+    "op11_merkle_manifest": merkle_manifest.SQL,
 }
