@@ -14,6 +14,7 @@ from weekloom.llm import (
     merkle_manifest,
     mixing,
     near_dedup,
+    periodic_runs,
     quality_rules,
     substring_dedup,
     suffix_dedup,
@@ -66,6 +67,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.verified(table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = periodic_runs.planted(table(spark, sf_dir, "documents"))
+    return periodic_runs.digest(periodic_runs.find(planted, texts=False))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_decontaminate": op2_decontaminate,
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_html_extract": op10_html_extract,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 SQL: dict[str, str] = {
