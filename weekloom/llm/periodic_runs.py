@@ -47,8 +47,9 @@ FRAGMENT = "array<struct<q:bigint,s:bigint,e:bigint>>"
 
 def numbers(words: list[bytes]) -> np.ndarray:
     """Equal words, equal numbers."""
-    known: dict[bytes, int] = {}
-    return np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+    distinct = dict.fromkeys(words)
+    known = dict(zip(distinct, range(len(distinct))))
+    return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
 def tiles(n: int, size: int = TILE) -> Iterator[tuple[int, int, int, int]]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weekloom.llm import (
     decontaminate,
@@ -14,6 +15,7 @@ from weekloom.llm import (
     merkle_manifest,
     mixing,
     near_dedup,
+    packing,
     periodic_runs,
     quality_rules,
     substring_dedup,
@@ -67,6 +69,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.verified(table(spark, sf_dir, "documents"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(table(spark, sf_dir, "documents"), packing.tokenizer_file())
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = periodic_runs.planted(table(spark, sf_dir, "documents"))
     return periodic_runs.digest(periodic_runs.find(planted, texts=False))
@@ -84,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_html_extract": op10_html_extract,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_packing": op12_packing,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
