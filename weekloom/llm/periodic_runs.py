@@ -12,8 +12,8 @@ are equal exactly where the blocks are (each level numbers pairs of the level be
 the powers of two by which equal blocks continue. As soon as no block of a level stands twice, all longer periods
 are done. Nothing is hashed, so nothing is wrong by chance.
 
-Fragments that reach the end of their search go on in a neighbour. They are shuffled by document and period and
-stitched where they touch; a stretch found with several periods counts with the smallest. A fragment inside a stretch
+Fragments of a period that touch are joined; those that leave their tile's core go on in the next. They are shuffled
+by document and period and stitched; a stretch found with several periods counts with the smallest. A fragment inside a stretch
 of a period that divides its own is dropped at once, or a text of one word would have fragments of all periods.
 
 Tiles of texts beyond one tile are dealt out to all tasks, so that one huge text is solved by many. Texts travel only if
@@ -124,11 +124,11 @@ def solve(x: np.ndarray, low: int, high: int, start: int, end: int, n: int) -> l
             ok = s >= block
             ok[ok] = name[s[ok] - block] == name[s[ok] - block + q[ok]]
             s -= block * ok
-        most = 2 * step - 1
-        going_on = (e - m == most) | (m - s == most)
-        keep = going_on | (e - s + q >= np.maximum(LEAST, TIMES * q))
+        q, s, e = merged(q, s, e)
+        # Within the core a fragment is whole; one that leaves it may go on in the next tile.
+        keep = (s < start) | (e >= end) | (e - s + q >= np.maximum(LEAST, TIMES * q))
         if keep.any():
-            part = without_multiples(merged(q[keep], s[keep], e[keep]), found)
+            part = without_multiples((q[keep], s[keep], e[keep]), found)
             if len(part[0]):
                 found.append(part)
     return [(int(q), int(s), int(e)) for part in found for q, s, e in zip(*part)]
@@ -280,7 +280,8 @@ def find(docs: DataFrame, texts: bool = True, size: int = TILE) -> DataFrame:
     elsewhere = dealt.mapInArrow(solved, "_row bigint, q bigint, s bigint, e bigint")
     runs = stage(stitched(here.union(elsewhere)), "runs")
     none = F.array().cast(RUN)
-    held = of_texts.where("_plain IS NULL").join(runs, "_row", "left")
+    # Always by a shuffle: texts of documents with runs grow with the input, and so do the runs.
+    held = of_texts.where("_plain IS NULL").join(runs.hint("merge"), "_row", "left")
     done = held.select("doc_id", "_n", "_text", F.coalesce("runs", none).alias("runs")).mapInArrow(
         lambda b: finished(b, texts), f"doc_id {kind}, n_words bigint, runs {RUN}, strongest {RUN[6:-1]}, collapsed string"
     )
