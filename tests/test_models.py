@@ -443,3 +443,34 @@ def test_join_beyond_the_broadcast_limit_is_a_shuffle_join(spark):
 def test_staged_parts_form_one_table(spark):
     parts = (spark.range(i, i + 2) for i in (0, 10, 20))
     assert sorted(r[0] for r in stage_all(parts, "parts").collect()) == [0, 1, 10, 11, 20, 21]
+
+
+def test_shared_targets_and_origin(spark, data):
+    """Only cells that all models have count; with one origin all models meet in the same weeks."""
+    from weekloom.models.var import forecast_var as var_rows
+    from weekloom.operators.metrics import shared_targets
+    from weekloom.plans.evaluation import compare_shared, shared_origin
+
+    day = dt.date(2020, 1, 6)
+    rows = [("a", 1, 1, 1, day, 1.0, 2.0), ("a", 2, 1, 1, day, 1.0, 2.0), ("b", 1, 1, 1, day, 1.0, 3.0)]
+    rows += [("b", 2, 1, 1, day + dt.timedelta(days=7), 1.0, 3.0), ("b", 2, 1, 2, day, 1.0, 3.0), ("b", 3, 1, 1, day, None, 1.0)]
+    small = spark.createDataFrame(
+        rows, "model string, product_id long, sis_group_id long, step int, target_week date, y double, yhat double"
+    )
+    assert sorted((r["model"], r[KEY], r["step"]) for r in shared_targets(small, 2).collect()) == [("a", 1, 1), ("b", 1, 1)]
+
+    df, series = data
+    fair = shared_origin(CFG)
+    made = [forecast_naive(df, fair), forecast_arima(df, fair), var_rows(df, fair), forecast_window(df, fair)]
+    made.append(forecast_ridge(df, fair, GRID[:1]))
+    for m in made:
+        for r in m.collect():
+            at = (r["target_week"] - dt.date(2020, 1, 6)).days // 7
+            assert r["y"] == pytest.approx(series[r[KEY]][at])
+    board = compare_shared(made, fair).collect()
+    assert {r["n"] for r in board if r["grp"] == "total"} == {5}
+    assert {(r["model"], r["step"]) for r in board if r["grp"] == "total"} == {
+        (m, s) for m in ("naive", "arima", "var", "window", "ridge") for s in CFG.steps
+    }
+    # By default the splits differ: nothing in common with ARIMA.
+    assert compare_shared([forecast_arima(df, CFG), *made[3:]], CFG).count() == 0

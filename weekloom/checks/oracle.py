@@ -723,6 +723,46 @@ SQL["arima_ar1"] = (
     SELECT 'arima_search' AS model, l.product_id, sis_group_id, step, d, {num('total_qty', 'y')}, {num('yhat')}
     FROM level l JOIN numbered k ON k.product_id = l.product_id AND rn = floor(0.85::DOUBLE * cnt) + step"""
 )
+# All four start after row cnt - 26 and meet in the products with COV >= 1.
+SQL["shared_leaderboard"] = (
+    base("split")
+    + NUMBERED
+    + STANDARD
+    + FULLER.replace("fuller_input", "filtered").replace("pairs", "fuller_pairs")
+    + f""", varied AS (SELECT product_id FROM filtered GROUP BY product_id HAVING {COV} >= 1),
+    k AS (SELECT * FROM numbered JOIN varied USING (product_id)),
+    steps AS (SELECT unnest([1, 2, 3, 4, 12, 26]) AS step),
+    actual AS (SELECT product_id, sis_group_id, step, total_qty AS y FROM k JOIN steps ON rn = cnt - 26 + step),
+    ends AS (SELECT product_id, total_qty AS last_value FROM k WHERE rn = cnt - 26),
+    means AS (SELECT product_id, avg(total_qty) AS mean FROM k WHERE rn <= cnt - 26 GROUP BY 1),
+    diffs AS (SELECT product_id, rn, cnt, total_qty - lag(total_qty) {P} AS x FROM k),
+    pairs AS (SELECT product_id, rn, cnt, x, lag(x) {P.replace("First_day", "rn")} AS z FROM diffs),
+    line AS (SELECT product_id, regr_slope(x, z) AS b, regr_intercept(x, z) AS a, arg_max(x, rn) AS last_x
+        FROM pairs WHERE rn <= cnt - 26 GROUP BY 1),
+    moves AS (SELECT product_id, h, sum(b ** h * last_x + a * (1 - b ** h) / (1 - b)) OVER (PARTITION BY product_id ORDER BY h) AS move
+        FROM line CROSS JOIN (SELECT unnest(range(1, 27)) AS h)),
+    z AS (SELECT product_id, sis_group_id, rn, cnt, (total_qty - mu) / sd AS x, mu, sd FROM numbered JOIN s USING (product_id)),
+    fit AS (SELECT l.sis_group_id, step, regr_slope(r.x, l.x) AS b, regr_intercept(r.x, l.x) AS a
+        FROM z l CROSS JOIN steps JOIN z r ON r.product_id = l.product_id AND r.rn = l.rn + step
+        WHERE l.rn <= floor(0.85::DOUBLE * (l.cnt - 26)) GROUP BY ALL),
+    every AS (SELECT step, regr_slope(r.x, l.x) AS b, regr_intercept(r.x, l.x) AS a
+        FROM z l CROSS JOIN steps JOIN z r ON r.product_id = l.product_id AND r.rn = l.rn + step
+        WHERE l.rn <= floor(0.85::DOUBLE * (l.cnt - 26)) GROUP BY ALL),
+    made AS (
+        SELECT 'naive' AS model, 'both' AS scope, a.*, last_value AS yhat FROM actual a JOIN ends USING (product_id)
+        UNION ALL SELECT 'arima_mean_or_last', 'both', a.*, CASE WHEN stationary THEN mean ELSE last_value END
+            FROM actual a JOIN ends USING (product_id) JOIN means USING (product_id) JOIN fuller USING (product_id)
+        UNION ALL SELECT 'var', 'both', a.*, last_value + move FROM actual a JOIN ends USING (product_id) JOIN moves ON moves.product_id = a.product_id AND h = step
+        UNION ALL SELECT 'window', 'group', a.*, greatest((f.a + f.b * x) * sd + mu, 0)
+            FROM actual a JOIN fit f ON f.sis_group_id = a.sis_group_id AND f.step = a.step JOIN z ON z.product_id = a.product_id AND rn = cnt - 26
+        UNION ALL SELECT 'window', 'total', a.*, greatest((f.a + f.b * x) * sd + mu, 0)
+            FROM actual a JOIN every f ON f.step = a.step JOIN z ON z.product_id = a.product_id AND rn = cnt - 26),
+    levels_ AS (SELECT model, CAST(sis_group_id AS VARCHAR) AS grp, step, {RMSE} AS rmse, {WMAPE} AS wmape, count(*) AS n
+            FROM made WHERE scope <> 'total' GROUP BY 1, 2, 3
+        UNION ALL SELECT model, 'total', step, {RMSE}, {WMAPE}, count(*) FROM made WHERE scope <> 'group' GROUP BY 1, 3)
+    SELECT model, grp, step, {num('rmse')}, {num('wmape')}, n,
+        CAST(rank() OVER (PARTITION BY grp, step ORDER BY rmse) AS INTEGER) AS place FROM levels_"""
+)
 SQL["forest_alignment"] = (
     base("split")
     + NAIVE

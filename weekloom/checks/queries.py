@@ -445,7 +445,7 @@ def _naive(spark, d):
 
 @query
 def naive_forecast(spark, d):
-    return tidy(_naive(spark, d))
+    return tidy(_naive(spark, d).drop("target_week"))
 
 
 def _mean_or_last(spark, d):
@@ -455,7 +455,7 @@ def _mean_or_last(spark, d):
 
 @query
 def arima_mean_or_last(spark, d):
-    return tidy(_mean_or_last(spark, d))
+    return tidy(_mean_or_last(spark, d).drop("target_week"))
 
 
 @query
@@ -618,14 +618,14 @@ def forecast_coverage(spark, d):
 @query
 def window_one(spark, d):
     """One week predicts the next: a straight line per group and one over all."""
-    return tidy(window.forecast_window(filtered(spark, d), replace(CFG, window=1, steps=(1,))))
+    return tidy(window.forecast_window(filtered(spark, d), replace(CFG, window=1, steps=(1,))).drop("target_week"))
 
 
 @query
 def var_single(spark, d):
     """Every product its own group, one lag."""
     alone = filtered(spark, d).withColumn(GROUP, F.col(KEY).cast("bigint"))
-    return tidy(var.forecast_var(alone, replace(CFG, var_lags=1)))
+    return tidy(var.forecast_var(alone, replace(CFG, var_lags=1)).drop("target_week"))
 
 
 @query
@@ -636,7 +636,7 @@ def arima_ar1(spark, d):
         arima.search_forecast(filtered(spark, d), replace(small, adf_level=level)).withColumn("d", F.lit(order))
         for order, level in ((0, 2.0), (1, 0.0))
     ]
-    return tidy(parts[0].unionByName(parts[1]))
+    return tidy(parts[0].unionByName(parts[1]).drop("target_week"))
 
 
 @query
@@ -644,6 +644,30 @@ def forest_alignment(spark, d):
     return tidy(forest_rows(spark, d).select("scope", KEY, GROUP, DAY, "step", "y"))
 
 
+@query
+def shared_leaderboard(spark, d):
+    """Four small models ranked on the targets that all of them have forecast, from one week on."""
+    df, fair = filtered(spark, d), evaluation.shared_origin(CFG)
+    alone = df.withColumn(GROUP, F.col(KEY).cast("bigint"))
+    single = var.forecast_var(alone, replace(fair, var_lags=1))
+    forecasts = [
+        naive.forecast_naive(df, fair),
+        arima.mean_or_last_forecast(df, variation.dickey_fuller_lag0(df), fair),
+        single.withColumn(GROUP, (F.col(KEY) % 10).cast("bigint")),  # the product's group is its last digit
+        window.forecast_window(df, replace(fair, window=1)),
+    ]
+    return tidy(evaluation.compare_shared(forecasts, fair))
+
+
+@query
+def all_models_shared(spark, d):
+    """All models ranked on shared targets."""
+    df, fair = filtered(spark, d), evaluation.shared_origin(CFG)
+    own = [arima.forecast_arima(df, fair), var.forecast_var(df, fair)]
+    rest = [f(spark, d) for f in (ridge_rows, forest_rows, window_rows)]
+    return tidy(evaluation.compare_shared([_naive(spark, d), *own, *rest], fair))
+
+
 @query
 def all_models_leaderboard(spark, d):
     rows = [f(spark, d) for f in (arima_rows, ridge_rows, forest_rows, var_rows, window_rows)]

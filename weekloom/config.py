@@ -43,6 +43,7 @@ class ForecastConfig:
     steps: tuple[int, ...] = (1, 2, 3, 4, 12, 26)
     arima_steps: tuple[int, ...] = (1, 2, 3, 4, 12, 24)
     arima_horizon: int = 24
+    arima_test: int | None = None  # newest weeks held out; None: all but the train share
     arima_max_p: int = 5  # orders searched: all (p, q) up to these, as far as the series is long enough
     arima_max_q: int = 5
     arima_min_train: int = 8  # steady products with fewer train rows get ARIMA(0, d, 0)

@@ -10,7 +10,7 @@ from pyspark.sql.functions import pandas_udf
 
 from weekloom.config import GROUP, KEY, QTY, ForecastConfig
 from weekloom.models.stationarity import BLOCK, adf_column, difference_order
-from weekloom.operators.series import series_arrays
+from weekloom.operators.series import series_arrays, week_at
 
 
 def _fit(target: np.ndarray, cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,11 +99,18 @@ def _searcher(cfg: ForecastConfig):
     return search
 
 
+def _cut(cfg: ForecastConfig) -> Column:
+    """Train weeks of a series."""
+    if cfg.arima_test is None:
+        return F.floor(F.col("n") * F.lit(cfg.train_share)).cast("int")
+    return F.greatest(F.col("n") - cfg.arima_test, F.lit(0))
+
+
 def _series(history: DataFrame, cfg: ForecastConfig) -> DataFrame:
     cov = F.try_divide(F.stddev_samp(QTY), F.avg(QTY))
     return (
         series_arrays(history, QTY, GROUP, cov=cov)
-        .withColumn("cut", F.floor(F.col("n") * F.lit(cfg.train_share)).cast("int"))
+        .withColumn("cut", _cut(cfg))
         .withColumn("train", F.slice("y", F.lit(1), F.col("cut")))
     )
 
@@ -117,12 +124,13 @@ def _mean_or_last(d: Column, cfg: ForecastConfig) -> Column:
 def _long(df: DataFrame, model: str) -> DataFrame:
     """Forecast arrays to rows, with the actual value of the same position."""
     return df.select(
-        F.lit(model).alias("model"), KEY, GROUP, "y", "cut", F.posexplode("made").alias("p", "yhat")
+        F.lit(model).alias("model"), KEY, GROUP, "y", "cut", "first_week", F.posexplode("made").alias("p", "yhat")
     ).select(
         "model",
         KEY,
         GROUP,
         (F.col("p") + 1).alias("step"),
+        week_at(F.col("cut") + F.col("p")),
         F.get("y", F.col("cut") + F.col("p")).alias("y"),
         "yhat",
     )

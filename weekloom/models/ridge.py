@@ -21,7 +21,7 @@ from pyspark.sql.functions import pandas_udf
 
 from weekloom.config import GROUP, KEY, QTY, ForecastConfig
 from weekloom.operators.gram import SERIES_PER_STEP, gram, matrix, matrix_of, series_length
-from weekloom.operators.series import series_arrays
+from weekloom.operators.series import series_arrays, week_at
 from weekloom.session import stage
 
 # The parameter grid.
@@ -57,7 +57,7 @@ class RidgeModel:
 def ridge_series(history: DataFrame) -> DataFrame:
     """Per product: weeks ``n``, values ``y``, and ``z`` = values, then years, then week numbers."""
     series = series_arrays(history, QTY, GROUP, also=ALL_COVARIATES)
-    return series.select(KEY, GROUP, "n", "y", F.concat("y", *ALL_COVARIATES).alias("z"))
+    return series.select(KEY, GROUP, "n", "first_week", "y", F.concat("y", *ALL_COVARIATES).alias("z"))
 
 
 def _design(weeks: int, train: int, chunk: int):
@@ -205,12 +205,13 @@ def forecast_ridge(
     def forecast(z: pd.Series) -> pd.Series:
         return pd.Series(list(roll_forward(model, np.stack(z.to_list()), weeks, start, steps)))
 
-    made = series.select(KEY, GROUP, "y", F.posexplode(forecast("z")).alias("p", "yhat"))
+    made = series.select(KEY, GROUP, "first_week", "y", F.posexplode(forecast("z")).alias("p", "yhat"))
     return made.select(
         F.lit("ridge").alias("model"),
         KEY,
         GROUP,
         (F.col("p") + 1).alias("step"),
+        week_at(F.lit(start) + F.col("p")),
         F.get("y", F.lit(start) + F.col("p")).alias("y"),
         "yhat",
     )

@@ -17,7 +17,7 @@ from weekloom.config import DAY, GROUP, KEY, QTY, ForecastConfig
 from weekloom.models.window import _dot
 from weekloom.operators.gram import gram, matrix, series_length
 from weekloom.operators.scaling import scale
-from weekloom.operators.series import product_weeks, series_arrays, whole
+from weekloom.operators.series import product_weeks, series_arrays, week_at, whole
 from weekloom.session import join_small, stage
 
 
@@ -72,7 +72,7 @@ def forecast_var(history: DataFrame, cfg: ForecastConfig) -> DataFrame:
     models = stage(weights, "var-weights")
     # A row of weights is var_test x weeks numbers, some 30 kB: broadcast only a few thousand.
     rows = join_small(series, models, GROUP, max_rows=2_000).select(
-        KEY, GROUP, "mu", "sd", "n", "y", "x", F.posexplode("weights").alias("p", "w")
+        KEY, GROUP, "mu", "sd", "n", "first_week", "y", "x", F.posexplode("weights").alias("p", "w")
     )
     base = F.get("y", F.col("n") - cfg.var_test - 1)
     actual = F.get("y", F.col("n") - cfg.var_test + F.col("p"))
@@ -81,6 +81,7 @@ def forecast_var(history: DataFrame, cfg: ForecastConfig) -> DataFrame:
         KEY,
         GROUP,
         (F.col("p") + 1).alias("step"),
+        week_at(F.col("n") - cfg.var_test + F.col("p")),
         (actual * F.col("sd") + F.col("mu")).alias("y"),
         ((base + _dot(F.col("x"), F.col("w"))) * F.col("sd") + F.col("mu")).alias("yhat"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weekloom.config import DAY, GROUP, KEY, QTY, ForecastConfig
 from weekloom.operators.gram import gram, matrix, series_length
 from weekloom.operators.scaling import scale
-from weekloom.operators.series import series_arrays
+from weekloom.operators.series import series_arrays, week_at
 from weekloom.session import join_small, stage
 
 
@@ -85,7 +85,7 @@ def forecast_window(history: DataFrame, cfg: ForecastConfig) -> DataFrame:
     ready = series.withColumns({"x": last, "shared": total.agg(pack("total")).scalar()})
     # Six weight vectors per group, some 3 kB.
     rows = join_small(ready, models, GROUP, max_rows=10_000).select(
-        KEY, GROUP, "mu", "sd", "n", "y", "x", F.inline(F.concat("own", "shared"))
+        KEY, GROUP, "mu", "sd", "n", "first_week", "y", "x", F.inline(F.concat("own", "shared"))
     )
     level = _dot(F.col("x"), F.col("m.weights")) + F.col("m.intercept")
     actual = F.get("y", F.col("n") - max(cfg.steps) + F.col("m.step") - 1)
@@ -95,6 +95,7 @@ def forecast_window(history: DataFrame, cfg: ForecastConfig) -> DataFrame:
         KEY,
         GROUP,
         F.col("m.step").alias("step"),
+        week_at(F.col("n") - max(cfg.steps) + F.col("m.step") - 1),
         (actual * F.col("sd") + F.col("mu")).alias("y"),
         F.greatest(level * F.col("sd") + F.col("mu"), F.lit(0.0)).alias("yhat"),
     )

@@ -56,6 +56,20 @@ def scores_by_group_and_total(forecast: DataFrame, steps: tuple[int, ...]) -> Da
     )
 
 
+def shared_targets(forecast: DataFrame, models: int) -> DataFrame:
+    """Rows of the cells (product, target week, step) that all ``models`` have forecast.
+
+    One shuffle by cell, whatever the number of models; a cell holds a row per model and scope.
+    """
+    known = forecast.where(F.col("y").isNotNull() & F.col("yhat").isNotNull())
+    if "scope" not in known.columns:
+        known = known.withColumn("scope", F.lit("both"))
+    rows = F.collect_list(F.struct("model", "scope", GROUP, "y", "yhat"))
+    cells = known.groupBy(KEY, "target_week", "step").agg(rows.alias("rows"))
+    shared = cells.where(F.size(F.array_distinct("rows.model")) == models)
+    return shared.select(KEY, "target_week", "step", F.inline("rows"))
+
+
 def align(forecast: DataFrame, actual: DataFrame, first_pos: int) -> DataFrame:
     """Join forecasts (product_id, step, yhat) with the actual value at position first_pos + step - 1."""
     pos = F.row_number().over(product_weeks())

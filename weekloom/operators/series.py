@@ -55,6 +55,16 @@ def series_arrays(
     )
 
 
+def week_at(position: Column) -> Column:
+    """``target_week``: the week at a position (from 0) of a series without gaps, or after its end."""
+    return F.date_add("first_week", (7 * position).cast("int")).alias("target_week")
+
+
+def weeks_after(step: Column) -> Column:
+    """``target_week`` of a forecast made in the row's week."""
+    return F.date_add(DAY, (7 * step).cast("int")).alias("target_week")
+
+
 def pivot_weeks(df: DataFrame, value: str, by: str, values: list | None = None) -> DataFrame:
     """Weeks as rows, the values of ``by`` as columns, sums as cells.
 
