@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from weekloom.config import GROUP, KEY, QTY, ForecastConfig
 from weekloom.models.arima import arma_forecast, forecast_arima
 from weekloom.models.forest import forecast_forest, search_forest
+from weekloom.models import trees
 from weekloom.models.naive import forecast_naive
 from weekloom.models.ridge import (
     ALL_LAGS,
@@ -309,15 +310,80 @@ def test_short_or_uneven_series_are_refused(spark):
 
 def test_forest_rows_and_search(spark, data):
     df, series = data
-    rows = forecast_forest(df, replace(CFG, steps=(1, 2, 3, 4, 12, 26)), trees=5)
+    rows = forecast_forest(df, replace(CFG, forest_depth=6), trees=5)
     by = {(r["scope"], r["step"]): r["count"] for r in rows.groupBy("scope", "step").count().collect()}
     assert by == {(s, h): 5 * (52 - h) for s in ("group", "total") for h in CFG.steps}
     worst = rows.agg(F.max(F.abs(F.col("y") - F.col("yhat")))).first()[0]
     assert worst < 25
     actual = rows.where((F.col(KEY) == 3) & (F.col("step") == 4)).orderBy("First_day").first()
     assert actual["y"] == pytest.approx(series[3][106 + 4])
-    found = search_forest(df, CFG, grid=((5, "all"), (5, "sqrt"))).collect()
-    assert [(r["trees"], r["features"]) for r in found] == [(5, "all"), (5, "sqrt")]
+    found = search_forest(df, replace(CFG, forest_depth=5), grid=((3, "all"), (5, "all"), (5, "sqrt"))).collect()
+    assert {(r["trees"], r["features"]) for r in found} == {(3, "all"), (5, "all"), (5, "sqrt")}
+    assert [r["best"] for r in found].count(True) == 1
+    assert min(found, key=lambda r: r["rmse"])["best"]
+
+
+def plain_tree(bins, y, w, tree, shape, node=0, level=0):
+    """{node: mean} and {node: (feature, cut)} of one tree, grown depth first over all cuts."""
+    rows = w > 0
+    bins, y, w = bins[rows], y[rows], w[rows]
+    means, cuts = {node: (w[:, None] * y).sum(0) / w.sum()}, {}
+    if level == shape.depth:
+        return means, cuts
+    whole = ((w[:, None] * y).sum(0) ** 2).sum() / w.sum()
+    best = (0.0, None, None)
+    for f in trees.chosen(tree, np.array([node]), shape.features, shape.tried)[0]:
+        for cut in range(bins[:, f].max()):
+            left = bins[:, f] <= cut
+            if not left.any():
+                continue
+            parts = [((w[s, None] * y[s]).sum(0) ** 2).sum() / w[s].sum() for s in (left, ~left)]
+            gain = round(sum(parts) - whole, 6)
+            if gain > best[0]:
+                best = (gain, f, cut)
+    if best[1] is not None:
+        cuts[node] = best[1:]
+        left = bins[:, best[1]] <= best[2]
+        for side, at in ((1, left), (2, ~left)):
+            m, c = plain_tree(bins[at], y[at], w[at], tree, shape, 2 * node + side, level + 1)
+            means, cuts = means | m, cuts | c
+    return means, cuts
+
+
+@pytest.mark.parametrize("tasks", [1, 5])
+def test_joint_trees_equal_plain_growth(spark, tasks):
+    """Trees of two groups, however the rows are dealt out, equal trees grown one node after the other."""
+    rng = np.random.default_rng(3)
+    shape = trees.Shape(3, 4, 8, 5, 2, 3)
+    data = []
+    for k, n in ((0, 400), (1, 90)):
+        bins = rng.integers(0, 8, (n, 5))
+        y = np.column_stack([bins[:, 0] * (bins[:, 1] > 3), bins[:, 2]]) + rng.normal(0, 0.5, (n, 2))
+        data.append((bins, y, rng.integers(0, trees.PRIME, n)))
+    rows = [(k, b.tolist(), int(r), y.tolist()) for k, d in enumerate(data) for b, y, r in zip(*d)]
+    df = spark.createDataFrame(rows, "k int, bins array<smallint>, row long, y array<double>").repartition(tasks)
+    got = trees.grow(df, shape, 2)
+    for k, (bins, y, row) in enumerate(data):
+        for tree in range(3):
+            means, cuts = plain_tree(bins, y, trees.bootstrap(row, tree), tree, shape)
+            assert {n: (int(got.feature[k, tree, n]), int(got.cut[k, tree, n])) for n in np.flatnonzero(got.feature[k, tree] >= 0)} == cuts
+            for n, m in means.items():
+                assert got.mean[k, tree, n] == pytest.approx(m)
+
+
+def test_bootstrap_draws_like_poisson():
+    row = np.arange(200_000) * 7 + 12345
+    counts = np.bincount(trees.bootstrap(row, 3), minlength=4) / len(row)
+    assert counts[:4] == pytest.approx([0.3679, 0.3679, 0.1839, 0.0613], abs=0.01)
+    assert abs(np.corrcoef(trees.bootstrap(row, 3), trees.bootstrap(row, 4))[0, 1]) < 0.02
+
+
+def test_forest_rounds_of_groups(spark, data, monkeypatch):
+    """Groups that do not fit one growth grow in later rounds, with the same forecasts."""
+    cfg = replace(CFG, forest_depth=3)
+    once = forecast_forest(data[0], cfg, 2).orderBy("scope", KEY, "First_day", "step").collect()
+    monkeypatch.setattr(trees, "NODES", 1)
+    assert forecast_forest(data[0], cfg, 2).orderBy("scope", KEY, "First_day", "step").collect() == once
 
 
 # --- features, scaling, scores ------------------------------------------------------------------------------

@@ -9,8 +9,6 @@ import __spark_entry__ as entry_points
 
 SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.01")
 QUERIES, ORACLE = entry_points.queries(), entry_points.oracle_sql()
-# Slow; test_models.py covers their code on small series.
-SLOW = {"random_forest_forecast", "forest_grid", "all_models_leaderboard", "forest_alignment"}
 
 
 @pytest.fixture(scope="module")
@@ -18,12 +16,12 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLE and n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLE])
 def test_equals_sql(spark, con, name):
     assert difference(QUERIES[name](spark, SF_DIR), con, ORACLE[name]) is None
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLE and n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLE])
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF_DIR).count() > 0
 

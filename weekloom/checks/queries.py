@@ -639,6 +639,25 @@ def arima_ar1(spark, d):
     return tidy(parts[0].unionByName(parts[1]).drop("target_week"))
 
 
+def _small_forest(spark, d, trees, depth, rule):
+    made = forest.forecast_forest(filtered(spark, d), replace(CFG, forest_depth=depth), trees, rule=rule)
+    # Means of halves end in a decimal tie now and then: nine decimals, not six.
+    exact = {c: F.round(c, 9) + F.lit(0.0) for c in ("y", "yhat")}
+    return made.drop("target_week").withColumn(DAY, F.col(DAY).cast("string")).withColumns(exact)
+
+
+@query
+def forest_stump(spark, d):
+    """One tree with one cut for each group and one over all, every feature tried."""
+    return _small_forest(spark, d, 1, 1, "all")
+
+
+@query
+def forest_small(spark, d):
+    """Five trees of four levels, each node with its own choice of features."""
+    return _small_forest(spark, d, 5, 4, "sqrt")
+
+
 @query
 def forest_alignment(spark, d):
     return tidy(forest_rows(spark, d).select("scope", KEY, GROUP, DAY, "step", "y"))

@@ -1,132 +1,96 @@
-"""Random forests on the lag features: one per product group and step, and one over all products."""
+"""Random forests on the lag features: one for each product group, all steps together, and one over all products."""
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import product
-from multiprocessing.pool import ThreadPool
+from math import isqrt
 
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.config import DAY, GROUP, KEY, QTY, ForecastConfig
+from weekloom.models import trees as histogram
 from weekloom.operators.features import STATIC_FEATURES, multi_step_features, multi_step_names, one_step_features
-from weekloom.operators.scaling import impute_mean, scale
+from weekloom.operators.scaling import scale
+from weekloom.operators.series import weeks_after
 from weekloom.session import stage, stage_all
 
 TREES = 100
 # The searched tree counts and feature rules.
 GRID = tuple(product((100, 133, 166, 200), ("all", "sqrt")))
+#: Group of the forest over all products.
+ALL = "total"
 
 
-def _forest(label: str, trees: int, subset: str, cfg: ForecastConfig) -> RandomForestRegressor:
-    return RandomForestRegressor(
-        featuresCol="features",
-        labelCol=label,
-        predictionCol=f"p_{label}",
-        numTrees=trees,
-        maxDepth=cfg.forest_depth,
-        maxBins=cfg.forest_bins,
-        featureSubsetStrategy=subset,
-        seed=0,
-        cacheNodeIds=True,  # deep trees: rows remember their node instead of walking every tree again
-    )
-
-
-def _assembled(rows: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="features").transform(
-        impute_mean(rows, features, F.col("split") == "train")
-    )
-
-
-def _predict(
-    rows: DataFrame, features: list[str], targets: list[str], trees: int, pool: ThreadPool, cfg: ForecastConfig
-) -> DataFrame:
-    """Fit one forest per target on the train rows and predict the validation rows."""
-    ready = _assembled(rows, features)
-    train = ready.where("split = 'train'").select("features", *targets).persist()
-    try:
-        train.count()  # fills the cache before the fits start together
-        models = pool.map(lambda t: _forest(t, trees, "sqrt", cfg).fit(train), targets)
-    finally:
-        train.unpersist()
-    return reduce(lambda df, m: m.transform(df), models, ready.where("split = 'valid'"))
+def _shape(features: list[str], targets: int, trees: int, rule: str, cfg: ForecastConfig) -> histogram.Shape:
+    tried = len(features) if rule == "all" else isqrt(len(features))
+    return histogram.Shape(trees, cfg.forest_depth, cfg.forest_bins, len(features), targets, tried)
 
 
 def forecast_forest(
-    history: DataFrame, cfg: ForecastConfig, trees: int = TREES, parallelism: int = 6, scopes=("group", "total")
+    history: DataFrame, cfg: ForecastConfig, trees: int = TREES, scopes=("group", "total"), rule: str = "sqrt"
 ) -> DataFrame:
     """From every validation week: forecasts by the forest of the product's group (``scope``
     'group') and by the one over all products ('total'), back in original units.
 
-    Each forest trains distributed, so a group of any size is fine; the forests of the
-    ``parallelism`` steps are submitted together, as in cross validation. A reader of one group
-    skips the files of the others, and the forecasts of a group are written before the next one.
+    The forests of all groups and of both scopes grow together, and a tree has all steps as targets.
     """
-    return stage_all(_group_forecasts(history, cfg, trees, parallelism, scopes), "forest-forecast")
-
-
-def _group_forecasts(history: DataFrame, cfg: ForecastConfig, trees: int, parallelism: int, scopes):
     features, targets = multi_step_names(cfg)
     fit_rows = F.col(DAY) < F.lit(cfg.split_date) if cfg.scale_fit_on == "train" else None
-    with ThreadPool(parallelism) as pool:
-        for scope in scopes:
-            by = GROUP if scope == "group" else None
-            scaled = scale(history, QTY, by, fit_rows)
-            frame = multi_step_features(scaled, cfg, "mu", "sd").withColumn("grp", F.col(GROUP))
-            frame = stage(frame, f"forest-{scope}", partition_by="grp")
-            # The groups are model names, a list the driver has to loop over in any case.
-            groups = [r[0] for r in frame.select("grp").distinct().orderBy("grp").collect()] if by else [None]
-            for g in groups:
-                rows = frame if g is None else frame.where(F.col("grp") == g)
-                yield _long(_predict(rows, features, targets, trees, pool, cfg), scope, cfg)
-
-
-def _long(predicted: DataFrame, scope: str, cfg: ForecastConfig) -> DataFrame:
+    frames = []
+    for scope in scopes:
+        scaled = scale(history, QTY, GROUP if scope == "group" else None, fit_rows)
+        made = multi_step_features(scaled, cfg, "mu", "sd")
+        name = F.col(GROUP).cast("string") if scope == "group" else F.lit(ALL)
+        frames.append(made.withColumn("g", F.concat_ws("/", F.lit(scope), name)).withColumn("scope", F.lit(scope)))
+    frame = frames[0].unionByName(frames[1]) if len(frames) > 1 else frames[0]
+    frame = stage(frame.withColumn("row", histogram.row_number(F.col(KEY), F.col(DAY))), "forest")
+    keep = ["scope", KEY, GROUP, DAY, "mu", "sd", *targets]
+    shape = _shape(features, len(targets), trees, rule, cfg)
+    made = histogram.forecast(frame, features, targets, shape, (trees,), keep)
+    return stage_all((_long(rows, cfg) for rows in made), "forest-forecast")
+
+
+def _long(predicted: DataFrame, cfg: ForecastConfig) -> DataFrame:
     cells = [
         F.struct(
             F.lit(s).alias("step"),
             (F.col(f"{QTY}_next_week_{s}") * F.col("sd") + F.col("mu")).alias("y"),
-            (F.col(f"p_{QTY}_next_week_{s}") * F.col("sd") + F.col("mu")).alias("yhat"),
+            (F.col("p")[i] * F.col("sd") + F.col("mu")).alias("yhat"),
         )
-        for s in cfg.steps
+        for i, s in enumerate(cfg.steps)
     ]
-    rows = predicted.select(
-        F.lit("forest").alias("model"),
-        F.lit(scope).alias("scope"),
-        KEY,
-        F.col("grp").alias(GROUP),
-        DAY,
-        F.inline(F.array(*cells)),
-    )
-    return rows.where(F.col("y").isNotNull())
+    rows = predicted.select(F.lit("forest").alias("model"), "scope", KEY, GROUP, DAY, F.inline(F.array(*cells)))
+    return rows.where(F.col("y").isNotNull()).withColumn("target_week", weeks_after(F.col("step")))
 
 
 def search_forest(
-    history: DataFrame, cfg: ForecastConfig, grid: tuple[tuple[int, str], ...] = GRID, parallelism: int = 4
+    history: DataFrame, cfg: ForecastConfig, grid: tuple[tuple[int, str], ...] = GRID
 ) -> DataFrame:
-    """(trees, features, rmse): one-step forests scored on the validation weeks."""
+    """(trees, features, rmse, best): one-step forests scored on the validation weeks.
+
+    A forest of fewer trees is the beginning of a larger one, so each feature rule grows once, and its
+    predictions after every searched number of trees are scored in the same pass.
+    """
     label = "total_qty_next_week"
     features = [*STATIC_FEATURES, f"lag_{QTY}_1", f"diff_{QTY}_1", "mean_tqs_4"]
-    frame = stage(one_step_features(history, cfg), "forest-one-step")
-    ready = _assembled(frame, features).select("split", "features", label)
-    train = ready.where("split = 'train'").persist()
-    valid = ready.where((F.col("split") == "valid") & F.col(label).isNotNull()).persist()
-    train.count(), valid.count()  # fill the caches before the fits start together
-    judge = RegressionEvaluator(labelCol=label, predictionCol=f"p_{label}", metricName="rmse")
-
-    def run(params: tuple[int, str]) -> tuple[int, str, float]:
-        model = _forest(label, *params, cfg).fit(train)
-        return (*params, judge.evaluate(model.transform(valid)))
-
-    pool = ThreadPool(parallelism)
-    try:
-        scores = pool.map(run, grid)
-    finally:
-        pool.close()
-        train.unpersist()
-        valid.unpersist()
-    return history.sparkSession.createDataFrame(scores, "trees int, features string, rmse double")
+    made = one_step_features(history, cfg).withColumn("g", F.lit(ALL))
+    frame = stage(made.withColumn("row", histogram.row_number(F.col(KEY), F.col(DAY))), "forest-one-step")
+    scores = []
+    for rule in dict.fromkeys(r for _, r in grid):
+        counts = tuple(sorted(t for t, r in grid if r == rule))
+        shape = _shape(features, 1, max(counts), rule, cfg)
+        cells = F.array(*[F.struct(F.lit(c).alias("trees"), F.col("p")[i].alias("yhat")) for i, c in enumerate(counts)])
+        for rows in histogram.forecast(frame, features, [label], shape, counts, [label]):
+            scores.append(rows.select(F.lit(rule).alias("features"), F.col(label).alias("y"), F.inline(cells)))
+    rows = stage_all(scores, "forest-grid")
+    error = F.col("y") - F.col("yhat")
+    rmse = rows.where(F.col("y").isNotNull()).groupBy("trees", "features").agg(F.sqrt(F.avg(error * error)).alias("rmse"))
+    rmse = stage(rmse, "forest-scores")
+    first = rmse.agg(F.min(F.struct("rmse", "trees", "features")).alias("m")).scalar()
+    return rmse.select(
+        "trees",
+        "features",
+        "rmse",
+        ((F.col("trees") == first["trees"]) & (F.col("features") == first["features"])).alias("best"),
+    )
