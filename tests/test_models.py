@@ -7,7 +7,7 @@ from frames import demand, values
 from pyspark.sql import functions as F
 
 from weekloom.config import GROUP, KEY, QTY, ForecastConfig
-from weekloom.models.arima import arma_forecast, forecast_arima
+from weekloom.models.arima import arma_forecast, arma_search, forecast_arima
 from weekloom.models.forest import forecast_forest, search_forest
 from weekloom.models import trees
 from weekloom.models.naive import forecast_naive
@@ -128,14 +128,69 @@ def test_arma_finds_an_autoregression():
     x = np.zeros((3, 400))
     for t in range(1, 400):
         x[:, t] = 5 + 0.8 * x[:, t - 1] + rng.normal(0, 0.5, 3)
-    made = arma_forecast(x, 24)
+    made = arma_forecast(x, 24, arma_search(x))
     want = x[:, -1:].copy()
     for h in range(24):
         want = 5 + 0.8 * want
         assert made[:, h] == pytest.approx(want[:, 0], rel=0.08)
-    flat = arma_forecast(np.full((2, 60), 4.0), 5)
-    assert flat == pytest.approx(np.full((2, 5), 4.0))
-    assert np.isfinite(arma_forecast(rng.normal(size=(2, 12)), 5)).all()
+    level = np.full((2, 60), 4.0)
+    assert arma_forecast(level, 5, arma_search(level)) == pytest.approx(np.full((2, 5), 4.0))
+    assert arma_search(rng.normal(size=(2, 18))) is None  # the rows left do not carry a constant
+    short = rng.normal(size=(2, 20))
+    found = arma_search(short)  # five rows left: only orders of one coefficient have a criterion
+    assert np.isfinite(arma_forecast(short, 5, found)).all() and (found.p + found.q <= 1).all()
+
+
+def plain_arma11(x, long=10):
+    """The three stages for one series and order (1, 1), written out; the criterion on rows after long + 1."""
+    n = len(x)
+    z = np.array([[1.0, *x[t - long : t][::-1]] for t in range(long, n)])
+    e = np.concatenate([np.zeros(long), x[long:] - z @ np.linalg.lstsq(z, x[long:], rcond=None)[0]])
+    rows = range(long + 1, n)
+    z = np.array([[1.0, x[t - 1], e[t - 1]] for t in rows])
+    w = np.linalg.lstsq(z, x[long + 1 :], rcond=None)[0]
+
+    def errors(w):
+        out = np.zeros(n)
+        for t in range(1, n):
+            out[t] = x[t] - w[0] - w[1] * x[t - 1] - w[2] * out[t - 1]
+        return out
+
+    e = errors(w)
+    one, level, shock = np.zeros(n), np.zeros(n), np.zeros(n)
+    level[0] = x[0]
+    for t in range(1, n):
+        one[t] = 1 - w[2] * one[t - 1]
+        level[t] = x[t] - w[2] * level[t - 1]
+        shock[t] = e[t] - w[2] * shock[t - 1]
+    z = np.array([[one[t], level[t - 1], shock[t - 1]] for t in rows])
+    w = w + np.linalg.lstsq(z, e[long + 1 :], rcond=None)[0]
+    m, rss = len(rows), (errors(w)[long + 1 :] ** 2).sum()
+    return w, m * np.log(rss / m) + m * (m + 3) / (m - 5), errors(w)
+
+
+def test_arma_11_equals_plain_stages_and_truth():
+    rng = np.random.default_rng(5)
+    e = rng.normal(size=(4, 601))
+    x = np.zeros((4, 601))
+    for t in range(1, 601):
+        x[:, t] = 2 + 0.6 * x[:, t - 1] + e[:, t] + 0.5 * e[:, t - 1]
+    x = x[:, 1:]
+    found = arma_search(x, 1, 1)
+    assert (found.p == 1).all() and (found.q == 1).all()
+    for i in range(4):
+        w, aicc, shocks = plain_arma11(x[i])
+        assert (found.const[i], found.ar[i, 0], found.ma[i, 0]) == pytest.approx(tuple(w), rel=1e-6)
+        assert found.aicc[i] == pytest.approx(aicc, rel=1e-9)
+        assert w[1:] == pytest.approx([0.6, 0.5], abs=0.13)
+        step = arma_forecast(x, 2, found)[i]
+        first = w[0] + w[1] * x[i, -1] + w[2] * shocks[-1]
+        assert step == pytest.approx([first, w[0] + w[1] * first], rel=1e-6)
+
+
+def test_untested_order_is_null(spark):
+    rows = adf_test(demand(spark, [(1, w, w % 3) for w in range(7)] + [(2, w, 5) for w in range(20)]), CFG).collect()
+    assert {r[KEY]: (r["d"], r["n_lags"] is None) for r in rows} == {1: (None, True), 2: (1, False)}
 
 
 def test_arima_keeps_short_products(spark):
@@ -146,6 +201,7 @@ def test_arima_keeps_short_products(spark):
     per_product = {p: sum(r["product_id"] == p for r in rows) for p in sizes}
     assert per_product == dict.fromkeys(sizes, CFG.arima_horizon)
     assert all(r["yhat"] is not None for r in rows)
+    assert {r["order"] for r in rows if r["product_id"] == 1} == {"0,-,0"}
 
 
 def test_arima_by_class(spark):

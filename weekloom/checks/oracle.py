@@ -700,7 +700,7 @@ SQL["var_single"] = (
     FROM made JOIN numbered USING (product_id) WHERE rn = cnt - 30 + step"""
 )
 # The first ten values only feed the long autoregression.
-SQL["arima_ar1"] = (
+AR1 = (
     base("filtered")
     + NUMBERED
     + VARIED
@@ -712,15 +712,24 @@ SQL["arima_ar1"] = (
     fit AS (SELECT product_id, d, count(*) AS n, avg(x) AS mean, var_pop(x) * count(*) AS rss0, regr_slope(x, z) AS b,
         regr_intercept(x, z) AS a, regr_syy(x, z) - regr_sxy(x, z) * regr_sxy(x, z) / regr_sxx(x, z) AS rss1
         FROM pairs WHERE t > 10 GROUP BY 1, 2),
-    model AS (SELECT product_id, d, CASE WHEN ar THEN b ELSE 0 END AS b, CASE WHEN ar THEN a ELSE mean END AS a
-        FROM (SELECT *, n * ln(rss1 / n) + 4 < n * ln(rss0 / n) + 2 AND abs(b) < 0.999 AS ar FROM fit)),
+    rated AS (SELECT *, n * ln(rss0 / n) + n * (n + 1) / (n - 3) AS aicc0,
+        CASE WHEN abs(b) < 0.999 THEN n * ln(rss1 / n) + n * (n + 2) / (n - 4) ELSE 'inf'::DOUBLE END AS aicc1 FROM fit)"""
+)
+SQL["arima_order"] = (
+    AR1 + f" SELECT product_id, CAST(aicc1 < aicc0 AS INTEGER) AS p, d, 0 AS q, {num('least(aicc0, aicc1)', 'aicc')} FROM rated"
+)
+SQL["arima_ar1"] = (
+    AR1
+    + f""", model AS (SELECT product_id, d, aicc1 < aicc0 AS ar, CASE WHEN aicc1 < aicc0 THEN b ELSE 0 END AS b,
+        CASE WHEN aicc1 < aicc0 THEN a ELSE mean END AS a FROM rated),
     ends AS (SELECT product_id, d, arg_max(x, t) AS last_x FROM u GROUP BY 1, 2),
-    made AS (SELECT product_id, d, CAST(step AS INTEGER) AS step, b ** step * last_x + a * (1 - b ** step) / (1 - b) AS v
+    made AS (SELECT product_id, d, ar, CAST(step AS INTEGER) AS step, b ** step * last_x + a * (1 - b ** step) / (1 - b) AS v
         FROM model JOIN ends USING (product_id, d) CROSS JOIN (SELECT unnest(range(1, 25)) AS step)),
-    level AS (SELECT product_id, d, step, CASE d WHEN 0 THEN v
+    level AS (SELECT product_id, d, ar, step, CASE d WHEN 0 THEN v
         ELSE total_qty + sum(v) OVER (PARTITION BY product_id, d ORDER BY step) END AS yhat
         FROM made JOIN known USING (product_id) WHERE rn = cut)
-    SELECT 'arima_search' AS model, l.product_id, sis_group_id, step, d, {num('total_qty', 'y')}, {num('yhat')}
+    SELECT 'arima_search' AS model, l.product_id, sis_group_id, step, d, {num('total_qty', 'y')}, {num('yhat')},
+        CASE WHEN ar THEN '1,' ELSE '0,' END || d || ',0' AS "order"
     FROM level l JOIN numbered k ON k.product_id = l.product_id AND rn = floor(0.85::DOUBLE * cnt) + step"""
 )
 # All four start after row cnt - 26 and meet in the products with COV >= 1.

@@ -455,7 +455,7 @@ def _mean_or_last(spark, d):
 
 @query
 def arima_mean_or_last(spark, d):
-    return tidy(_mean_or_last(spark, d).drop("target_week"))
+    return tidy(_mean_or_last(spark, d).drop("target_week", "order"))
 
 
 @query
@@ -630,7 +630,7 @@ def var_single(spark, d):
 
 @query
 def arima_ar1(spark, d):
-    """Constant or AR(1) by AIC, on the values (d = 0) and on their differences (d = 1)."""
+    """Constant or AR(1) by AICc, on the values (d = 0) and on their differences (d = 1)."""
     small = replace(CFG, arima_max_p=1, arima_max_q=0)
     parts = [
         arima.search_forecast(filtered(spark, d), replace(small, adf_level=level)).withColumn("d", F.lit(order))
@@ -658,6 +658,20 @@ def forest_small(spark, d):
     return _small_forest(spark, d, 5, 4, "sqrt")
 
 
+@query
+def arima_order(spark, d):
+    """Orders and criteria of the same search, of values and of differences, and how far every product was searched."""
+    small = replace(CFG, arima_max_p=1, arima_max_q=0)
+    parts = [arima.arima_orders(filtered(spark, d), replace(small, adf_level=level)) for level in (2.0, 0.0)]
+    return tidy(parts[0].unionByName(parts[1]))
+
+
+@query
+def arima_order_search(spark, d):
+    """The orders that the full search takes."""
+    return tidy(arima.arima_orders(filtered(spark, d), CFG))
+
+
 @query
 def forest_alignment(spark, d):
     return tidy(forest_rows(spark, d).select("scope", KEY, GROUP, DAY, "step", "y"))

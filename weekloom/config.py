@@ -44,9 +44,9 @@ class ForecastConfig:
     arima_steps: tuple[int, ...] = (1, 2, 3, 4, 12, 24)
     arima_horizon: int = 24
     arima_test: int | None = None  # newest weeks held out; None: all but the train share
-    arima_max_p: int = 5  # orders searched: all (p, q) up to these, as far as the series is long enough
+    arima_max_p: int = 5  # orders searched: all (p, q) up to these
     arima_max_q: int = 5
-    arima_min_train: int = 8  # steady products with fewer train rows get ARIMA(0, d, 0)
+    arima_long: int = 10  # lags of the autoregression that yields the first innovations
     forest_depth: int = 10  # MLlib takes up to 30
     forest_bins: int = 32  # split candidates per feature
     ridge_train: int = 100

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,79 +24,163 @@ def _fit(target: np.ndarray, cols: list[np.ndarray]) -> tuple[np.ndarray, np.nda
     return coef[:, :, 0], resid, (resid**2).sum(axis=1)
 
 
-def _stationary(ar: np.ndarray) -> np.ndarray:
-    p = ar.shape[1]
+def _stable(weights: np.ndarray) -> np.ndarray:
+    """Whether the roots of 1 - w1 z - w2 z^2 ... lie outside the unit circle, for each row."""
+    *many, p = weights.shape
     if p == 0:
-        return np.ones(len(ar), dtype=bool)
-    companion = np.zeros((len(ar), p, p))
-    companion[:, 0, :] = ar
-    companion[:, np.arange(1, p), np.arange(p - 1)] = 1.0
-    return np.abs(np.linalg.eigvals(companion)).max(axis=1) < 0.999
+        return np.ones(many, dtype=bool)
+    companion = np.zeros((*many, p, p))
+    companion[..., 0, :] = weights
+    companion[..., np.arange(1, p), np.arange(p - 1)] = 1.0
+    return np.abs(np.linalg.eigvals(companion)).max(axis=-1) < 0.999
+
+
+def _filtered(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """f[t] = x[t] - sum of weights[j] f[t - 1 - j], from zero; the last axis of ``x`` is time."""
+    q = weights.shape[-1]
+    if not q:
+        return x
+    f = np.zeros((*x.shape[:-1], x.shape[-1] + q))
+    back = weights[..., ::-1]
+    for t in range(x.shape[-1]):
+        f[..., t + q] = x[..., t] - (back * f[..., t : t + q]).sum(axis=-1)
+    return f[..., q:]
+
+
+def _innovations(x: np.ndarray, const: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
+    """One-step errors of models (orders x series) from position ``ar.shape[-1]`` on, zero before."""
+    p, n = ar.shape[-1], x.shape[-1]
+    fit = const[..., None] + sum(ar[..., k, None] * x[:, p - 1 - k : n - 1 - k] for k in range(p))
+    return _filtered(x[:, p:] - fit, ma)
+
+
+class ArmaFit(NamedTuple):
+    """Of each series: constant, weights (zeros beyond the order), innovations, order and criterion."""
+
+    const: np.ndarray
+    ar: np.ndarray
+    ma: np.ndarray
+    shocks: np.ndarray
+    p: np.ndarray
+    q: np.ndarray
+    aicc: np.ndarray
+
 
+def arma_search(x: np.ndarray, max_p: int = 5, max_q: int = 5, long: int = 10) -> ArmaFit | None:
+    """Best ARMA(p, q) with constant of each row by AICc, in three least-squares stages.
 
-def arma_forecast(x: np.ndarray, horizon: int, max_p: int = 5, max_q: int = 5) -> np.ndarray:
-    """Best ARMA(p, q) with constant of each row by AIC, forecast ``horizon`` steps.
+    A long autoregression yields innovations. Values are regressed on their own lags and the lagged innovations.
+    Models with a moving average, biased so far, are corrected by one Gauss-Newton step: their own innovations
+    are regressed on the derivatives, which are the regressors filtered by the moving average.
 
-    Two-stage least squares: a long autoregression yields the innovations, then values are
-    regressed on their own lags and the lagged innovations, all orders on the same rows.
+    All orders are compared on the same rows, after the first max(max_p, long + max_q). The criterion is infinite for
+    an order with too many coefficients for these rows and for an unstable model, at every length alike; None if not even a
+    constant has rows enough.
     """
     b, n = x.shape
-    # The common rows must outnumber the largest model; short series search fewer orders.
-    long = max(1, min(10, n // 4))
-    while max_p + max_q > 0 and n - long - max_q < 2 * (max_p + max_q + 1):
-        max_p, max_q = max(max_p - 1, 0), max(max_q - 1, 0)
-    long = max(long, max_p)
-    lagged = [x[:, long - k : n - k] for k in range(1, long + 1)]
-    _, e, _ = _fit(x[:, long:], [np.ones((b, n - long)), *lagged])
-    start = long + max_q
-    target = x[:, start:]
-    rows = target.shape[1]
-    best = np.full(b, np.inf)
-    const, ar, ma = np.zeros(b), np.zeros((b, max_p)), np.zeros((b, max_q))
+    start = max(max_p, long + max_q)
+    rows = n - start
+    if rows <= 3:
+        return None
+    _, e, _ = _fit(x[:, long:], [np.ones((b, n - long)), *(x[:, long - k : n - k] for k in range(1, long + 1))])
+    orders = [(p, q) for p in range(max_p + 1) for q in range(max_q + 1) if rows > p + q + 3]
+    const = np.zeros((len(orders), b))
+    ar, ma = np.zeros((len(orders), b, max_p)), np.zeros((len(orders), b, max_q))
+    for i, (p, q) in enumerate(orders):
+        cols = [np.ones((b, rows)), *(x[:, start - k : n - k] for k in range(1, p + 1))]
+        cols += [e[:, start - long - k : n - long - k] for k in range(1, q + 1)]
+        coef, _, _ = _fit(x[:, start:], cols)
+        const[i], ar[i, :, :p], ma[i, :, :q] = coef[:, 0], coef[:, 1 : 1 + p], coef[:, 1 + p :]
+    if max_q:
+        better = _corrected(x, orders, const, ar, ma, start)
+        good = _stable(better[1]) & _stable(-better[2])
+        for old, new in zip((const, ar, ma), better):
+            old[good] = new[good]
+    shocks = _innovations(x, const, ar, ma)
+    rss = (shocks[..., start - max_p :] ** 2).sum(axis=-1)
     floor = 1e-20 * np.maximum((x**2).sum(axis=1), 1e-280)
-    for p in range(max_p + 1):
-        for q in range(max_q + 1):
-            cols = [np.ones((b, rows))]
-            cols += [x[:, start - k : n - k] for k in range(1, p + 1)]
-            cols += [e[:, start - long - k : n - long - k] for k in range(1, q + 1)]
-            coef, _, rss = _fit(target, cols)
-            aic = rows * np.log(np.maximum(rss, floor) / rows) + 2 * (p + q + 1)
-            ok = (aic < best) & _stationary(coef[:, 1 : 1 + p])
-            best[ok], const[ok] = aic[ok], coef[ok, 0]
-            ar[ok], ma[ok] = 0.0, 0.0
-            ar[ok, :p], ma[ok, :q] = coef[ok, 1 : 1 + p], coef[ok, 1 + p :]
-    past, shocks, out = x, e, []
+    k = np.array([p + q + 1 for p, q in orders])[:, None]
+    aicc = rows * np.log(np.maximum(rss, floor) / rows) + rows * (rows + k) / (rows - k - 2)
+    aicc[~(_stable(ar) & _stable(-ma)) | ~np.isfinite(aicc)] = np.inf
+    best, every = aicc.argmin(axis=0), np.arange(b)
+    chosen = np.array(orders)[best]
+    picked = [v[best, every] for v in (const, ar, ma, shocks)]
+    return ArmaFit(*picked, chosen[:, 0], chosen[:, 1], aicc[best, every])
+
+
+def _corrected(x, orders, const, ar, ma, start):
+    """The third stage: const, ar and ma after a Gauss-Newton step; pure autoregressions stay."""
+    max_p, max_q = ar.shape[-1], ma.shape[-1]
+    with np.errstate(all="ignore"):
+        e = _innovations(x, const, ar, ma)
+        e = np.where(np.isfinite(e), e, 0.0)
+        one = _filtered(np.ones_like(e), ma)
+        level = _filtered(np.broadcast_to(x, (len(orders), *x.shape)), ma)
+        shock = _filtered(e, ma)
+    out = const.copy(), ar.copy(), ma.copy()
+    skip = start - max_p
+    for i, (p, q) in enumerate(orders):
+        if not q:
+            continue
+        n = x.shape[1]
+        cols = [one[i, :, skip:], *(level[i, :, start - k : n - k] for k in range(1, p + 1))]
+        cols += [shock[i, :, skip - k : n - max_p - k] for k in range(1, q + 1)]
+        usable = np.isfinite(np.stack(cols, 2)).all(axis=(1, 2)) & _stable(-ma[i])
+        step = np.zeros((len(x), 1 + p + q))
+        if usable.any():
+            step[usable], _, _ = _fit(e[i][usable][:, skip:], [c[usable] for c in cols])
+        out[0][i] += step[:, 0]
+        out[1][i, :, :p] += step[:, 1 : 1 + p]
+        out[2][i, :, :q] += step[:, 1 + p :]
+    return out
+
+
+def arma_forecast(x: np.ndarray, horizon: int, fit: ArmaFit) -> np.ndarray:
+    """``horizon`` steps after the rows of ``x``, later innovations being zero."""
+    past, shocks, out = x, fit.shocks, []
+    max_p, max_q = fit.ar.shape[1], fit.ma.shape[1]
     for _ in range(horizon):
-        step = const.copy()
+        step = fit.const.copy()
         if max_p:
-            step += (ar * past[:, -1 : -max_p - 1 : -1]).sum(axis=1)
+            step += (fit.ar * past[:, -1 : -max_p - 1 : -1]).sum(axis=1)
         if max_q:
-            step += (ma * shocks[:, -1 : -max_q - 1 : -1]).sum(axis=1)
+            step += (fit.ma * shocks[:, -1 : -max_q - 1 : -1]).sum(axis=1)
         out.append(step)
         past = np.column_stack([past, step])
-        shocks = np.column_stack([shocks, np.zeros(b)])
+        shocks = np.column_stack([shocks, np.zeros(len(x))])
     return np.stack(out, axis=1)
 
 
+FOUND = "made array<double>, p int, q int, aicc double"
+
+
 def _searcher(cfg: ForecastConfig):
-    horizon, shortest, orders = cfg.arima_horizon, cfg.arima_min_train, (cfg.arima_max_p, cfg.arima_max_q)
+    horizon, limits = cfg.arima_horizon, (cfg.arima_max_p, cfg.arima_max_q, cfg.arima_long)
 
-    @pandas_udf("array<double>")
-    def search(train: pd.Series, d: pd.Series) -> pd.Series:
+    @pandas_udf(FOUND)
+    def search(train: pd.Series, d: pd.Series) -> pd.DataFrame:
         size = train.map(lambda v: 0 if v is None else len(v)).to_numpy()
-        out: list = [None] * len(train)
-        for n, order in {(a, b) for a, b in zip(size, d) if a >= shortest}:
+        made: list = [None] * len(train)
+        out = pd.DataFrame({"p": pd.array([None] * len(train), "Int32"), "q": pd.array([None] * len(train), "Int32")})
+        out["aicc"] = np.nan
+        for n, order in {(a, b) for a, b in zip(size, d) if a > 1 and b in (0, 1)}:
             rows = np.flatnonzero((size == n) & (d == order).to_numpy())
             for lo in range(0, len(rows), BLOCK):
                 part = rows[lo : lo + BLOCK]
                 x = np.stack(train.iloc[part].to_list())
+                changes = np.diff(x, axis=1) if order == 1 else x
+                fit = arma_search(changes, *limits)
+                if fit is None:
+                    continue
+                values = arma_forecast(changes, horizon, fit)
                 if order == 1:
-                    made = x[:, -1:] + np.cumsum(arma_forecast(np.diff(x, axis=1), horizon, *orders), axis=1)
-                else:
-                    made = arma_forecast(x, horizon, *orders)
-                for i, values in zip(part, made):
-                    out[i] = values
-        return pd.Series(out)
+                    values = x[:, -1:] + np.cumsum(values, axis=1)
+                for i, v in zip(part, values):
+                    made[i] = v
+                out.loc[part, ["p", "q"]] = np.column_stack([fit.p, fit.q])
+                out.loc[part, "aicc"] = fit.aicc
+        out.insert(0, "made", made)
+        return out
 
     return search
 
@@ -116,51 +202,75 @@ def _series(history: DataFrame, cfg: ForecastConfig) -> DataFrame:
 
 
 def _mean_or_last(d: Column, cfg: ForecastConfig) -> Column:
-    """ARIMA(0, d, 0): the train mean (d = 0) or the last train value (d = 1), repeated."""
+    """ARIMA(0, d, 0): the train mean (d = 0) or the last train value (d = 1 or untested), repeated."""
     mean = F.try_divide(F.aggregate("train", F.lit(0.0), lambda a, v: a + v), F.size("train"))
     return F.array_repeat(F.when(d == 0, mean).otherwise(F.get("train", F.size("train") - 1)), cfg.arima_horizon)
 
 
 def _long(df: DataFrame, model: str) -> DataFrame:
     """Forecast arrays to rows, with the actual value of the same position."""
-    return df.select(
-        F.lit(model).alias("model"), KEY, GROUP, "y", "cut", "first_week", F.posexplode("made").alias("p", "yhat")
-    ).select(
+    kept = ["y", "cut", "first_week", "order"]
+    return df.select(F.lit(model).alias("model"), KEY, GROUP, *kept, F.posexplode("made").alias("at", "yhat")).select(
         "model",
         KEY,
         GROUP,
-        (F.col("p") + 1).alias("step"),
-        week_at(F.col("cut") + F.col("p")),
-        F.get("y", F.col("cut") + F.col("p")).alias("y"),
+        (F.col("at") + 1).alias("step"),
+        week_at(F.col("cut") + F.col("at")),
+        F.get("y", F.col("cut") + F.col("at")).alias("y"),
         "yhat",
+        "order",
     )
 
 
+def _order(p: Column, q: Column) -> Column:
+    """``p,d,q``; a series too short for the unit root test has no d."""
+    return F.concat_ws(",", p, F.coalesce(F.col("d").cast("string"), F.lit("-")), q).alias("order")
+
+
 def mean_or_last_forecast(history: DataFrame, orders: DataFrame, cfg: ForecastConfig) -> DataFrame:
     """Products with COV >= ``cov_cut``, given their differencing orders (product_id, d)."""
     high = _series(history, cfg).where(F.col("cov") >= cfg.cov_cut).join(orders.select(KEY, "d"), KEY)
-    return _long(high.withColumn("made", _mean_or_last(F.col("d"), cfg)), "arima_mean_or_last")
+    made = high.withColumn("made", _mean_or_last(F.col("d"), cfg)).withColumn("order", _order(F.lit(0), F.lit(0)))
+    return _long(made, "arima_mean_or_last")
+
+
+def _searched(history: DataFrame, cfg: ForecastConfig, steady: Column) -> DataFrame:
+    """Series with tested ``d`` and, where ``steady``, the searched model in ``found``."""
+    series = _series(history, cfg).where(F.col("cov").isNotNull())
+    tested = series.withColumn("d", difference_order(adf_column(F.col("y")), cfg))
+    return tested.withColumn("found", _searcher(cfg)(F.when(steady, F.col("train")), F.col("d")))
+
+
+def _completed(searched: DataFrame, cfg: ForecastConfig) -> DataFrame:
+    """ARIMA(0, d, 0) where no model was searched or none could be fitted."""
+    none = F.lit(0)
+    order = _order(F.coalesce("found.p", none), F.coalesce("found.q", none))
+    return searched.withColumn("made", F.coalesce("found.made", _mean_or_last(F.col("d"), cfg))).withColumn("order", order)
 
 
 def search_forecast(history: DataFrame, cfg: ForecastConfig) -> DataFrame:
     """Products with COV < ``cov_cut``: order search with the tested differencing order."""
-    low = _series(history, cfg).where(F.col("cov") < cfg.cov_cut)
-    tested = low.withColumn("d", difference_order(adf_column(F.col("y")), cfg))
-    made = tested.withColumn("found", _searcher(cfg)(F.col("train"), F.col("d")))
-    return _long(made.withColumn("made", F.coalesce("found", _mean_or_last(F.col("d"), cfg))), "arima_search")
+    steady = F.col("cov") < cfg.cov_cut
+    return _long(_completed(_searched(history, cfg, steady).where(steady), cfg), "arima_search")
+
+
+def arima_orders(history: DataFrame, cfg: ForecastConfig) -> DataFrame:
+    """(product_id, p, d, q, aicc) of the products with COV < ``cov_cut``; 0, d, 0 without a criterion if too short."""
+    steady = F.col("cov") < cfg.cov_cut
+    rows, none = _searched(history, cfg, steady).where(steady), F.lit(0)
+    return rows.select(
+        KEY,
+        F.coalesce("found.p", none).alias("p"),
+        "d",
+        F.coalesce("found.q", none).alias("q"),
+        F.nanvl("found.aicc", F.lit(None)).alias("aicc"),
+    )
 
 
 def forecast_arima(history: DataFrame, cfg: ForecastConfig) -> DataFrame:
     """Both product classes; a product with undefined COV (no demand at all) is in neither.
 
-    A steady product with fewer train rows than ``arima_min_train`` is too short for a search and gets
-    ARIMA(0, d, 0), like the erratic ones; none is lost.
+    A steady product whose train rows are too few for any order gets ARIMA(0, d, 0), like the erratic ones; none
+    is lost.
     """
-    series = _series(history, cfg).where(F.col("cov").isNotNull())
-    tested = series.withColumn("d", difference_order(adf_column(F.col("y")), cfg))
-    steady = F.col("cov") < cfg.cov_cut
-    search = _searcher(cfg)(F.when(steady, F.col("train")), F.col("d"))
-    made = tested.withColumn("found", search).withColumn(
-        "made", F.coalesce("found", _mean_or_last(F.col("d"), cfg))
-    )
-    return _long(made, "arima")
+    return _long(_completed(_searched(history, cfg, F.col("cov") < cfg.cov_cut), cfg), "arima")

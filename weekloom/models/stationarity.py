@@ -16,6 +16,7 @@ from weekloom.operators.series import series_arrays
 from weekloom.operators.variation import DF_LARGE, DF_MAX, DF_MIN, DF_SMALL, DF_SPLIT
 
 BLOCK = 512  # series handled at once inside a task
+SHORTEST = 8  # values that the test needs
 
 ADF_TYPE = T.StructType(
     [
@@ -84,22 +85,33 @@ def _adf(series: pd.Series) -> pd.DataFrame:
     size = series.map(len).to_numpy()
     stat = np.full(len(series), np.nan)
     lags = np.zeros(len(series), dtype=int)
-    for n in np.unique(size[size >= 8]):
+    for n in np.unique(size[size >= SHORTEST]):
         rows = np.flatnonzero(size == n)
         for lo in range(0, len(rows), BLOCK):
             part = rows[lo : lo + BLOCK]
             stat[part], lags[part] = adf_block(np.stack(series.iloc[part].to_list()))
-    return pd.DataFrame({"stat": stat, "pvalue": p_value(stat), "n_lags": lags, "n_obs": size - 1 - lags})
+    tested = size >= SHORTEST
+    return pd.DataFrame(
+        {
+            "stat": stat,
+            "pvalue": p_value(stat),
+            "n_lags": pd.Series(lags, dtype="Int32").where(tested),
+            "n_obs": size - 1 - lags,
+        }
+    )
 
 
 def adf_column(series: Column) -> Column:
-    """Struct (stat, pvalue, n_lags, n_obs) of an array column; null statistic and p value for constant series."""
+    """Struct (stat, pvalue, n_lags, n_obs) of an array column.
+
+    Statistic and p value of a constant series are null; a series of fewer than SHORTEST values has no lags either.
+    """
     return _adf(series)
 
 
 def difference_order(test: Column, cfg: ForecastConfig) -> Column:
-    """0 where the test rejects a unit root, else 1."""
-    return F.when(test["pvalue"] < cfg.adf_level, 0).otherwise(1)
+    """0 where the test rejects a unit root, else 1; null for a series too short to test."""
+    return F.when(test["n_lags"].isNotNull(), F.when(test["pvalue"] < cfg.adf_level, 0).otherwise(1))
 
 
 def adf_test(df: DataFrame, cfg: ForecastConfig, col: str = QTY) -> DataFrame:
