@@ -108,3 +108,77 @@ def forest(trees: int, depth: int, tried: int) -> str:
 
 SQL["forest_stump"] = forest(1, 1, len(FEATURES))
 SQL["forest_small"] = forest(5, 4, 5)
+
+# --- unit root test with its choice of lags -------------------------------------------------------------------
+
+
+def _eliminated(name: str, source: str, size: int) -> str:
+    """Elimination of the first ``size`` rows of each matrix ``m``, one per step ``k``; null pivots are passed over."""
+    return f"""{name} AS (
+        SELECT product_id, 0 AS k, m FROM {source}
+        UNION ALL
+        SELECT product_id, k + 1, CASE WHEN m[k + 1][k + 1] > 1e-9 THEN list_transform(m, lambda r: list_transform(r,
+            lambda v, j: v - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1])) ELSE m END FROM {name} WHERE k < {size})"""
+
+
+def _matrix(columns: list[str]) -> str:
+    return "[" + ", ".join("[" + ", ".join(f"sum({a} * {b})" for b in columns) + "]" for a in columns) + "]"
+
+
+def _tested(table: str, weeks: int) -> list[str]:
+    """``tested`` (stat, p value, lags, rows) of the series ``x`` in ``table``, ordered by ``t``; all of ``weeks`` values."""
+    most = min(-int(-12.0 * (weeks / 100.0) ** 0.25 // 1), weeks // 2 - 2)
+    order = "OVER (PARTITION BY product_id ORDER BY t)"
+    lagged = [f"lag(dx, {k}) {order} AS d{k}" for k in range(1, most + 1)]
+    names = [f"d{k}" for k in range(1, most + 1)]
+    some = [f"CASE WHEN {k} <= used THEN d{k} ELSE 0 END" for k in range(1, most + 1)]
+    size = most + 3
+    return [
+        f"changes AS (SELECT product_id, t, lag(x) {order} AS level, x - lag(x) {order} AS dx FROM {table})",
+        f"lagged AS (SELECT *, {', '.join(lagged)} FROM changes)",
+        f"g1 AS (SELECT product_id, {_matrix(['1.0', 'level', *names, 'dx'])} AS m FROM lagged WHERE d{most} IS NOT NULL GROUP BY 1)",
+        _eliminated("e1", "g1", most + 2),
+        f"""lags AS (SELECT product_id, k - 2 AS used FROM e1 WHERE k >= 2
+            QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY {weeks - 1 - most} * ln(m[{size}][{size}] / {weeks - 1 - most}) + 2 * k, k) = 1)""",
+        f"""own AS (SELECT lagged.* REPLACE ({", ".join(f"{s} AS {n}" for s, n in zip(some, names))}), used
+            FROM lagged JOIN lags USING (product_id) WHERE t >= used + 2)""",
+        f"g2 AS (SELECT product_id, {_matrix(['1.0', *names, 'level', 'dx'])} AS m FROM own GROUP BY 1)",
+        _eliminated("e2", "g2", most + 1),
+        f"""stats AS (SELECT product_id, used AS n_lags, {weeks - 1} - used AS n_obs,
+            m[{size - 1}][{size}] / m[{size - 1}][{size - 1}] / sqrt((m[{size}][{size}] - m[{size - 1}][{size}] ** 2 / m[{size - 1}][{size - 1}])
+            / ({weeks - 1} - used - (used + 2)) / m[{size - 1}][{size - 1}]) AS stat FROM e2 JOIN lags USING (product_id) WHERE k = {most + 1})""",
+        """quantile AS (SELECT *, CASE WHEN stat <= -1.61 THEN 2.1659 + 1.4412 * stat + 0.038269 * stat ** 2
+            ELSE 1.7339 + 0.93202 * stat - 0.12745 * stat ** 2 - 0.010368 * stat ** 3 END AS z FROM stats)""",
+        # The normal distribution by Simpson's rule from 0 to z.
+        """tested AS (SELECT *, CASE WHEN stat < -18.83 THEN 0 WHEN stat > 2.74 THEN 1 WHEN z < -9 THEN 0 ELSE 0.5 + z / 3000 * list_sum(list_transform(range(1001),
+            lambda i: CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(0 - z * z * i * i / 2000000))) / sqrt(2 * pi()) END AS pvalue FROM quantile)""",
+    ]
+
+
+def _recursive(steps: str) -> str:
+    return steps.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+SERIES = "series AS (SELECT product_id, rn AS t, total_qty AS x FROM numbered)"
+SQL["adf_test"] = (
+    _recursive(base("filtered"))
+    + NUMBERED
+    + ",\n".join(["", SERIES, *_tested("series", 158)])
+    + f""" SELECT product_id, {num('stat')}, {num('pvalue')}, CAST(n_lags AS INTEGER) AS n_lags, CAST(n_obs AS INTEGER) AS n_obs,
+        CASE WHEN pvalue < 0.05 THEN 0 ELSE 1 END AS d FROM tested"""
+)
+
+
+def _count(of: str, series: str, weeks: int) -> str:
+    steps = ",\n".join(["", series, *_tested("series", weeks)])
+    select = f"SELECT '{of}' AS \"of\", count(*) AS series, count(*) FILTER (round(pvalue, 4) > 0.05) AS non_stationary FROM tested"
+    return f"SELECT * FROM ({_recursive(base('filtered'))}{NUMBERED}{steps} {select})"
+
+
+CHANGES = f"""series AS (SELECT product_id, rn - 1 AS t, v AS x FROM (SELECT product_id, rn, cnt, total_qty - lag(total_qty) {P} AS v FROM numbered)
+    WHERE rn <= cnt - 30 AND rn > 1)"""
+SQL["non_stationary_count"] = (
+    _count("level", SERIES + " ", 128).replace("FROM numbered)", "FROM numbered WHERE rn <= cnt - 30)", 1)
+    + " UNION ALL "
+    + _count("difference", CHANGES, 127)
+)
