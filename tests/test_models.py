@@ -19,6 +19,7 @@ from weekloom.models.ridge import (
     fit,
     forecast_ridge,
     non_negative,
+    optimality,
     ridge_gram,
     ridge_series,
     roll_forward,
@@ -269,6 +270,21 @@ def test_ridge_gram_and_fit_equal_dense(spark, data):
         assert model.bias[j] == pytest.approx(y[:, j].mean() - x.mean(0) @ w)
 
 
+def test_ridge_optimality_notices_wrong_weights(spark, data, monkeypatch):
+    df, _ = data
+    grid = GRID[::23]
+    good = optimality(df, CFG, grid).collect()
+    assert len(good) == len(grid) and all(r["violation"] < 1e-9 for r in good)
+    assert all(0 < r["positive"] <= (len(p.lags) + len(p.covariates)) * p.chunk for r, p in zip(good, grid))
+
+    def shifted(m, params):
+        model = fit(m, params)
+        return RidgeModel(params, model.bias, model.weights * 1.01)
+
+    monkeypatch.setattr("weekloom.models.ridge.fit", shifted)
+    assert all(r["violation"] > 1e-6 for r in optimality(df, CFG, grid).collect())
+
+
 def test_roll_forward_ends_exactly_at_the_last_step():
     params = RidgeParams((1, 2), 0.1, ("sales_week",), False, 3)
     # output j = previous value + (j + 1): makes the origin of each chunk visible

@@ -182,3 +182,53 @@ SQL["non_stationary_count"] = (
     + " UNION ALL "
     + _count("difference", CHANGES, 127)
 )
+
+# --- ridge -----------------------------------------------------------------------------------------------------
+
+SQL["ridge_kkt"] = """
+    SELECT lags, alpha, covariates, fit_intercept, CAST(chunk AS INTEGER) AS chunk, true AS optimal
+    FROM (SELECT unnest(['1,2,3,4,12,52', '1,2,3,4,12,26,52']) AS lags)
+    CROSS JOIN (SELECT unnest([0.1::DOUBLE, 0.2::DOUBLE, 0.001::DOUBLE]) AS alpha)
+    CROSS JOIN (SELECT unnest(['sales_year', 'sales_week', 'sales_year,sales_week']) AS covariates)
+    CROSS JOIN (SELECT unnest([true, false]) AS fit_intercept) CROSS JOIN (SELECT unnest([1, 2, 6, 12, 26]) AS chunk)
+    WHERE (SELECT count(*) FROM lineitem) > 0"""
+
+
+def _one_lag(train: int, steps: int, suffix: str) -> str:
+    """Weight and bias of the models of one lag on the first ``train`` rows, and their forecasts of the next."""
+    return f"""
+    sums{suffix} AS (SELECT count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy
+        FROM (SELECT rn, total_qty AS y, lag(total_qty) {P} AS x FROM numbered) WHERE rn BETWEEN 53 AND {train}),
+    fit{suffix} AS (SELECT *, CASE WHEN fit_intercept THEN (sy - sx * w) / n ELSE 0 END AS bias FROM (
+        SELECT *, greatest(CASE WHEN fit_intercept THEN (sxy - sx * sy / n) / (sxx - sx * sx / n + alpha) ELSE sxy / (sxx + alpha) END, 0) AS w
+        FROM sums{suffix} CROSS JOIN params_)),
+    rolled{suffix} AS (
+        SELECT id, product_id, 0 AS step, total_qty AS yhat FROM fit{suffix} CROSS JOIN numbered WHERE rn = {train}
+        UNION ALL
+        SELECT r.id, product_id, step + 1, bias + w * yhat FROM rolled{suffix} r JOIN fit{suffix} f ON f.id = r.id WHERE step < {steps}),
+    made{suffix} AS (SELECT id, r.product_id, k.sis_group_id, step, k.total_qty AS y, yhat
+        FROM rolled{suffix} r JOIN numbered k ON k.product_id = r.product_id AND k.rn = {train} + step WHERE step > 0)"""
+
+
+ONE_LAG = (
+    _recursive(base("filtered"))
+    + NUMBERED
+    + """, params_ AS (SELECT CAST(i * 2 + j AS INTEGER) AS id, [0.1::DOUBLE, 0.2::DOUBLE, 0.001::DOUBLE][i + 1] AS alpha, j = 0 AS fit_intercept
+        FROM (SELECT unnest(range(3)) AS i) CROSS JOIN (SELECT unnest(range(2)) AS j)),"""
+    + _one_lag(100, 32, "_v")
+    + """, scored AS (SELECT id, sqrt(avg((y - yhat) * (y - yhat))) AS rmse FROM made_v GROUP BY id),
+    marked AS (SELECT id, alpha, fit_intercept, rmse, row_number() OVER (ORDER BY rmse, id) = 1 AS best FROM scored JOIN params_ USING (id))"""
+)
+SQL["ridge_grid_small"] = (
+    ONE_LAG
+    + f""" SELECT id, '1' AS lags, {num('alpha')}, '' AS covariates, fit_intercept, CAST(1 AS INTEGER) AS chunk, {num('rmse')}, best FROM marked"""
+)
+SQL["ridge_one_lag"] = (
+    ONE_LAG
+    + ","
+    + _one_lag(132, 26, "_t")
+    + f""" SELECT 'ridge' AS model, product_id, sis_group_id, CAST(step AS INTEGER) AS step,
+        CAST(First_day AS VARCHAR) AS target_week, {num('y')}, {num('yhat')},
+        'lags=1 alpha=' || alpha || ' covariates= intercept=' || CASE WHEN fit_intercept THEN 'True' ELSE 'False' END || ' chunk=1' AS params
+    FROM made_t JOIN marked USING (id) JOIN (SELECT product_id, rn - 132 AS step, First_day FROM numbered) USING (product_id, step) WHERE best"""
+)

@@ -555,6 +555,28 @@ def ridge_grid(spark, d):
     return tidy(ridge.search_ridge(filtered(spark, d), CFG))
 
 
+@query
+def ridge_kkt(spark, d):
+    """All fits of the grid: whether the conditions of an optimum hold within a billionth."""
+    df = ridge.optimality(filtered(spark, d), CFG)
+    return df.select("lags", "alpha", "covariates", "fit_intercept", "chunk", (F.col("violation") < 1e-9).alias("optimal"))
+
+
+ONE_LAG = tuple(ridge.RidgeParams((1,), alpha, (), intercept, 1) for alpha in ridge.ALPHAS for intercept in (True, False))
+
+
+@query
+def ridge_grid_small(spark, d):
+    """The grid search over models of one lag."""
+    return tidy(ridge.search_ridge(filtered(spark, d), CFG, ONE_LAG))
+
+
+@query
+def ridge_one_lag(spark, d):
+    """The best of them refitted, rolled forward over its own forecasts."""
+    return tidy(ridge.forecast_ridge(filtered(spark, d), CFG, ONE_LAG))
+
+
 @query
 def forest_grid(spark, d):
     return tidy(forest.search_forest(filtered(spark, d), CFG))

@@ -43,6 +43,10 @@ class RidgeParams:
     intercept: bool
     chunk: int
 
+    def __str__(self) -> str:
+        lags, covariates = ",".join(map(str, self.lags)), ",".join(self.covariates)
+        return f"lags={lags} alpha={self.alpha} covariates={covariates} intercept={self.intercept} chunk={self.chunk}"
+
 
 GRID = tuple(RidgeParams(*p) for p in product(LAG_SETS, ALPHAS, COVARIATES, INTERCEPTS, CHUNKS))
 
@@ -107,11 +111,16 @@ def non_negative(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(m: np.ndarray, params: RidgeParams) -> RidgeModel:
-    """Coefficients from the Gram matrix of the chunk; the intercept is not penalised."""
+def _columns(params: RidgeParams) -> tuple[list[int], np.ndarray]:
+    """Design columns of the regressors and of the targets."""
     x = [1 + ALL_LAGS.index(lag) for lag in params.lags]
     x += [1 + len(ALL_LAGS) + ALL_COVARIATES.index(c) for c in params.covariates]
-    y = 1 + len(ALL_LAGS) + len(ALL_COVARIATES) + np.arange(params.chunk)
+    return x, 1 + len(ALL_LAGS) + len(ALL_COVARIATES) + np.arange(params.chunk)
+
+
+def fit(m: np.ndarray, params: RidgeParams) -> RidgeModel:
+    """Coefficients from the Gram matrix of the chunk; the intercept is not penalised."""
+    x, y = _columns(params)
     n = m[0, 0]
     xx, xy = m[np.ix_(x, x)], m[np.ix_(x, y)]
     mx, my = m[0, x] / n, m[0, y] / n
@@ -151,9 +160,71 @@ def _matrices(series: DataFrame, weeks: int, train: int, chunks: tuple[int, ...]
 def search_ridge(
     history: DataFrame, cfg: ForecastConfig, grid: tuple[RidgeParams, ...] = GRID
 ) -> DataFrame:
-    """RMSE of every parameter set over the validation weeks, fitted on the train weeks."""
+    """RMSE of every parameter set over the validation weeks, fitted on the train weeks, the ``best`` one marked."""
     series = stage(ridge_series(history), "ridge-series")
-    return _search(series, cfg, grid)
+    scored = stage(_search(series, cfg, grid), "ridge-grid")
+    best = scored.agg(F.min(F.struct("rmse", "id")).alias("m")).scalar()
+    return scored.withColumn("best", F.col("id") == best["id"])
+
+
+def optimality(history: DataFrame, cfg: ForecastConfig, grid: tuple[RidgeParams, ...] = GRID) -> DataFrame:
+    """(parameters, positive, violation): how far the fits on the train weeks are from the conditions of an optimum.
+
+    At the optimum no weight that is zero would lower the error by growing, and the error is flat in every
+    positive one. The slopes come from a pass of their own over the series, as sums of regressor times
+    residual, not from the Gram matrices the weights were solved from. ``violation`` is the worst slope relative to the
+    largest product sum of regressor and target (without their means where an intercept is fitted).
+    """
+    series = stage(ridge_series(history), "ridge-series")
+    train = cfg.ridge_train
+    weeks = series_length(series, "y", train)
+    chunks = tuple(sorted({p.chunk for p in grid}))
+    sums = _matrices(series, weeks, train, chunks)
+    models = [fit(sums[p.chunk], p) for p in grid]
+    designs = {c: _design(weeks, train, c) for c in chunks}
+
+    def slopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros((len(m.weights) + 1, m.params.chunk)) for m in models]
+        for batch in batches:
+            z = matrix_of(batch.column("z"), 3 * weeks)
+            for lo in range(0, len(z), SERIES_PER_STEP):
+                rows = {c: design(z[lo : lo + SERIES_PER_STEP]) for c, design in designs.items()}
+                for i, m in enumerate(models):
+                    x, y = _columns(m.params)
+                    own = rows[m.params.chunk]
+                    residual = own[:, y] - m.bias - own[:, x] @ m.weights
+                    total[i] += np.vstack([residual.sum(0)[None], own[:, x].T @ residual])
+        for i, t in enumerate(total):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(t.size, i), pa.int32()), pa.array(np.arange(t.size), pa.int32()), pa.array(t.ravel())],
+                names=["id", "cell", "s"],
+            )
+
+    # Some 12,000 numbers, whatever the number of series.
+    found = (
+        series.select("z")
+        .mapInArrow(slopes, "id int, cell int, s double")
+        .groupBy("id", "cell")
+        .agg(F.sum("s").alias("s"))
+        .toPandas()
+        .sort_values(["id", "cell"])
+    )
+    parts = {i: part["s"].to_numpy() for i, part in found.groupby("id")}
+    rated = []
+    for i, m in enumerate(models):
+        p = m.params
+        slope = parts[i].reshape(-1, p.chunk) if i in parts else np.zeros((len(m.weights) + 1, p.chunk))
+        flat, pull = slope[0], slope[1:] - p.alpha * m.weights
+        x, y = _columns(p)
+        g = sums[p.chunk]
+        products = np.abs(g[np.ix_(x, y)] - (np.outer(g[0, x], g[0, y]) / g[0, 0] if p.intercept else 0)).max()
+        worst = np.where(m.weights > 0, np.abs(pull), np.maximum(pull, 0.0)).max()
+        if p.intercept:
+            worst = max(worst, np.abs(flat).max())
+        rated.append((int((m.weights > 0).sum()), float(worst / max(products, 1e-300))))
+    params = _parameters(grid)
+    params["positive"], params["violation"] = zip(*rated)
+    return series.sparkSession.createDataFrame(params)
 
 
 def _search(series: DataFrame, cfg: ForecastConfig, grid: tuple[RidgeParams, ...]) -> DataFrame:
@@ -178,23 +249,26 @@ def _search(series: DataFrame, cfg: ForecastConfig, grid: tuple[RidgeParams, ...
             schema=out,
         )
 
-    params = pd.DataFrame(
-        [
-            (i, ",".join(map(str, p.lags)), p.alpha, ",".join(p.covariates), p.intercept, p.chunk)
-            for i, p in enumerate(grid)
-        ],
-        columns=["id", "lags", "alpha", "covariates", "fit_intercept", "chunk"],
-    ).astype({"id": "int32", "chunk": "int32"})
+    params = _parameters(grid)
     total = series.select("z").mapInArrow(errors, "id int, sse double, n long").groupBy("id")
     scored = total.agg(F.sqrt(F.try_divide(F.sum("sse"), F.sum("n"))).alias("rmse"))
     # One row per parameter set, a fixed number.
     return F.broadcast(series.sparkSession.createDataFrame(params)).join(scored, "id")
 
 
+def _parameters(grid: tuple[RidgeParams, ...]) -> pd.DataFrame:
+    rows = [
+        (i, ",".join(map(str, p.lags)), p.alpha, ",".join(p.covariates), p.intercept, p.chunk)
+        for i, p in enumerate(grid)
+    ]
+    names = ["id", "lags", "alpha", "covariates", "fit_intercept", "chunk"]
+    return pd.DataFrame(rows, columns=names).astype({"id": "int32", "chunk": "int32"})
+
+
 def forecast_ridge(
     history: DataFrame, cfg: ForecastConfig, grid: tuple[RidgeParams, ...] = GRID
 ) -> DataFrame:
-    """Best parameters of the grid, refitted on train and validation weeks, ``ridge_test`` steps."""
+    """Best parameters of the grid, refitted on train and validation weeks, ``ridge_test`` steps; they stand in ``params``."""
     series = stage(ridge_series(history), "ridge-series")
     start, steps = cfg.ridge_train + cfg.ridge_valid, cfg.ridge_test
     weeks = series_length(series, "y", start + steps)
@@ -214,4 +288,5 @@ def forecast_ridge(
         week_at(F.lit(start) + F.col("p")),
         F.get("y", F.lit(start) + F.col("p")).alias("y"),
         "yhat",
+        F.lit(str(best)).alias("params"),
     )
