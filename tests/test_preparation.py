@@ -1,6 +1,7 @@
 import datetime as dt
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from frames import ATTRS, demand, monday, values
 from pyspark.sql import functions as F
@@ -19,10 +20,12 @@ from weekloom.operators.complete import (
     union_completed,
     week_product_grid,
 )
+from weekloom.operators.explore import binned_density, density_grid
 from weekloom.operators.merge import duplicate_weeks, merge_duplicate_weeks
 from weekloom.operators.outliers import replace_outliers, upper_limits
 from weekloom.operators.quality import cast_measures, cast_rejects, drop_nulls, null_audit, with_first_day
 from weekloom.operators.rotation import drop_rare_products, rotation_flag, rotation_summary
+from weekloom.operators.series import series_arrays
 from weekloom.plans.preparation import build_tables, clean, demand_complete, demand_filtered, prepare
 from weekloom.sources.tables import DEMAND_SCHEMA, scan_demand, scan_filtered, write_parquet, write_series_table, write_table
 
@@ -270,3 +273,49 @@ def test_one_shuffle_by_product_after_the_merge(spark):
     by_product = [line for line in main if "hashpartitioning(product_id" in line and "First_day" not in line.split("),")[0]]
     assert len(by_product) == 1
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_preparation_reads_the_raw_rows_once(spark):
+    """The calendar, the merge and a repair all come from one pass over the raw table."""
+    rows = raw_rows(spark, [(p, w, w + p) for p in (1, 2) for w in range(60) if w not in (20, 55)])
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    cfg = replace(CFG, keep_weeks=30, min_rotation=5)
+    raw = rows.mapInArrow(counted, rows.schema)
+    once = demand_complete(raw, cfg)
+    assert once.count() == 2 * 30 and read.value == rows.count()
+    # Week 55 is repaired, week 20 lies before the kept weeks.
+    got = values(prepare(rows, cfg))
+    assert got[1, 55] == (54 + 1 + 56 + 1) / 2 and min(w for _, w in got) == 30
+
+
+def test_gaps_before_the_kept_weeks_need_no_history(spark):
+    rows = with_first_day(raw_rows(spark, [(1, w, w) for w in range(60) if w not in (20, 55)]))
+    calendar = week_calendar(rows, CFG)
+    assert calendar.missing == (monday(20), monday(55))
+    assert calendar.within(30).missing == (monday(55),) and calendar.needed_from(30) == monday(0)
+    assert calendar.within(4).missing == () and calendar.needed_from(4) == monday(56)
+
+
+def test_forecasters_read_the_filtered_table_without_a_shuffle(spark):
+    cfg = replace(CFG, country="BKT", series_buckets=3, min_rotation=5)
+    build_tables(raw_rows(spark, [(p, w, w + p) for p in (1, 2, 3) for w in range(60)]), cfg)
+    series = series_arrays(scan_filtered(spark, cfg), "total_qty", "sis_group_id")
+    assert "Exchange" not in series._jdf.queryExecution().executedPlan().toString()
+    assert {r["product_id"]: len(r["y"]) for r in series.collect()} == {1: 10, 2: 10, 3: 10}
+
+
+def test_binned_density_stays_within_its_bound(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(float(v),) for v in rng.gamma(2.0, 7.0, 3000)] + [(None,)], "total_qty double")
+    exact = {r["point"]: r["density"] for r in density_grid(df).collect()}
+    for cells in (64, 1024):
+        got = binned_density(df, cells=cells).collect()
+        bound = got[0]["error_bound"]
+        assert len(got) == 100 and max(abs(r["density"] - exact[r["point"]]) for r in got) <= bound
+    assert bound < 1e-4

@@ -313,6 +313,7 @@ SQL["replace_outliers_qty"] = (
     base("filtered") + f" SELECT product_id, {day()}, {num('total_qty')}, stuck_qty AS all_outliers FROM filtered"
 )
 SQL["demand_filtered"] = base("filtered") + f" SELECT {FULL} FROM filtered"
+SQL["filtered_table"] = SQL["demand_filtered"]
 
 LAGS = ", ".join(
     [num(f"lag(total_qty, {k}) {W}", f"lag_total_qty_{k}") for k in STEPS_AHEAD]
@@ -495,6 +496,19 @@ SQL["density_grid"] = (
     f" {num('sum(exp(-(((total_qty - (lo + p.point * gap)) / h) ** 2) / 2)) / any_value(n * h * sqrt(2 * pi()))', 'density')}"
     " FROM filtered CROSS JOIN st CROSS JOIN (SELECT unnest(range(100)) AS point) p GROUP BY p.point"
 )
+SQL["density_binned"] = (
+    base("filtered")
+    + ", st AS (SELECT count(*) AS n, stddev_samp(total_qty) * count(*) ** (-0.2) AS h, min(total_qty) AS least,"
+    " (max(total_qty) - min(total_qty)) / 512 AS d, min(total_qty) - (max(total_qty) - min(total_qty)) / 2 AS lo,"
+    " (max(total_qty) - min(total_qty)) * 2 / 99 AS gap FROM filtered),"
+    " spot AS (SELECT (total_qty - least) / d AS v FROM filtered CROSS JOIN st),"
+    " low AS (SELECT v, CASE WHEN v >= 512 THEN 511 ELSE floor(v) END AS mark FROM spot),"
+    " marks AS (SELECT mark, sum(w) AS w FROM (SELECT mark, 1 - (v - mark) AS w FROM low UNION ALL SELECT mark + 1, v - mark FROM low) GROUP BY mark)"
+    f" SELECT CAST(p.point AS INTEGER) AS point, {num('any_value(lo + p.point * gap)', 'value')},"
+    f" {num('sum(w * exp(-(((least + mark * d - (lo + p.point * gap)) / h) ** 2) / 2)) / any_value(n * h * sqrt(2 * pi()))', 'density')},"
+    f" {num('any_value(d * d / 8 / (h * h * h * sqrt(2 * pi())))', 'error_bound')}"
+    " FROM marks CROSS JOIN st CROSS JOIN (SELECT unnest(range(100)) AS point) p GROUP BY p.point"
+)
 SQL["seasonal_index"] = (
     base("filtered")
     + f" SELECT CAST(week(First_day) AS INTEGER) AS iso_week, {num('avg(total_qty)', 'mean')}, count(*) AS n,"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
@@ -42,7 +43,8 @@ from weekloom.operators.gram import series_length
 from weekloom.operators.series import pivot_weeks
 from weekloom.operators.series import series_arrays as arrays_per_product
 from weekloom.plans import evaluation, preparation
-from weekloom.session import stage
+from weekloom.session import stage, staging_dir
+from weekloom.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -56,9 +58,25 @@ def query(fn: Query) -> Query:
 # --- scans, data quality, dates -----------------------------------------------------------------
 
 
+@once
+def _raw_folder(spark, d):
+    """The raw table in a folder of its own, written by the library's sink."""
+    path = f"{staging_dir(spark)}/weekloom/raw-{uuid.uuid4().hex}"
+    tables.write_parquet(raw(spark, d), path, "sis_group_id")
+    return path
+
+
 @query
 def scan_demand(spark, d):
-    return tidy(raw(spark, d))
+    return tidy(tables.scan_demand(spark, CFG, _raw_folder(spark, d)))
+
+
+@query
+def filtered_table(spark, d):
+    """The table that the forecasters read, written bucketed by product and read back."""
+    cfg = replace(CFG, country=f"CHECK{uuid.uuid4().hex[:12]}", series_buckets=4)
+    preparation.build_tables(raw(spark, d), cfg)
+    return tidy(tables.scan_filtered(spark, cfg))
 
 
 @query
@@ -426,6 +444,11 @@ def density_grid(spark, d):
     return tidy(explore.density_grid(filtered(spark, d)))
 
 
+@query
+def density_binned(spark, d):
+    return tidy(explore.binned_density(filtered(spark, d), cells=512))
+
+
 @query
 def seasonal_index(spark, d):
     return tidy(explore.seasonal_index(filtered(spark, d)))

@@ -55,6 +55,7 @@ class ForecastConfig:
     var_lags: int = 10
     var_test: int = 30
     window: int = 50
+    series_buckets: int = 32  # files of the table that forecasters read by product
     scale_fit_on: str = "all"  # "all" rows, or "train" rows only
 
     def table(self, suffix: str = "") -> str:

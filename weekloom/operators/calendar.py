@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,9 +60,13 @@ class WeekCalendar:
         """First of the newest ``n`` weeks; after repair they are consecutive."""
         return max(self.first, self.last - (n - 1) * WEEK)
 
+    def within(self, n: int) -> WeekCalendar:
+        """The calendar without the gaps that the newest ``n`` weeks do not hold."""
+        return replace(self, missing=tuple(d for d in self.missing if d >= self.oldest_kept(n)))
+
     def needed_from(self, n: int) -> dt.date:
-        """First week that can influence the newest ``n``: a repair looks at all of history."""
-        return self.first if self.missing else self.oldest_kept(n)
+        """First week that can influence the newest ``n``: the repair of a gap in them looks at all of history."""
+        return self.first if self.within(n).missing else self.oldest_kept(n)
 
     def needed(self, n: int) -> Column:
         """Filter for those weeks, in a form the raw table can prune by.

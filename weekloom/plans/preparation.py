@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from weekloom.config import ForecastConfig
+from weekloom.config import DAY, ForecastConfig
 from weekloom.operators.calendar import last_n_weeks, repair_missing_weeks, week_calendar
 from weekloom.operators.complete import complete
 from weekloom.operators.merge import merge_duplicate_weeks
@@ -12,7 +13,7 @@ from weekloom.operators.outliers import replace_outliers, upper_limits
 from weekloom.operators.quality import cast_measures, drop_nulls, with_first_day
 from weekloom.operators.rotation import drop_rare_products, rotation_flag
 from weekloom.session import stage
-from weekloom.sources.tables import write_table
+from weekloom.sources.tables import write_series_table, write_table
 
 
 def typed_rows(raw: DataFrame) -> DataFrame:
@@ -28,15 +29,17 @@ def clean(raw: DataFrame) -> DataFrame:
 def prepare(raw: DataFrame, cfg: ForecastConfig) -> DataFrame:
     """Merged, calendar repaired, newest weeks only, rotation flagged, rare products gone.
 
-    The calendar comes from a map-only pass over the raw rows; it tells which years the main pass
-    has to read at all. That one has two shuffles: pre-aggregated rows for the merge, then merged
-    rows by product for every window that follows.
+    The raw rows are read once: merged weeks, a row for each product and week, are staged, and the calendar
+    comes from their day column. History before the kept weeks is read again only if a gap among these has to be
+    repaired from it. There are two shuffles: pre-aggregated rows for the merge, then merged rows by product for
+    every window that follows.
     """
-    rows = typed_rows(raw)
-    calendar = week_calendar(rows, cfg)
+    merged = stage(clean(raw), "merged")
+    calendar = week_calendar(merged, cfg)
     if calendar is not None:
-        rows = rows.where(calendar.needed(cfg.keep_weeks))
-    repaired = repair_missing_weeks(merge_duplicate_weeks(rows), cfg, calendar)
+        calendar = calendar.within(cfg.keep_weeks)
+        merged = merged.where(F.col(DAY) >= F.lit(calendar.needed_from(cfg.keep_weeks)))
+    repaired = repair_missing_weeks(merged, cfg, calendar)
     recent = last_n_weeks(repaired, cfg.keep_weeks, calendar)
     return drop_rare_products(rotation_flag(recent, cfg), cfg)
 
@@ -58,10 +61,13 @@ def demand_filtered(raw: DataFrame, cfg: ForecastConfig) -> DataFrame:
 
 
 def build_tables(raw: DataFrame, cfg: ForecastConfig) -> None:
-    """Write the ``FINAL`` and ``Filtered`` tables of the country."""
+    """Write the ``FINAL`` and ``Filtered`` tables of the country.
+
+    The forecasters read ``Filtered`` by product: it is bucketed and sorted, so none of them shuffles it.
+    """
     prepared = demand_prepared(raw, cfg)
     write_table(complete(prepared), cfg.table("FINAL"))
     final = raw.sparkSession.table(cfg.table("FINAL"))
     filtered = replace_outliers(final, upper_limits(prepared, cfg)).drop("all_outliers")
-    write_table(filtered, cfg.table("Filtered"))
+    write_series_table(filtered, cfg.table("Filtered"), cfg.series_buckets)
 
