@@ -7,7 +7,7 @@ from frames import demand, values
 from pyspark.sql import functions as F
 
 from weekloom.config import GROUP, KEY, QTY, ForecastConfig
-from weekloom.models.arima import arma_forecast, arma_search, forecast_arima
+from weekloom.models.arima import _stable, arma_forecast, arma_search, forecast_arima
 from weekloom.models.forest import forecast_forest, search_forest
 from weekloom.models import trees
 from weekloom.models.naive import forecast_naive
@@ -189,6 +189,14 @@ def test_arma_11_equals_plain_stages_and_truth():
         assert step == pytest.approx([first, w[0] + w[1] * first], rel=1e-6)
 
 
+def test_stability_equals_roots():
+    rng = np.random.default_rng(8)
+    for p in range(6):
+        w = rng.normal(0, 0.6, (400, p))
+        want = [bool(not p or np.abs(np.roots([1.0, *-row])).max() < 0.999) for row in w]
+        assert _stable(w).tolist() == want
+
+
 def test_untested_order_is_null(spark):
     rows = adf_test(demand(spark, [(1, w, w % 3) for w in range(7)] + [(2, w, 5) for w in range(20)]), CFG).collect()
     assert {r[KEY]: (r["d"], r["n_lags"] is None) for r in rows} == {1: (None, True), 2: (1, False)}

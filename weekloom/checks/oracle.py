@@ -732,7 +732,7 @@ AR1 = (
 SQL["arima_order"] = (
     AR1 + f" SELECT product_id, CAST(aicc1 < aicc0 AS INTEGER) AS p, d, 0 AS q, {num('least(aicc0, aicc1)', 'aicc')} FROM rated"
 )
-SQL["arima_ar1"] = (
+AR1_LEVELS = (
     AR1
     + f""", model AS (SELECT product_id, d, aicc1 < aicc0 AS ar, CASE WHEN aicc1 < aicc0 THEN b ELSE 0 END AS b,
         CASE WHEN aicc1 < aicc0 THEN a ELSE mean END AS a FROM rated),
@@ -741,11 +741,14 @@ SQL["arima_ar1"] = (
         FROM model JOIN ends USING (product_id, d) CROSS JOIN (SELECT unnest(range(1, 25)) AS step)),
     level AS (SELECT product_id, d, ar, step, CASE d WHEN 0 THEN v
         ELSE total_qty + sum(v) OVER (PARTITION BY product_id, d ORDER BY step) END AS yhat
-        FROM made JOIN known USING (product_id) WHERE rn = cut)
-    SELECT 'arima_search' AS model, l.product_id, sis_group_id, step, d, {num('total_qty', 'y')}, {num('yhat')},
-        CASE WHEN ar THEN '1,' ELSE '0,' END || d || ',0' AS "order"
-    FROM level l JOIN numbered k ON k.product_id = l.product_id AND rn = floor(0.85::DOUBLE * cnt) + step"""
+        FROM made JOIN known USING (product_id) WHERE rn = cut),
+    ar1 AS (SELECT l.product_id, sis_group_id, step, d, total_qty AS y, yhat, CASE WHEN ar THEN '1,' ELSE '0,' END || d || ',0' AS "order"
+        FROM level l JOIN numbered k ON k.product_id = l.product_id AND rn = floor(0.85::DOUBLE * cnt) + step)"""
+)
+SQL["arima_ar1"] = (
+    AR1_LEVELS + f" SELECT 'arima_search' AS model, product_id, sis_group_id, step, d, {num('y')}, {num('yhat')}, \"order\" FROM ar1"
 )
+SQL["metrics_by_product_search"] = AR1_LEVELS + f" SELECT product_id, d, {SCORES} FROM ar1 GROUP BY product_id, d"
 # All four start after row cnt - 26 and meet in the products with COV >= 1.
 SQL["shared_leaderboard"] = (
     base("split")

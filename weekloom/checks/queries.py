@@ -676,12 +676,22 @@ def var_single(spark, d):
 @query
 def arima_ar1(spark, d):
     """Constant or AR(1) by AICc, on the values (d = 0) and on their differences (d = 1)."""
+    return tidy(_ar1(spark, d).drop("target_week"))
+
+
+def _ar1(spark, d):
     small = replace(CFG, arima_max_p=1, arima_max_q=0)
     parts = [
         arima.search_forecast(filtered(spark, d), replace(small, adf_level=level)).withColumn("d", F.lit(order))
         for order, level in ((0, 2.0), (1, 0.0))
     ]
-    return tidy(parts[0].unionByName(parts[1]).drop("target_week"))
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def metrics_by_product_search(spark, d):
+    """Scores of each searched product."""
+    return tidy(metrics.score(_ar1(spark, d), [KEY, "d"]))
 
 
 def _small_forest(spark, d, trees, depth, rule):

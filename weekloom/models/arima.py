@@ -25,14 +25,19 @@ def _fit(target: np.ndarray, cols: list[np.ndarray]) -> tuple[np.ndarray, np.nda
 
 
 def _stable(weights: np.ndarray) -> np.ndarray:
-    """Whether the roots of 1 - w1 z - w2 z^2 ... lie outside the unit circle, for each row."""
-    *many, p = weights.shape
-    if p == 0:
-        return np.ones(many, dtype=bool)
-    companion = np.zeros((*many, p, p))
-    companion[..., 0, :] = weights
-    companion[..., np.arange(1, p), np.arange(p - 1)] = 1.0
-    return np.abs(np.linalg.eigvals(companion)).max(axis=-1) < 0.999
+    """Whether the roots of 1 - w1 z - w2 z^2 ... lie beyond 1 / 0.999, for each row.
+
+    By the step-down recursion: with roots scaled to the unit circle, each order's last weight must be below one.
+    """
+    p = weights.shape[-1]
+    w = weights / 0.999 ** np.arange(1, p + 1)
+    good = np.ones(weights.shape[:-1], dtype=bool)
+    with np.errstate(all="ignore"):
+        while w.shape[-1]:
+            last = w[..., -1:]
+            good &= np.abs(last[..., 0]) < 1
+            w = (w[..., :-1] + last * w[..., -2::-1]) / (1 - last**2)
+    return good
 
 
 def _filtered(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -40,11 +45,14 @@ def _filtered(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     q = weights.shape[-1]
     if not q:
         return x
-    f = np.zeros((*x.shape[:-1], x.shape[-1] + q))
-    back = weights[..., ::-1]
-    for t in range(x.shape[-1]):
-        f[..., t + q] = x[..., t] - (back * f[..., t : t + q]).sum(axis=-1)
-    return f[..., q:]
+    # Time first, so that each step works on whole blocks.
+    rows, back = np.moveaxis(x, -1, 0), np.ascontiguousarray(np.moveaxis(weights, -1, 0))
+    f = np.zeros((q + len(rows), *x.shape[:-1]))
+    for t, row in enumerate(rows, q):
+        f[t] = row
+        for j in range(q):
+            f[t] -= back[j] * f[t - 1 - j]
+    return np.ascontiguousarray(np.moveaxis(f[q:], 0, -1))
 
 
 def _innovations(x: np.ndarray, const: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
@@ -128,7 +136,12 @@ def _corrected(x, orders, const, ar, ma, start):
         usable = np.isfinite(np.stack(cols, 2)).all(axis=(1, 2)) & _stable(-ma[i])
         step = np.zeros((len(x), 1 + p + q))
         if usable.any():
-            step[usable], _, _ = _fit(e[i][usable][:, skip:], [c[usable] for c in cols])
+            z = np.stack([c[usable] for c in cols], axis=2)
+            zt = z.transpose(0, 2, 1)
+            a = zt @ z
+            # Damped by a trifle, as innovations may all be zero.
+            a += 1e-13 * np.trace(a, axis1=1, axis2=2)[:, None, None] * np.eye(a.shape[1])
+            step[usable] = np.linalg.solve(a, zt @ e[i][usable][:, skip:, None])[:, :, 0]
         out[0][i] += step[:, 0]
         out[1][i, :, :p] += step[:, 1 : 1 + p]
         out[2][i, :, :q] += step[:, 1 + p :]
