@@ -220,3 +220,31 @@ def test_pipeline_stages_hand_on_columns(spark):
     last = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules"
     assert 0 < last.count() <= docs.count()
+
+
+def test_line_dedup_across_ranges(spark):
+    """One line in every document, more ranges than documents with it: first occurrences are settled over all ranges."""
+    rng = random.Random(6)
+    common = [f"a very common line {k}" for k in range(4)]
+    rows = []
+    for d in range(120):
+        own = [prose(d * 7 + k, 4) + " own" for k in range(2)]
+        rows.append((d, "\n".join(rng.sample(common, rng.randint(0, 4)) * rng.randint(1, 2) + own)))
+    rows += [(None, common[0]), (5, common[1] + "\nshort"), (200, None)]
+    seen, want = {}, []
+    for d, t in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
+        for line in (t or "").split("\n"):
+            seen.setdefault(line, -1 if d is None else d)
+    for d, t in rows:
+        kept = [x for x in (t or "").split("\n") if len(x) < 10 or seen[x] == (-1 if d is None else d)]
+        want.append((d, (t or "").count("\n") + 1, (t or "").count("\n") + 1 - len(kept), "\n".join(kept)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = line_dedup.plan(df).select("doc_id", "n_lines", "n_dropped", "kept_text").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)

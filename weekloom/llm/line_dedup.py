@@ -1,9 +1,11 @@
 """Line dedup: every line stays in the first document that holds it.
 
-Hashed lines are range-partitioned and sorted by (hash, document, position). The range includes the document,
-so one very common line spreads over many partitions; each partition streams its sorted rows into one first
-occurrence per hash, and those few rows are merged. The result per document is its keep bitmap in run lengths
-(kept, dropped, kept, ...), never text.
+Hashed lines are range-partitioned by (hash, document, position). The range includes the document, so one very
+common line spreads over many ranges. Within its range, each hash is sorted by document and position, and the
+first occurrence is streamed to the rows after it. Only a hash that stands first in a range can have begun in an
+earlier one; the true first documents of these, one hash for each range, are looked up and override. No
+row ever meets all others of its hash. The result per document is its keep bitmap in run lengths (kept, dropped,
+kept, ...), never text.
 
 Edge cases: a null text counts as one empty line. Keys under ``min_chars`` code points are never dropped. Rows
 with one doc_id are one document for the question who holds a line first, and all of them keep it. Null
@@ -13,7 +15,7 @@ handed through by ``apply``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.llm.common import KEY, identity, join_measured, lower_ascii, strip, with_text
@@ -43,16 +45,19 @@ def dropped_lines(rows: DataFrame, min_chars: int = 10) -> DataFrame:
         )
     )
     lines = stage(lines, "lines")
-    ordered = ["_h", "_h2", "_d", "_at"]
-    firsts = (
-        lines.select(ordered)
-        .repartitionByRange(*ordered)
-        .sortWithinPartitions(*ordered)
-        .groupBy("_h", "_h2")
-        .agg(F.min("_d").alias("_first"), F.max("_d").alias("_last"))
-        .where("_first < _last")
+    dealt = lines.repartitionByRange("_h", "_h2", "_d", "_at").withColumn("_range", F.spark_partition_id())
+    dealt = stage(dealt, "lines-by-range")
+    # One hash for each range: broadcast, as there are no more ranges than tasks.
+    open_ = dealt.groupBy("_range").agg(F.min(F.struct("_h", "_h2")).alias("m")).select("m.*").distinct()
+    begun = dealt.join(F.broadcast(open_), ["_h", "_h2"]).groupBy("_h", "_h2").agg(F.min("_d").alias("_begun"))
+    inside = Window.partitionBy("_range", "_h", "_h2").orderBy("_d", "_at")
+    first = F.first("_d").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (
+        dealt.withColumn("_first", first)
+        .join(F.broadcast(stage(begun, "lines-begun")), ["_h", "_h2"], "left")
+        .where(F.col("_d") > F.coalesce("_begun", "_first"))
+        .select(*KEY, "_at")
     )
-    return lines.join(firsts, ["_h", "_h2"]).where("_d > _first").select(*KEY, "_at")
 
 
 def with_bitmaps(rows: DataFrame, min_chars: int = 10) -> DataFrame:
