@@ -523,7 +523,7 @@ def aligned_actuals(spark, d):
 def model_leaderboard(spark, d):
     """The two forecasters above ranked per group and step; a step that only one forecasts has one place."""
     steps = tuple(sorted({*CFG.steps, *CFG.arima_steps}))
-    rows = _naive(spark, d).drop(DAY).unionByName(_mean_or_last(spark, d))
+    rows = _naive(spark, d).drop(DAY).unionByName(_mean_or_last(spark, d).drop("order"))
     scores = metrics.scores_by_group_and_total(rows, steps)
     return tidy(metrics.leaderboard(scores))
 
