@@ -37,7 +37,7 @@ STAGES = [
     ("mix", mix),
 ]
 
-#: The stages' similarity search and text surgery have no SQL form; tests compare run() with a plain version.
+#: The similarity search and text surgery of the stages have no SQL form; their operators are tested one by one.
 ORACLE_SQL = None
 
 
