@@ -1,22 +1,22 @@
 """Mixing sources to target weights by a low-discrepancy source schedule.
 
-Each source's documents are shuffled by a seeded hash, laid end to end and cut into blocks of equal words.
-Slot t of the mix has the point frac(t * golden ratio), which the sources' cumulative shares map to a source;
-slots are ranked per source, and the slot of rank r takes the r-th block of its source (its second pass
-follows the first, never a third). The last block of a source is cut so that its taken words meet the target.
-Any stretch of the mix therefore holds the sources close to their target shares.
+Each source's documents are shuffled by a seeded hash and laid end to end, twice over, as no document may go
+in a third time. Slot t of the mix has the point t * golden ratio modulo 1, as a 32-bit fraction; the sources'
+cumulative targets map it to a source, whose slot of rank r gives the r-th block of ``block`` words of its
+line. The schedule ends where the targets are used up: its last slot is cut there. What a source gives follows
+from its slots alone, so it comes within a few blocks of its target, and any stretch of the mix holds the
+sources close to their shares. A slot beyond a source's two passes stays empty.
 
 Nothing is ordered in one task but the list of sources, of which there is one row each: positions and ranks
 are prefix sums over hash buckets and over slot chunks, so a source with a third of all words is spread.
 
 Edge cases: a null or empty text has size 0 and is never taken. A null source is a source of its own, last in
-order. Repeated rows are documents of their own. Without words every target is 0. Extra columns are ignored.
+order. Repeated rows are documents of their own. Without words every target is 0 and there are no slots. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal, getcontext
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,17 +24,17 @@ from weekloom.llm.common import words
 from weekloom.session import join_small, stage
 
 WEIGHTS = (5, 2, 1)
-BLOCK_WORDS = 4096
+BLOCK_WORDS = 64
 BUCKETS = 4096
 CHUNK = 4096
 SEED = "mix-1"
-
-getcontext().prec = 60
-GOLDEN = (Decimal(5).sqrt() - 1) / 2
+#: The golden ratio's fraction in units of 2 ** -32, rounded to an odd number: all 2 ** 32 points come once a period.
+GOLDEN = 2654435769
+CIRCLE = 1 << 32
 
 
 def source_targets(docs: DataFrame, weights: tuple[int, ...], share: float, limit: int) -> DataFrame:
-    """One row per source: number, size, target, and how many blocks are wanted of it.
+    """One row per source: number, size, target, and its whole words.
 
     Targets fill up by weight: the sources sorted by limit / weight reach their limits in this order, and the
     level of the rest is the largest level along the way.
@@ -76,65 +76,31 @@ def line_up(docs: DataFrame) -> DataFrame:
     )
 
 
-def spread(df: DataFrame, n: Column, name: str, step: int = 1 << 14) -> DataFrame:
-    """Each row ``n`` times with numbers 0..n-1, made on all tasks: first spans, dealt out, then numbers."""
-    spans = F.sequence(F.lit(0).cast("long"), F.greatest(F.floor((n - 1) / step), F.lit(0)))
-    inner = F.sequence(F.col("_span") * step, F.least((F.col("_span") + 1) * step, n) - 1)
-    return (
-        df.where(n > 0)
-        .withColumn("_span", F.explode(spans))
-        .repartition("_no", "_span")
-        .withColumn(name, F.explode(inner))
-        .drop("_span")
-    )
-
-
-def wanted_blocks(sources: DataFrame, block: int) -> DataFrame:
-    """(``_no``, ``_rank``, ``_block``, ``_words``): the blocks that a source gives, in order."""
-    per_pass = F.ceil(F.col("_source_size") / block)
-    full, rest = F.floor(F.col("_goal") / F.col("_source_size")), F.col("_goal") % F.col("_source_size")
-    some = sources.where("_goal > 0").withColumn("_wanted", (full * per_pass + F.ceil(rest / block)).cast("long"))
-    ranked = spread(some, F.col("_wanted"), "_rank")
-    number, turn = F.col("_rank") % per_pass, F.floor(F.col("_rank") / per_pass)
-    return ranked.select(
-        "_no",
-        "_rank",
-        number.alias("_block"),
-        F.least(
-            F.lit(block),
-            F.col("_source_size") - number * block,
-            F.col("_goal") - turn * F.col("_source_size") - number * block,
-        ).alias("_words"),
-    )
+def point(t: Column) -> Column:
+    """``t`` times the golden ratio modulo 1, in units of 2 ** -32; two short products, so nothing overflows."""
+    high, low = F.shiftright(t, 16).bitwiseAND(0xFFFF), t.bitwiseAND(0xFFFF)
+    return ((high * F.lit(GOLDEN)) % F.lit(CIRCLE) * F.lit(1 << 16) + low * F.lit(GOLDEN)) % F.lit(CIRCLE)
 
 
-def slots(sources: DataFrame, total: int) -> DataFrame:
-    """(``_no``, ``_rank``, ``_slot``): the low-discrepancy schedule of ``total`` slots, ranked per source."""
-    every = Window.partitionBy()
+def slots(sources: DataFrame, block: int) -> DataFrame:
+    """(``_no``, ``_rank``, ``_slot``, ``_words``): the schedule, ranked per source."""
+    wanted, cells = sources.where("_goal > 0").agg(F.coalesce(F.sum("_goal"), F.lit(0)), F.count(F.lit(1))).first()
+    total = -(-wanted // block)
     upto = F.sum("_goal").over(Window.orderBy("_no").rowsBetween(Window.unboundedPreceding, 0))
+    edge = lambda c: F.floor(c.cast("double") / F.lit(float(wanted or 1)) * F.lit(float(CIRCLE)))
+    # As many cells as sources: each cell sees few edges, and the equality of cells carries the join.
+    cell = lambda c: F.floor(c * F.lit(max(cells, 1)) / F.lit(CIRCLE))
     edges = (
         sources.where("_goal > 0")
-        .withColumn("_high", upto / F.sum("_goal").over(every))
-        .withColumn("_low", (upto - F.col("_goal")) / F.sum("_goal").over(every))
-        .withColumn("_cells", F.count(F.lit(1)).over(every))
-        # As many cells as sources: each cell sees few edges, and the equality of cells carries the join.
-        .withColumn(
-            "_cell",
-            F.explode(F.sequence(F.floor(F.col("_low") * F.col("_cells")), F.floor(F.col("_high") * F.col("_cells")))),
-        )
-        .select("_no", "_low", "_high", "_cell", "_cells")
-    )
-    spark = sources.sparkSession
-    cells = sources.where("_goal > 0").count()
-    # frac(t * golden) from two short products, so that large t lose no digits.
-    far = float((GOLDEN * 2**20) % 1)
-    t = F.col("id")
-    point = F.pmod(
-        F.pmod(F.shiftright(t, 20) * F.lit(far), F.lit(1.0)) + t.bitwiseAND(2**20 - 1) * F.lit(float(GOLDEN)), F.lit(1.0)
+        .withColumn("_high", edge(upto))
+        .withColumn("_low", edge(upto - F.col("_goal")))
+        .where("_low < _high")
+        .withColumn("_cell", F.explode(F.sequence(cell(F.col("_low")), cell(F.col("_high") - 1))))
+        .select("_no", "_low", "_high", "_cell")
     )
-    points = spark.range(total).select(t.alias("_slot"), point.alias("_point"))
+    points = sources.sparkSession.range(total).select(F.col("id").alias("_slot"), point(F.col("id")).alias("_point"))
     placed = (
-        join_small(points.withColumn("_cell", F.floor(F.col("_point") * cells)), edges, "_cell")
+        join_small(points.withColumn("_cell", cell(F.col("_point"))), edges, "_cell")
         .where("_low <= _point AND _point < _high")
         .select("_no", "_slot", F.floor(F.col("_slot") / CHUNK).alias("_chunk"))
     )
@@ -145,7 +111,12 @@ def slots(sources: DataFrame, total: int) -> DataFrame:
     return (
         placed.withColumn("_n", F.row_number().over(inside))
         .join(before, ["_no", "_chunk"])
-        .select("_no", (F.col("_before") + F.col("_n") - 1).alias("_rank"), "_slot")
+        .select(
+            "_no",
+            (F.col("_before") + F.col("_n") - 1).alias("_rank"),
+            "_slot",
+            F.least(F.lit(block).cast("long"), wanted - F.col("_slot") * block).alias("_words"),
+        )
     )
 
 
@@ -180,42 +151,57 @@ def schedule(
     share: float = 1.5,
     limit: int = 2,
     block: int = BLOCK_WORDS,
-) -> tuple[DataFrame, DataFrame]:
-    """The mix as rows (slot, source number, document, first word, number of words), and the documents.
-
-    The order of the mix is ``_slot``, ``_rank``. A source that runs short of slots by the schedule's small
-    discrepancy has its last blocks behind the others.
-    """
+) -> DataFrame:
+    """The mix as rows (slot, source number, document, first word, number of words); its order is ``_slot``, ``_turn``,
+    ``_start``."""
     line, sources = prepared(docs, weights, share, limit)
-    wanted = stage(wanted_blocks(sources, block), "mix-wanted")
-    total = wanted.count()
-    placed = wanted.join(slots(sources, total), ["_no", "_rank"], "left").withColumn(
-        "_slot", F.coalesce("_slot", F.lit(total) + F.col("_rank"))
+    placed = stage(slots(sources, block), "mix-slots")
+    runs = (
+        line.where("_size > 0")
+        .withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(limit - 1))))
+        .withColumn("_from", F.col("_start") + F.col("_turn") * F.col("_source_size"))
     )
-    first, last = F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("_size") - 1) / block)
-    pieces = line.where("_size > 0").withColumn("_block", F.explode(F.sequence(first, last)))
-    low = F.greatest(F.col("_start") - F.col("_block") * block, F.lit(0))
-    high = F.least(F.col("_start") + F.col("_size") - F.col("_block") * block, F.col("_words"))
-    mix = (
-        pieces.join(placed, ["_no", "_block"])
+    first, last = F.floor(F.col("_from") / block), F.floor((F.col("_from") + F.col("_size") - 1) / block)
+    low = F.greatest(F.col("_from") - F.col("_rank") * block, F.lit(0))
+    high = F.least(F.col("_from") + F.col("_size") - F.col("_rank") * block, F.col("_words"))
+    return (
+        runs.withColumn("_rank", F.explode(F.sequence(first, last)))
+        .join(placed, ["_no", "_rank"])
         .withColumn("_taken", high - low)
         .where("_taken > 0")
-        .withColumn("_first", F.col("_block") * block + low - F.col("_start"))
+        .withColumn("_first", F.col("_rank") * block + low - F.col("_from"))
     )
-    return mix, line
 
 
-def taken(docs: DataFrame, **options) -> DataFrame:
-    """Per document its size, its source's size and target, and the words that the mix takes of it."""
-    mix, line = schedule(docs, **options)
-    key = ["_no", "_bucket", "_n"]
-    sums = mix.groupBy(*key).agg(F.sum("_taken").alias("_taken"))
-    return line.join(sums, key, "left").select(
-        "doc_id",
-        F.col("_size").alias("size"),
-        F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"),
-        F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"),
+def taken(
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    share: float = 1.5,
+    limit: int = 2,
+    block: int = BLOCK_WORDS,
+) -> DataFrame:
+    """Per document its size, its source's size and target, the words that the mix takes of it, and its first slot.
+
+    The words of a source's slots run along its line, so a document's part needs no list of pieces.
+    """
+    line, sources = prepared(docs, weights, share, limit)
+    placed = stage(slots(sources, block), "mix-slots")
+    given = stage(placed.groupBy("_no").agg(F.sum("_words").alias("_given")), "mix-given")
+    part = lambda turn: F.greatest(
+        F.lit(0), F.least("_size", F.col("_given") - F.col("_start") - F.lit(turn) * F.col("_source_size"))
+    )
+    served = join_small(line.withColumn("_rank", F.floor(F.col("_start") / block)), given, "_no", "left")
+    return (
+        served.withColumn("_taken", F.coalesce(sum((part(k) for k in range(1, limit)), part(0)), F.lit(0)).cast("long"))
+        .join(placed.select("_no", "_rank", "_slot"), ["_no", "_rank"], "left")
+        .select(
+            "doc_id",
+            F.col("_size").alias("size"),
+            F.col("_source_size").alias("source_size"),
+            F.col("_target").alias("target"),
+            F.col("_taken").alias("taken"),
+            F.when(F.col("_taken") > 0, F.col("_slot")).alias("first_slot"),
+        )
     )
 
 
@@ -230,13 +216,31 @@ v AS (
   SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0)::DOUBLE)
             / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0))::DOUBLE AS level
   FROM w WINDOW o AS (ORDER BY cap::DOUBLE / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, least(cap::DOUBLE, weight * max(level) OVER ()) AS target FROM v),
+t AS (SELECT source, no, source_size, least(cap::DOUBLE, weight * max(level) OVER ()) AS target FROM v),
+g AS (
+  SELECT *, sum(goal) OVER (ORDER BY no)::BIGINT AS upto, sum(goal) OVER ()::BIGINT AS wanted
+  FROM (SELECT source, no, floor(target)::BIGINT AS goal FROM t)),
+e AS (
+  SELECT *, floor((upto - goal)::DOUBLE / wanted::DOUBLE * 4294967296::DOUBLE)::BIGINT AS low,
+         floor(upto::DOUBLE / wanted::DOUBLE * 4294967296::DOUBLE)::BIGINT AS high
+  FROM g WHERE goal > 0),
+k AS (SELECT unnest(range(((max(wanted) + 63) // 64)::BIGINT)) AS t, max(wanted) AS wanted FROM e),
+q AS (
+  SELECT t, least(64, wanted - 64 * t)::BIGINT AS words,
+         ((((t >> 16) & 65535) * 2654435769) % 4294967296 * 65536 + (t & 65535) * 2654435769) % 4294967296 AS point
+  FROM k),
+h AS (
+  SELECT e.source, t, words, row_number() OVER (PARTITION BY e.source ORDER BY t) - 1 AS rank
+  FROM q JOIN e ON low <= point AND point < high),
+z AS (SELECT source, sum(words)::BIGINT AS given FROM h GROUP BY source),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS goal,
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, coalesce(z.given, 0) AS given,
          (sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix-1' || coalesce(d.doc_id::VARCHAR, 'null')), d.doc_id, d.size
                             ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS pos
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(goal - pos, size)) + greatest(0, least(goal - source_size - pos, size)))::BIGINT AS taken
-FROM p
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN z ON z.source IS NOT DISTINCT FROM d.source),
+r AS (
+  SELECT *, (greatest(0, least(given - pos, size)) + greatest(0, least(given - source_size - pos, size)))::BIGINT AS taken
+  FROM p)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN h.t END AS first_slot
+FROM r LEFT JOIN h ON h.source IS NOT DISTINCT FROM r.source AND h.rank = pos // 64
 """
