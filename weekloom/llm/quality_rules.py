@@ -4,9 +4,8 @@ A line's key is the line without white space at its ends, A-Z lower-cased, hashe
 documents that hold a key are counted, lines above the limits are taken out, and a document that lost more
 than ``max_lost`` of its words is depleted and rejected.
 
-Copies and near copies of a document must not make its lines look like boilerplate. Documents are therefore
-counted by a fingerprint, their three longest distinct words: copies share it, and documents that only share
-a menu or a footer do not.
+Exact copies of a document must not make its lines look like boilerplate: documents of one host with the same
+whole text, told by its hash, count once. Any other two texts are two documents.
 
 Edge cases: a null or empty text has no words, fails the base rules and stays in the result. A null host is a
 host of its own. Repeated rows are judged alike, each with a row of its own. Blank lines have no key. Extra
@@ -39,17 +38,6 @@ def count_of(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
-def with_longest(df: DataFrame) -> DataFrame:
-    """``_who``: the three longest distinct words; among equal lengths the larger string goes first."""
-    return (
-        df.withColumn("_sized", F.transform("_w", lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))
-        .withColumn("_1st", F.array_max("_sized"))
-        .withColumn("_2nd", F.array_max(F.filter("_sized", lambda x: x < F.col("_1st"))))
-        .withColumn("_3rd", F.array_max(F.filter("_sized", lambda x: x < F.col("_2nd"))))
-        .withColumn("_who", F.array(*(F.col(c)["w"] for c in ("_1st", "_2nd", "_3rd"))))
-    )
-
-
 def with_repeats(df: DataFrame) -> DataFrame:
     """``_n_repeat_words``: words inside three-word windows that occur twice or more.
 
@@ -89,14 +77,14 @@ def figures(docs: DataFrame, text: Column, limits: LineLimits) -> DataFrame:
         "_lines",
         lambda x: F.struct(F.xxhash64(strip(lower_ascii(x))).alias("h"), F.size(words(x)).alias("n")),
     )
-    base = with_longest(with_repeats(df)).select(
+    base = with_repeats(df).select(
         *docs.columns,
         n.cast("long").alias("_n_words"),
         (F.length("_text") - count_of(F.col("_text"), " \t\n\x0b\f\r")).cast("long").alias("_word_chars"),
         count_of(F.col("_text"), "#*$%&|<>").cast("long").alias("_n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("_n_dup_lines"),
         "_n_repeat_words",
-        "_who",
+        F.xxhash64("_text").alias("_who"),
         keyed.alias("_keys"),
     )
     failed = (F.col("_n_words") < limits.min_words) | (
@@ -108,7 +96,8 @@ def figures(docs: DataFrame, text: Column, limits: LineLimits) -> DataFrame:
 def frequent_lines(base: DataFrame, limits: LineLimits) -> DataFrame:
     """Keys (host, h) held by more distinct documents of a host than the limits allow.
 
-    Counting goes through distinct (host, key, document) rows, which are combined before each shuffle.
+    Counting goes through distinct (host, key, text) rows, which are combined before each shuffle, so the copies
+    of a text and a line that a third of all documents hold are spread over all tasks.
     """
     total = base.select("_host", "_who").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_all"))
     held = (
@@ -127,8 +116,9 @@ def judged(docs: DataFrame, limits: LineLimits) -> DataFrame:
     lines = base.select("_row", "_host", F.explode("_keys").alias("k")).select(
         "_row", "_host", F.col("k.h").alias("_h"), F.col("k.n").alias("_n")
     )
+    frequent = stage(frequent_lines(base, limits), "frequent-lines")
     lost = (
-        lines.join(frequent_lines(base, limits), ["_host", "_h"])
+        join_measured(lines, frequent, ["_host", "_h"], "inner", 32 + F.octet_length("_host"))
         .groupBy("_row")
         .agg(F.sum("_n").alias("_lost"), F.count(F.lit(1)).alias("_lost_lines"))
     )
@@ -190,10 +180,8 @@ l AS (SELECT r, host, x, lower_x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')
         FROM (SELECT r, host, unnest(string_split(t, chr(10))) AS x FROM d)
         WHERE regexp_matches(x, '[^\x20\x09-\x0D]'))),
 dl AS (SELECT r, count(*) - count(DISTINCT x) AS n_dup FROM l GROUP BY r),
-top3 AS (SELECT r, list(x ORDER BY length(x) DESC, x DESC)[1:3] AS who FROM (SELECT DISTINCT r, unnest(w) AS x FROM d) GROUP BY r),
-who AS (SELECT d.r, d.host, coalesce(top3.who, []) AS who FROM d LEFT JOIN top3 USING (r)),
-tot AS (SELECT host, count(DISTINCT who) AS n_all FROM who GROUP BY host),
-fr AS (SELECT l.host, lower_x, count(DISTINCT who) AS n_docs FROM l JOIN who USING (r) GROUP BY 1, 2),
+tot AS (SELECT host, count(DISTINCT t) AS n_all FROM d GROUP BY host),
+fr AS (SELECT l.host, lower_x, count(DISTINCT t) AS n_docs FROM l JOIN d USING (r) GROUP BY 1, 2),
 bad AS (SELECT host, lower_x FROM fr JOIN tot USING (host) WHERE n_docs > 10 AND n_docs > 0.01 * n_all),
 lost AS (SELECT r, sum(n) AS n_lost, count(*) AS n_lines FROM l JOIN bad USING (host, lower_x) GROUP BY r),
 f AS (
