@@ -187,12 +187,13 @@ def taken(
     line, sources = prepared(docs, weights, share, limit)
     placed = stage(slots(sources, block), "mix-slots")
     given = stage(placed.groupBy("_no").agg(F.sum("_words").alias("_given")), "mix-given")
+    words_of = F.coalesce("_given", F.lit(0))
     part = lambda turn: F.greatest(
-        F.lit(0), F.least("_size", F.col("_given") - F.col("_start") - F.lit(turn) * F.col("_source_size"))
+        F.lit(0), F.least("_size", words_of - F.col("_start") - F.lit(turn) * F.col("_source_size"))
     )
     served = join_small(line.withColumn("_rank", F.floor(F.col("_start") / block)), given, "_no", "left")
     return (
-        served.withColumn("_taken", F.coalesce(sum((part(k) for k in range(1, limit)), part(0)), F.lit(0)).cast("long"))
+        served.withColumn("_taken", sum((part(k) for k in range(1, limit)), part(0)).cast("long"))
         .join(placed.select("_no", "_rank", "_slot"), ["_no", "_rank"], "left")
         .select(
             "doc_id",
