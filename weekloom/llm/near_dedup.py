@@ -2,9 +2,11 @@
 
 1. Documents with the same set of shingles become one class, so exact copies are one row from here on.
 2. Every class has a MinHash sketch. In each of ``trees`` independent trees a class follows the values of
-   randomly chosen sketch places: classes that agree stay in a node together. Nodes above ``leaf`` classes
-   branch on, each along its own chosen places, 1 / similarity of them on average, as deep as ``depth``.
-   What is then still too large is cut into blocks, and every pair of blocks is a node: slower, but whole.
+   randomly chosen sketch places: classes that agree stay in a node together. In nodes above ``leaf`` classes
+   every class is first held against the node's smallest one, on full sets. Where that does not leave one
+   component, the node branches on, each along its own chosen places, 1 / similarity of them on average, as deep
+   as ``depth``; a node whose classes are known as one component has nothing left to find and goes. What is then
+   still too large is cut into blocks, and every pair of blocks is a node: slower, but whole.
 3. Nodes are compared exhaustively on sketches; a star forest of the plausible pairs is confirmed on full
    sets. Nodes in which a plausible pair was refused are compared once more, on full sets, every class
    outside the largest component against all others. Only links between components need confirming, so a
@@ -35,6 +37,7 @@ from weekloom.llm.words import NOT_SPACE, Words, group_cuts, mix, passes, whole_
 from weekloom.session import join_small, stage
 
 PLACES = 128
+PATHS = "_node bigint, _c bigint"
 
 
 @dataclass(frozen=True)
@@ -151,27 +154,41 @@ def _branch(batches: Iterator[pa.RecordBatch], extra: float) -> Iterator[pa.Reco
         )
 
 
-def leaves(classes: DataFrame, cfg: NearDedup) -> DataFrame:
-    """(``_node``, ``_c``) of all nodes with two classes or more that are compared exhaustively."""
-    schema = "_node bigint, _c bigint"
-    rows = classes.select("_sketch", "_c").mapInArrow(lambda b: _paths(b, cfg), schema)
+def shared(rows: DataFrame) -> DataFrame:
+    """Rows (``_node``, ``_c``, ``_label``) of the nodes that hold two components or more, with the node's ``_size``."""
+    sizes = rows.groupBy("_node").agg(
+        F.count(F.lit(1)).alias("_size"), F.min("_label").alias("_low"), F.max("_label").alias("_high")
+    )
+    sizes = sizes.where("_low != _high").select("_node", "_size")
+    return stage(rows.select("_node", "_c").join(sizes, "_node"), "paths")
+
+
+def first_nodes(classes: DataFrame, cfg: NearDedup) -> DataFrame:
+    """(``_node``, ``_c``, ``_size``) of the first nodes with two classes or more."""
+    rows = classes.select("_sketch", "_c").mapInArrow(lambda b: _paths(b, cfg), PATHS)
+    return shared(stage(rows, "paths").withColumn("_label", F.col("_c")))
+
+
+def leaves(large: DataFrame, classes: DataFrame, known: DataFrame, cfg: NearDedup) -> DataFrame:
+    """(``_node``, ``_c``) of all nodes below ``large`` that are compared exhaustively.
+
+    ``known`` has the component so far, ``_label``, of each class in them.
+    """
+    rows, share = large.select("_node", "_c"), 100 / cfg.percent - 1
     parts = []
     for level in range(cfg.start, cfg.depth + 1):
-        rows = stage(rows, "paths")
-        sizes = rows.groupBy("_node").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
-        sized = stage(rows.join(sizes, "_node"), "paths")
-        parts.append(sized.where(F.col("_size") <= cfg.leaf).select("_node", "_c"))
-        large = sized.where(F.col("_size") > cfg.leaf)
-        if large.isEmpty():
+        mixed = shared(stage(rows.join(known, "_c"), "paths"))
+        parts.append(mixed.where(F.col("_size") <= cfg.leaf).select("_node", "_c"))
+        wide = mixed.where(F.col("_size") > cfg.leaf)
+        if wide.isEmpty():
             break
         if level == cfg.depth:
-            parts.append(block_pairs(large, cfg.leaf // 2))
+            parts.append(block_pairs(wide, cfg.leaf // 2))
             break
-        share = 100 / cfg.percent - 1
         rows = (
-            large.join(classes.select("_c", "_sketch"), "_c")
+            wide.join(classes.select("_c", "_sketch"), "_c")
             .select("_node", "_c", "_sketch")
-            .mapInArrow(lambda b: _branch(b, share), schema)
+            .mapInArrow(lambda b: _branch(b, share), PATHS)
         )
     out = parts[0]
     for p in parts[1:]:
@@ -331,40 +348,69 @@ def confirmed(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def class_links(classes: DataFrame, texts: DataFrame, cfg: NearDedup) -> DataFrame:
-    """(``v``, ``component``) of classes that are linked with others. ``texts``: ``_text``, ``_text_hash``."""
-    nodes = stage(leaves(classes, cfg), "leaves")
-    pairs = (
+def plausible(nodes: DataFrame, classes: DataFrame, cfg: NearDedup) -> DataFrame:
+    """(``_node``, ``a``, ``b``): the pairs in ``nodes`` that are worth confirming."""
+    return (
         nodes.join(classes.select("_c", "_n", "_sketch"), "_c")
         .repartition("_node")
         .sortWithinPartitions("_node")
         .select("_node", "_c", "_n", "_sketch")
         .mapInArrow(lambda b: _plausible(b, cfg), "_node bigint, a bigint, b bigint")
     )
+
+
+def star_links(pairs: DataFrame, sets: DataFrame, cfg: NearDedup) -> DataFrame:
+    """(``a``, ``b``): confirmed links of ``pairs``, whose ``a`` are the centres of stars.
+
+    A centre with very many partners is cut into chunks, many nodes with the same centre.
+    """
+    star = pairs.select("a", "b").distinct()
+    degree = stage(star.groupBy("a").agg(F.count(F.lit(1)).alias("_deg")).where(F.col("_deg") > cfg.leaf), "hubs")
+    chunks = F.ceil(F.coalesce("_deg", F.lit(1)) / cfg.leaf).cast("long")
+    chunk = F.xxhash64("a", F.pmod(F.xxhash64("b"), chunks))
+    star = stage(join_small(star, degree, "a", "left").select("a", "b", chunk.alias("_node")), "stars")
+    centre = star.select("_node", F.col("a").alias("_c")).distinct().withColumn("_ask", F.lit(True))
+    around = star.select("_node", F.col("b").alias("_c")).withColumn("_ask", F.lit(False))
+    return confirmed(centre.union(around).withColumn("_label", F.col("_c")), sets, cfg.percent)
+
+
+def labelled(df: DataFrame, parts: DataFrame, c: str, name: str) -> DataFrame:
+    """``df`` with the component of class ``c``, itself where it is linked with none."""
+    parts = parts.select(F.col("v").alias(c), F.col("component").alias(name))
+    return df.join(parts, c, "left").withColumn(name, F.coalesce(name, c))
+
+
+def class_links(classes: DataFrame, texts: DataFrame, cfg: NearDedup) -> DataFrame:
+    """(``v``, ``component``) of classes that are linked with others. ``texts``: ``_text``, ``_text_hash``."""
+    first = first_nodes(classes, cfg)
+    nodes = first.where(F.col("_size") <= cfg.leaf).select("_node", "_c")
+    large = first.where(F.col("_size") > cfg.leaf).select("_node", "_c")
+    some_large = not large.isEmpty()
+    pairs = plausible(nodes, classes, cfg)
+    if some_large:
+        heads = large.groupBy("_node").agg(F.min("_c").alias("a"))
+        pairs = pairs.union(large.join(heads, "_node").where("_c != a").select("_node", "a", F.col("_c").alias("b")))
     pairs = stage(pairs, "plausible")
     wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("_c")).distinct(), "wanted")
     wanted = stage(wanted.join(classes.select("_c", "_text_hash", "_s1", "_s2"), "_c"), "wanted")
     sets = join_small(texts, wanted, "_text_hash", max_rows=1_000_000)
     sets = sets.select("_c", "_s1", "_s2", "_text").mapInArrow(lambda b: _sets(b, cfg.shingle), "_c bigint, _set binary")
     sets = stage(sets.groupBy("_c").agg(F.first("_set").alias("_set")), "sets")
-    # Stars in chunks: a centre with very many partners is many nodes.
-    star = pairs.select("a", "b").distinct()
-    chunk = F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("_deg") / cfg.leaf).cast("long")))
-    degree = star.groupBy("a").agg(F.count(F.lit(1)).alias("_deg"))
-    star = stage(star.join(degree, "a").select("a", "b", chunk.alias("_node")), "stars")
-    centre = star.select("_node", F.col("a").alias("_c")).distinct().withColumn("_ask", F.lit(True))
-    around = star.select("_node", F.col("b").alias("_c")).withColumn("_ask", F.lit(False))
-    links = stage(confirmed(centre.union(around).withColumn("_label", F.col("_c")), sets, cfg.percent), "links")
+    links = stage(star_links(pairs, sets, cfg), "links")
     parts = stage(components(links), "components")
-    label = lambda df, c, name: (
-        df.join(parts.select(F.col("v").alias(c), F.col("component").alias(name)), c, "left").withColumn(
-            name, F.coalesce(name, c)
-        )
-    )
+    if some_large:
+        # All classes of large nodes have their sets already.
+        known = stage(labelled(large.select("_c").distinct(), parts, "_c", "_label"), "known")
+        deep = stage(leaves(large, classes, known, cfg), "leaves")
+        found = stage(plausible(deep, classes, cfg), "plausible")
+        nodes, pairs = nodes.union(deep), pairs.union(found)
+        links = stage(links.union(star_links(found, sets, cfg)), "links")
+        parts = stage(components(links), "components")
     # A pair stands in many nodes: it is labelled once, and only refused pairs look for their nodes.
-    refused = label(label(star.select("a", "b"), "a", "_la"), "b", "_lb").where("_la != _lb").select("a", "b")
-    refused = pairs.join(stage(refused, "refused-pairs"), ["a", "b"], "left_semi").select("_node").distinct()
-    again = label(nodes.join(stage(refused, "refused"), "_node", "left_semi"), "_c", "_label")
+    refused = labelled(labelled(pairs.select("a", "b").distinct(), parts, "a", "_la"), parts, "b", "_lb")
+    refused = stage(refused.where("_la != _lb").select("a", "b"), "refused-pairs")
+    refused = stage(pairs.join(refused, ["a", "b"], "left_semi").select("_node").distinct(), "refused")
+    again = labelled(nodes.join(refused, "_node", "left_semi"), parts, "_c", "_label")
     # Classes that were plausible with nobody have no set here, and no link either.
     more = confirmed(again.withColumn("_ask", F.lit(False)), sets, cfg.percent)
     return components(stage(links.union(more), "links"))
