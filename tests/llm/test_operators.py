@@ -42,6 +42,7 @@ STAGES = {
     "lines": lambda s, d: line_dedup.apply(d),
     "near": lambda s, d: near_dedup.keep_first(d),
     "decontaminate": lambda s, d: decontaminate.clean(d, s.createDataFrame([], BENCH)),
+    "near of two words": lambda s, d: near_dedup.keep_first(d, near_dedup.NearDedup(shingle=2)),
 }
 
 
@@ -208,7 +209,7 @@ def test_passages_are_found(spark):
 
 def test_mix_schedule_is_even(spark):
     rows = [(i, "w " * 50, f"s{i % 3}") for i in range(300)]
-    mix, _ = mixing.schedule(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=25)
+    mix = mixing.schedule(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=25)
     order = [r["_no"] for r in mix.select("_slot", "_no").distinct().orderBy("_slot").collect()]
     share = {k: order.count(k) / len(order) for k in set(order)}
     for n in range(50, len(order), 50):
