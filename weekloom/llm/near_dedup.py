@@ -3,10 +3,11 @@
 1. Documents with the same set of shingles become one class, so exact copies are one row from here on.
 2. Every class has a MinHash sketch. In each of ``trees`` independent trees a class follows the values of
    randomly chosen sketch places: classes that agree stay in a node together. In nodes above ``leaf`` classes
-   every class is first held against the node's smallest one, on full sets. Where that does not leave one
-   component, the node branches on, each along its own chosen places, 1 / similarity of them on average, as deep
-   as ``depth``; a node whose classes are known as one component has nothing left to find and goes. What is then
-   still too large is cut into blocks, and every pair of blocks is a node: slower, but whole.
+   every class is first held against the node's smallest one, on full sets. A node whose classes are then known
+   as one component has nothing left to find. If all but ``leaf`` / 2 of them are one component, the others meet
+   every class of the node on full sets. Else the node branches on, each along its own chosen places,
+   1 / similarity of them on average, as deep as ``depth``. What is then still too large is cut into blocks, and
+   every pair of blocks is a node: slower, but whole.
 3. Nodes are compared exhaustively on sketches; a star forest of the plausible pairs is confirmed on full
    sets. Nodes in which a plausible pair was refused are compared once more, on full sets, every class
    outside the largest component against all others. Only links between components need confirming, so a
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -154,46 +156,61 @@ def _branch(batches: Iterator[pa.RecordBatch], extra: float) -> Iterator[pa.Reco
         )
 
 
-def shared(rows: DataFrame) -> DataFrame:
-    """Rows (``_node``, ``_c``, ``_label``) of the nodes that hold two components or more, with the node's ``_size``."""
-    sizes = rows.groupBy("_node").agg(
-        F.count(F.lit(1)).alias("_size"), F.min("_label").alias("_low"), F.max("_label").alias("_high")
+def first_nodes(classes: DataFrame, cfg: NearDedup) -> DataFrame:
+    """(``_node``, ``_c``, ``_size``) of the first nodes with two classes or more."""
+    rows = stage(classes.select("_sketch", "_c").mapInArrow(lambda b: _paths(b, cfg), PATHS), "paths")
+    sizes = rows.groupBy("_node").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    return stage(rows.join(sizes, "_node"), "paths")
+
+
+def mixed(rows: DataFrame) -> DataFrame:
+    """Rows (``_node``, ``_c``, ``_label``) of the nodes that hold two components or more.
+
+    ``_size``: classes of the node; ``_others``: those outside its largest component; ``_main``: whether the row is in it.
+    """
+    counts = rows.groupBy("_node", "_label").agg(F.count(F.lit(1)).alias("_n"))
+    nodes = counts.groupBy("_node").agg(F.sum("_n").alias("_size"), F.max(F.struct("_n", "_label")).alias("_top"))
+    nodes = nodes.withColumn("_others", F.col("_size") - F.col("_top._n")).where("_others > 0")
+    return rows.join(nodes, "_node").select(
+        "_node", "_c", "_label", "_size", "_others", (F.col("_label") == F.col("_top._label")).alias("_main")
     )
-    sizes = sizes.where("_low != _high").select("_node", "_size")
-    return stage(rows.select("_node", "_c").join(sizes, "_node"), "paths")
 
 
-def first_nodes(classes: DataFrame, cfg: NearDedup) -> DataFrame:
-    """(``_node``, ``_c``, ``_size``) of the first nodes with two classes or more."""
-    rows = classes.select("_sketch", "_c").mapInArrow(lambda b: _paths(b, cfg), PATHS)
-    return shared(stage(rows, "paths").withColumn("_label", F.col("_c")))
+def asked(rows: DataFrame, block: int) -> DataFrame:
+    """Nodes in which the classes outside the largest component meet all classes: its members in chunks, the others in each."""
+    chunks = F.ceil((F.col("_size") - F.col("_others")) / block)
+    mine = F.array(F.pmod(F.xxhash64("_c"), chunks))
+    every = F.sequence(F.lit(0).cast("long"), chunks - 1)
+    return rows.select(
+        F.explode(F.when(F.col("_main"), mine).otherwise(every)).alias("_k"), "_node", "_c", "_label", (~F.col("_main")).alias("_ask")
+    ).select(F.xxhash64("_node", "_k").alias("_node"), "_c", "_label", "_ask")
 
 
-def leaves(large: DataFrame, classes: DataFrame, known: DataFrame, cfg: NearDedup) -> DataFrame:
-    """(``_node``, ``_c``) of all nodes below ``large`` that are compared exhaustively.
+def below(large: DataFrame, classes: DataFrame, known: DataFrame, cfg: NearDedup) -> tuple[DataFrame, DataFrame]:
+    """What is left to compare in and below ``large``: nodes (``_node``, ``_c``) to be compared on sketches, and nodes
+    (``_node``, ``_c``, ``_label``, ``_ask``) to be compared on full sets.
 
     ``known`` has the component so far, ``_label``, of each class in them.
     """
     rows, share = large.select("_node", "_c"), 100 / cfg.percent - 1
-    parts = []
+    small, few = [], []
     for level in range(cfg.start, cfg.depth + 1):
-        mixed = shared(stage(rows.join(known, "_c"), "paths"))
-        parts.append(mixed.where(F.col("_size") <= cfg.leaf).select("_node", "_c"))
-        wide = mixed.where(F.col("_size") > cfg.leaf)
+        rows = stage(mixed(stage(rows.join(known, "_c"), "paths")), "mixed")
+        fits, all_but = F.col("_size") <= cfg.leaf, F.col("_others") <= cfg.leaf // 2
+        small.append(rows.where(fits).select("_node", "_c"))
+        few.append(asked(rows.where(~fits & all_but), cfg.leaf))
+        wide = rows.where(~fits & ~all_but)
         if wide.isEmpty():
             break
         if level == cfg.depth:
-            parts.append(block_pairs(wide, cfg.leaf // 2))
+            small.append(block_pairs(wide, cfg.leaf // 2))
             break
         rows = (
             wide.join(classes.select("_c", "_sketch"), "_c")
             .select("_node", "_c", "_sketch")
             .mapInArrow(lambda b: _branch(b, share), PATHS)
         )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    return reduce(DataFrame.union, small), reduce(DataFrame.union, few)
 
 
 def block_pairs(large: DataFrame, block: int) -> DataFrame:
@@ -401,10 +418,12 @@ def class_links(classes: DataFrame, texts: DataFrame, cfg: NearDedup) -> DataFra
     if some_large:
         # All classes of large nodes have their sets already.
         known = stage(labelled(large.select("_c").distinct(), parts, "_c", "_label"), "known")
-        deep = stage(leaves(large, classes, known, cfg), "leaves")
+        deep, few = below(large, classes, known, cfg)
+        deep = stage(deep, "leaves")
         found = stage(plausible(deep, classes, cfg), "plausible")
         nodes, pairs = nodes.union(deep), pairs.union(found)
-        links = stage(links.union(star_links(found, sets, cfg)), "links")
+        links = links.union(star_links(found, sets, cfg)).union(confirmed(few, sets, cfg.percent))
+        links = stage(links, "links")
         parts = stage(components(links), "components")
     # A pair stands in many nodes: it is labelled once, and only refused pairs look for their nodes.
     refused = labelled(labelled(pairs.select("a", "b").distinct(), parts, "a", "_la"), parts, "b", "_lb")
