@@ -204,6 +204,77 @@ def test_passages_equal_all_stretches(share):
         assert (got == want).all()
 
 
+def dup_words(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    return {r["doc_id"]: r for r in substring_dedup.find(rows).collect()}
+
+
+@pytest.mark.parametrize("order", ["quotes first", "quotes between"])
+def test_passages_behind_quotes_of_their_parts(spark, order):
+    """Three other texts each quote 20 of the 60 words: before both holders, or between them."""
+    quotes, holders, later = [], [], []
+    for k in range(100):
+        words = prose(5000 + k, 60).split()
+        quotes += [f"{prose(8000 + 10 * k + j, 40)} {' '.join(words[20 * j : 20 * j + 20])} {prose(9000 + 10 * k + j, 40)}" for j in range(3)]
+        holders.append(f"{prose(6000 + k, 50)} {' '.join(words)} {prose(6500 + k, 50)}")
+        later.append(f"{prose(7000 + k, 30)} {' '.join(words)} {prose(7500 + k, 60)}")
+    texts = [*quotes, *holders, *later] if order == "quotes first" else [*holders, *quotes, *later]
+    got = dup_words(spark, texts)
+    n = len(texts)
+    assert [got[i]["n_dup_words"] for i in range(n - 100, n)] == [60] * 100
+    assert all(got[i]["n_dup_words"] == 0 for i in range(n - 100))
+
+
+def test_near_passages_are_found(spark):
+    """Passages of 100 words with two to four words changed; at least nine of ten are found."""
+    rng = random.Random(17)
+    first, second = [], []
+    for k in range(200):
+        words = prose(20000 + k, 100).split()
+        first.append(f"{prose(21000 + k, 60)} {' '.join(words)}")
+        for at in rng.sample(range(5, 95), rng.randint(2, 4)):
+            words[at] = "other"
+        second.append(f"{' '.join(words)} {prose(22000 + k, 60)}")
+    got = dup_words(spark, first + second)
+    assert sum(got[200 + k]["n_dup_words"] >= 50 for k in range(200)) >= 180
+    assert all(got[k]["n_dup_words"] == 0 for k in range(200))
+
+
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.01"])
+def test_repeated_passages_equal_brute_force(spark, table):
+    """Every word of a 50-word string that an earlier text holds is inside a passage."""
+    docs = spark.read.parquet(f"/root/testdata/{table}/documents.parquet")
+    got = {r["doc_id"]: r["passages"] for r in substring_dedup.find(docs).collect()}
+    seen, missed, all_words = set(), 0, 0
+    for r in docs.select("doc_id", "text").orderBy("doc_id").collect():
+        w = split(r["text"])
+        strings = [hash(tuple(w[i : i + 50])) for i in range(len(w) - 49)]
+        held = np.zeros(len(w), bool)
+        for i, s in enumerate(strings):
+            if s in seen:
+                held[i : i + 50] = True
+        seen.update(strings)
+        inside = np.zeros(len(w), bool)
+        for p in got[r["doc_id"]]:
+            inside[p["first"] : p["last"] + 1] = True
+        missed += int((held & ~inside).sum())
+        all_words += int(held.sum())
+    assert all_words and missed == 0, (missed, all_words)
+
+
+def test_chains_cross_ranges(spark):
+    """One min-hash over many ranges: the links are those of one sorted list."""
+    rows = [(5, d, 10 * d + k, 0) for d in range(300) for k in range(d % 3 + 1)] + [(v, v, v, 0) for v in (1, 9)]
+    windows = spark.createDataFrame(rows, "_v long, _d long, _row long, _at long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r["_row"], r["_e"]) for r in substring_dedup.links(stage(windows, "chain-test")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {(10 * d + k, e) for d in range(1, 300) for k in range(d % 3 + 1) for e in (0, d - 1)}
+    assert want <= got and all(e < r // 10 for r, e in got)
+
+
 def test_token_counts_equal_plain_viterbi(spark):
     """Every text of the small table, by a Viterbi over dictionary look-ups instead of an automaton."""
     pieces = token_counts.vocabulary()
