@@ -1,7 +1,10 @@
 """Operators against brute force and on edge cases: nulls, empty texts, ties, repeats, empty tables, clashing columns."""
 
 import hashlib
+import math
 import random
+import textwrap
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,6 +23,7 @@ from weekloom.llm import (
     suffix_dedup,
     token_counts,
 )
+from weekloom.llm.words import LETTERS, Words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row int, _k1 string, kept string"
 BENCH = "item_id long, text string"
@@ -190,6 +194,74 @@ def test_license_inheritance(spark):
     }
 
 
+def test_license_headers_and_files(spark):
+    """Whole headers in comment blocks, whole licence files, and titles of long ones by the file's name."""
+    gpl = license_scan.gnu("GNU General Public License", "3")
+    wrapped = textwrap.wrap(" ".join(gpl.split()), 70)
+    mit = license_scan.TEMPLATES["mit"][1]
+    rows = [
+        (1, "p/a.c", "/* Copyright (C) 2020 Jane Doe\n * \n" + "\n".join(f" * {x}" for x in wrapped) + "\n */\nint main;\n" * 30),
+        (2, "p/b.py", "\n".join(f"# {x}" for x in wrapped) + "\nimport os\n" + "x = os.name\n" * 50),
+        (3, "q/LICENSE", "MIT License\n\nCopyright (c) 2021 Jane Doe\n\n" + "\n".join(textwrap.wrap(" ".join(mit.split()), 78))),
+        (4, "q/src/c.py", "y = 2\n" * 20),
+        (5, "r/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n" + prose(3, 3000)),
+        (6, "r/deep/er/d.py", prose(4, 40)),
+        (7, "r/notes.txt", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n" + prose(5, 300)),
+        (8, "s/e.py", prose(6, 40)),
+        (9, "q/src/c.py", "y = 2\n" * 20),
+    ]
+    found = license_scan.scan(spark.createDataFrame(rows, "id long, path string, text string")).collect()
+    got = {r["id"]: (r["licence"], r["origin"]) for r in found}
+    assert got == {
+        1: ("gpl-3.0", "header"),
+        2: ("gpl-3.0", "header"),
+        3: ("mit", "file"),
+        4: ("mit", "inherited"),
+        5: ("gpl-3.0", "file"),
+        6: ("gpl-3.0", "inherited"),
+        7: ("gpl-3.0", "header"),
+        8: (None, None),
+        9: ("mit", "inherited"),
+    }
+
+
+def test_license_scan_equals_brute_force(spark):
+    """Cosine of every line, block and text of the small table by dictionaries, inheritance by walking up."""
+    files = license_scan.document_files(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    rows, got = files.collect(), {r["id"]: r for r in license_scan.scan(files).collect()}
+    tokens = lambda t: Words([t.encode()], LETTERS).hash.tolist()
+    forms = [(n, Counter(tokens(t))) for n, of in sorted(license_scan.TEMPLATES.items()) for t in ([of] if isinstance(of, str) else of)]
+    n = len(forms)
+    held = Counter(w for _, bag in forms for w in bag)
+    idf = lambda w: math.log((1 + n) / (1 + held[w])) + 1
+    size = lambda bag: math.sqrt(sum((c * idf(w)) ** 2 for w, c in bag.items()))
+
+    def best(text):
+        bag = Counter(tokens(text))
+        if not bag:
+            return 0.0
+        return max(sum(c * bag[w] * idf(w) ** 2 for w, c in form.items()) / size(form) / size(bag) for _, form in forms)
+
+    def parts(text):
+        out, kind = [], None
+        for line in text.split("\n"):
+            bare = line.strip()
+            now = None if not bare else bare.startswith(("#", "*", ";", "%", "//", "/*", "--", "<!"))
+            if now is None or now != kind:
+                out.append([])
+            out[-1].append(line)
+            kind = now
+        return text.split("\n") + ["\n".join(x) for x in out]
+
+    whole = {r["id"]: best(r["text"] or "") >= 0.8 for r in rows}
+    dirs = {r["path"].rsplit("/", 1)[0] for r in rows if whole[r["id"]]}
+    for r in rows:
+        up = r["path"].split("/")[:-1]
+        above = any("/".join(up[:k]) in dirs for k in range(len(up) + 1))
+        header = max(map(best, parts(r["text"] or ""))) >= 0.8
+        assert got[r["id"]]["origin"] == ("file" if whole[r["id"]] else "header" if header else "inherited" if above else None)
+
+
 def test_passages_are_found(spark):
     shared, near = prose(7, 60), prose(8, 80).split()
     changed = list(near)
