@@ -275,6 +275,21 @@ def test_chains_cross_ranges(spark):
     assert want <= got and all(e < r // 10 for r, e in got)
 
 
+def test_links_across_ranges_need_no_join(spark):
+    """A min-hash of all ranges: the links of one sorted list and those to a range's first, each once, without a join."""
+    n = 400
+    windows = spark.createDataFrame([(5, d, d, d) for d in range(n)], "_v long, _d long, _row long, _at long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = substring_dedup.links(stage(windows, "chain-test"))
+        got = sorted((r["_at"], r["_e"], r["_e_row"]) for r in made.collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(set(got)) <= 3 * n and all(e == e_row < at for at, e, e_row in got)
+    assert {(d, e, e) for d in range(1, n) for e in (0, d - 1)} <= set(got)
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_token_counts_equal_plain_viterbi(spark):
     """Every text of the small table, by a Viterbi over dictionary look-ups instead of an automaton."""
     pieces = token_counts.vocabulary()
