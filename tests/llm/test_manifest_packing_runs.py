@@ -173,6 +173,31 @@ def test_packing_equals_the_tokenizer_on_every_text(spark):
     assert len(got) < 1.6 * len(docs)  # most texts stay whole
 
 
+def test_words_are_looked_up_once():
+    """Known words are looked up once per place and encoded once; letters of ASCII pass the short way to the same ids."""
+    class Counted(dict):
+        n = 0
+
+        def get(self, key):
+            Counted.n += 1
+            return super().get(key)
+
+        def __getitem__(self, key):
+            Counted.n += 1
+            return super().__getitem__(key)
+
+    encoder, exact = packing.Encoder(packing.tokenizer_file()), Tokenizer.from_str(packing.tokenizer_file())
+    texts = ["The cat's nap, naïve ÜBER  Straße 12th ab12!! <|startoftext|> don't", "word " * 50, "É é e\u0301 ΣΑΣ", "", None]
+    for _ in range(2):
+        got = encoder.texts([t if t is None else t.encode() for t in texts])
+        exact.encode_special_tokens = True
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [exact.encode(t or "", add_special_tokens=False).ids for t in texts]
+    encoder.known = Counted(encoder.known)
+    encoder.texts([t if t is None else t.encode() for t in texts])
+    assert Counted.n == sum(len((t or "").encode().split()) for t in texts)
+    assert encoder.light.encode("cat nap", add_special_tokens=False).ids == exact.encode("cat nap", add_special_tokens=False).ids
+
+
 def test_packing_of_odd_rows(spark, odd):
     words = ["", "İstanbul’s Σσς", "it's we'll '5x", "<|endoftext|> x", "été “wort”. a.b-c", "日本語 テスト", "\x1c \x85x", "ǅ ﬁ ½²"]
     texts = {i: t for i, t in enumerate([None, *words, prose(1, 20_000), prose(2, 40_000)])}

@@ -54,37 +54,41 @@ class Encoder:
     """Packed 32-bit ids of texts, through the words between white space."""
 
     def __init__(self, tokenizer: str) -> None:
-        self.tokenizer, self.known, self.exact = tokenizer, {}, None
+        self.tokenizer, self.known, self.exact, self.light = tokenizer, {}, None, None
 
     def __getstate__(self) -> dict:
-        return {"tokenizer": self.tokenizer, "known": {}, "exact": None}
+        return {"tokenizer": self.tokenizer, "known": {}, "exact": None, "light": None}
 
     def build(self) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.exact = Tokenizer.from_str(self.tokenizer)
         self.exact.encode_special_tokens = True
+        # Small letters of ASCII are what normalising and splitting leave as they are.
+        self.light = Tokenizer.from_str(self.tokenizer)
+        self.light.encode_special_tokens = True
+        self.light.normalizer, self.light.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         names = self.exact.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
 
-    def encode(self, words: list[bytes]) -> None:
+    def encode(self, words: set[bytes]) -> None:
         """Learn new words. Words of letters are encoded in one text, and told apart by the ends in their tokens."""
-        plain, other = [], []
+        ascii, plain, other = [], [], []
         for w in words:
-            whole = w.decode()
-            (plain if unicodedata.normalize("NFC", whole).lower().isalpha() else other).append(whole)
-        ids = np.array(self.exact.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) == len(plain):
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(plain, (4 * ends).tolist()):
-                self.known[w.encode()] = raw[at:end]
-                at = end
-        else:
-            other += plain
-        for w, e in zip(other, self.exact.encode_batch(other, add_special_tokens=False)):
-            self.known[w.encode()] = np.array(e.ids, "<u4").tobytes()
+            (ascii if w.isalpha() else plain if letters(w) else other).append(w)
+        for tokenizer, many in ((self.light, ascii), (self.exact, plain)):
+            # Without offsets, which nobody reads.
+            whole = tokenizer.encode_batch_fast([b" ".join(many).decode()], add_special_tokens=False)[0]
+            ids = np.array(whole.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(many):
+                raw, cuts = ids.tobytes(), (4 * ends).tolist()
+                self.known.update((w, raw[at:end]) for w, at, end in zip(many, [0, *cuts], cuts))
+            else:
+                other += many
+        for w, e in zip(other, self.exact.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
 
     def texts(self, texts: list[bytes | None]) -> list[bytes]:
         if self.exact is None:
@@ -92,14 +96,24 @@ class Encoder:
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
         known = self.known
+        # One look-up per word; only those without a result are looked up again.
         words = [(t or b"").lower().split() for t in texts]
-        new = {w for text in words for w in text if w not in known}
-        parts = {w: m.groups() for w in new if (m := MARKED.fullmatch(w)) and unicodedata.normalize("NFC", m[1].decode()).lower().isalpha()}
-        todo = (new - parts.keys()).union(*parts.values())
-        self.encode(sorted(w for w in todo if w not in known))
+        found = [list(map(known.get, text)) for text in words]
+        gaps = [[i for i, ids in enumerate(row) if ids is None] for row in found]
+        new = {text[i] for text, at in zip(words, gaps) for i in at}
+        parts = {w: m.groups() for w in new if not w.isalpha() and (m := MARKED.fullmatch(w)) and letters(m[1])}
+        self.encode({w for w in (new - parts.keys()).union(*parts.values()) if w not in known})
         for w, (a, b) in parts.items():
             known[w] = known[a] + known[b]
-        return [b"".join(map(known.__getitem__, text)) for text in words]
+        for text, row, at in zip(words, found, gaps):
+            for i in at:
+                row[i] = known[text[i]]
+        return [b"".join(row) for row in found]
+
+
+def letters(word: bytes) -> bool:
+    """Whether the tokenizer sees letters alone; the bytes' own ``isalpha`` knows those of ASCII."""
+    return word.isalpha() or unicodedata.normalize("NFC", word.decode()).lower().isalpha()
 
 
 #: A piece of a text: (text, start, length).
