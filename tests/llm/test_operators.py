@@ -6,6 +6,7 @@ import random
 import textwrap
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
@@ -112,6 +113,19 @@ def test_suffix_dedup_is_exact(spark, group):
     assert {r[0]: (r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got} == want
 
 
+def test_spans_are_merged_before_they_meet_the_texts():
+    rng = random.Random(8)
+    spans = [[{"a": (a := rng.randrange(200)), "b": a + rng.randint(1, 9)} for _ in range(rng.randint(0, 30))] for _ in range(50)]
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    ids = pa.array(range(50), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(spans, kind)], names=["_d", "_t", "_spans"])
+    got = [r for part in (batch.slice(0, 20), batch.slice(20)) for b in suffix_dedup._merged(iter([part])) for r in b.to_pylist()]
+    assert [r["_d"] for r in got] == list(range(50))
+    for mine, r in zip(spans, got):
+        assert {x for s in mine for x in range(s["a"], s["b"])} == {x for s in r["_spans"] for x in range(s["a"], s["b"])}
+        assert all(s["b"] < t["a"] for s, t in zip(r["_spans"], r["_spans"][1:]))
+
+
 def test_deep_shallow_sorts():
     rng = random.Random(2)
     text = list({bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 30))) for _ in range(300)})

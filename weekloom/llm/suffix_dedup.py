@@ -7,10 +7,11 @@
    anchor on one side at least, so anchors in the map are looked up once more, longer by that half to the left
    and to the right; those of which either form stands in two documents go on, each with the bytes around it
    that its strings can reach.
-3. Per anchor the distinct surroundings are ordered to the right and, reversed, to the left by a deep-shallow
+3. Per anchor the surroundings are ordered to the right and, reversed, to the left by a deep-shallow
    sort: multikey quicksort on the first ``SHALLOW`` bytes, then a blind trie for each group that is still
    equal. The common prefix lengths of neighbours give those of all pairs, and a pair of which left and right
-   reach ``length`` bytes together marks its bytes in the later document.
+   reach ``length`` bytes together marks its bytes in the later document. Anchors of at most ``group`` places are
+   compared place by place; of the others, equal surroundings are one with their smallest document.
 4. Anchors with more than ``group`` distinct surroundings (both ends of a passage that a large part of the
    corpus holds) are spelled out into their strings instead, whose first documents a plain aggregation finds.
 
@@ -88,19 +89,18 @@ def longer(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, n
 
 
 def _seen(batches: Iterator[pa.RecordBatch], length: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """(``_g``, ``_d``): 32 bits of every anchor, or of both longer forms of those that ``bits`` knows; once per
-    document."""
+    """(``_g``, ``_n``): 32 bits of every anchor, or of both longer forms of those that ``bits`` knows, and how many
+    texts of a slice have it."""
 
     def codes(data: np.ndarray) -> np.ndarray:
         at, h = anchors(data, length)
         return short(h) if bits is None else np.concatenate(longer(data, at[known(bits, short(h))], length))
 
     for batch in batches:
-        docs = batch.column("_d").to_numpy(zero_copy_only=False)
-        for at, part in passes(batch.column("_text")):
-            found = [np.unique(codes(np.frombuffer(t, np.uint8))) for t in part]
-            owner = np.repeat(docs[at : at + len(part)], [len(g) for g in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(owner)], names=["_g", "_d"])
+        for _, part in passes(batch.column("_text")):
+            found = np.concatenate([np.unique(codes(np.frombuffer(t, np.uint8))) for t in part])
+            g, n = np.unique(found, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n.astype(np.int32))], names=["_g", "_n"])
 
 
 def short(h: np.ndarray) -> np.ndarray:
@@ -119,9 +119,9 @@ def known(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
 
 
 def bit_map(seen: DataFrame) -> np.ndarray:
-    """Bits of what stands in two documents: a filter of fixed size, whatever the corpus. What it lets through by
-    chance is sorted out by the exact steps behind it."""
-    shared = seen.groupBy("_g").agg(F.min("_d").alias("_a"), F.max("_d").alias("_b")).where("_a < _b")
+    """Bits of what stands in two texts: a filter of fixed size, whatever the corpus. What it lets through by
+    chance, or as texts of one document, is sorted out by the exact steps behind it."""
+    shared = seen.groupBy("_g").agg(F.sum("_n").alias("_texts")).where("_texts > 1")
     rows = (
         shared.select(F.shiftrightunsigned("_g", 32 - MAP_BITS).alias("_slot"))
         .groupBy(F.shiftrightunsigned("_slot", 6).alias("_word"))
@@ -290,10 +290,10 @@ def reach(ctx: list[bytes], first: np.ndarray, length: int) -> tuple[np.ndarray,
     return np.where(good, left, 0).max(axis=1), np.where(good, right, 0).max(axis=1)
 
 
-def _reach(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Every surrounding with its reach, also those that no other one covers: copies of it look here too."""
+def _reach(batches: Iterator[pa.RecordBatch], length: int, doc: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """Columns ``keep`` of every surrounding with its reach, also of those that no other one of an earlier ``doc`` covers."""
     for part in whole_groups(batches, "_h"):
-        h, first = part.column("_h").to_numpy(), part.column("_first").to_numpy()
+        h, first = part.column("_h").to_numpy(), part.column(doc).to_numpy()
         ctx = part.column("_ctx").to_pylist()
         left, right = np.zeros(len(h), np.int32), np.zeros(len(h), np.int32)
         cuts = group_cuts(h)
@@ -301,8 +301,8 @@ def _reach(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
             if hi - lo > 1:
                 left[lo:hi], right[lo:hi] = reach(ctx[lo:hi], first[lo:hi], length)
         yield pa.RecordBatch.from_arrays(
-            [*(part.column(c).combine_chunks() for c in ("_h", "_ctx", "_first")), pa.array(left), pa.array(right)],
-            names=["_h", "_ctx", "_first", "_left", "_right"],
+            [*(part.column(c).combine_chunks() for c in keep), pa.array(left), pa.array(right)],
+            names=[*keep, "_left", "_right"],
         )
 
 
@@ -312,19 +312,14 @@ def spelled_out(large: DataFrame, length: int) -> DataFrame:
     body = F.substring(F.col("_ctx"), F.lit(2), F.length("_ctx"))
     n = F.length("_ctx") - 1
     df = large.withColumn("_before", before).withColumn("_body", body).withColumn("_n", n).where(n >= length)
-    strings = df.select("_h", *KEY, "_first", "_before", F.explode(F.sequence(F.lit(0), F.col("_n") - length)).alias("_i"), "_body")
-    named = strings.select(
-        *KEY,
-        "_first",
-        "_before",
-        "_i",
-        *(F.xxhash64(F.lit(k), F.substring(F.col("_body"), F.col("_i") + 1, F.lit(length))).alias(f"_s{k}") for k in (1, 2)),
-        "_h",
-        (F.col("_before") - F.col("_i")).alias("_off"),
-    )
-    earliest = named.groupBy("_h", "_off", "_s1", "_s2").agg(F.min("_first").alias("_earliest"), F.max("_first").alias("_latest"))
-    hit = named.join(earliest.where("_earliest < _latest"), ["_h", "_off", "_s1", "_s2"]).where("_earliest < _first")
-    return hit.groupBy(*KEY).agg(
+    strings = df.select("_no", "_h", "_first", "_before", F.explode(F.sequence(F.lit(0), F.col("_n") - length)).alias("_i"), "_body")
+    off = F.col("_before") - F.col("_i")
+    text = F.substring(F.col("_body"), F.col("_i") + 1, F.lit(length))
+    # 128 bits name the anchor, its place in the string and the string.
+    named = strings.select(*(F.xxhash64(F.lit(k), "_h", off, text).alias(f"_s{k}") for k in (1, 2)), "_no", "_first", off.alias("_off"))
+    earliest = named.groupBy("_s1", "_s2").agg(F.min("_first").alias("_earliest"), F.max("_first").alias("_latest"))
+    hit = named.join(earliest.where("_earliest < _latest").drop("_latest"), ["_s1", "_s2"]).where("_earliest < _first")
+    return hit.groupBy("_no").agg(
         F.max("_off").cast("int").alias("_left"), F.max(F.lit(length) - F.col("_off")).cast("int").alias("_right")
     )
 
@@ -335,14 +330,23 @@ def covered(texts: DataFrame, length: int, group: int) -> DataFrame:
     ``texts``: ``_d``, ``_t`` (hash of the text) and ``_text``.
     """
     slim = texts.select("_d", "_t", "_text")
-    only = slim.select("_d", "_text")
+    only = slim.select("_text")
     send = texts.sparkSession.sparkContext.broadcast
-    bits = send(bit_map(only.mapInArrow(lambda b: _seen(b, length, None), "_g int, _d bigint")))
-    far = send(bit_map(only.mapInArrow(lambda b: _seen(b, length, bits.value), "_g int, _d bigint")))
+    bits = send(bit_map(only.mapInArrow(lambda b: _seen(b, length, None), "_g int, _n int")))
+    far = send(bit_map(only.mapInArrow(lambda b: _seen(b, length, bits.value), "_g int, _n int")))
     every = slim.mapInArrow(lambda b: _around(b, length, bits.value, far.value), "_h bigint, _d bigint, _t bigint, _at int, _ctx binary")
     # Surroundings travel as bytes; their keys are made from them where a join wants them.
     code = [F.xxhash64(F.lit(s), "_h", "_ctx").alias(f"_k{s}") for s in (1, 2)]
     places = stage(every, "places")
+    # An anchor of few places meets in one task as it is; copies among its surroundings only matter where it has many.
+    frequent = stage(places.groupBy("_h").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > group).select("_h"), "frequent")
+    direct = (
+        join_measured(places, frequent, ["_h"], "left_anti", 64)
+        .repartition("_h")
+        .sortWithinPartitions("_h")
+        .mapInArrow(lambda b: _reach(b, length, "_d", ["_d", "_t", "_at"]), "_d bigint, _t bigint, _at int, _left int, _right int")
+    )
+    places = stage(join_measured(places, frequent, ["_h"], "inner", 64), "frequent-places")
     distinct = stage(places.groupBy("_h", "_ctx").agg(F.min("_d").alias("_first")), "surroundings")
     sizes = distinct.groupBy("_h").agg(F.count(F.lit(1)).alias("_size"))
     large = stage(sizes.where(F.col("_size") > group).select("_h"), "large")
@@ -351,16 +355,19 @@ def covered(texts: DataFrame, length: int, group: int) -> DataFrame:
         .repartition("_h")
         .sortWithinPartitions("_h")
         .select("_h", "_first", "_ctx")
-        .mapInArrow(lambda b: _reach(b, length), "_h bigint, _ctx binary, _first bigint, _left int, _right int")
+        .mapInArrow(
+            lambda b: _reach(b, length, "_first", ["_h", "_ctx", "_first"]), "_h bigint, _ctx binary, _first bigint, _left int, _right int"
+        )
         .select(*code, "_first", "_left", "_right")
     )
-    often = join_measured(distinct, large, ["_h"], "inner", 64).select("*", *code)
-    often = often.select(*KEY, "_first").join(spelled_out(often, length), KEY, "left")
+    often = join_measured(distinct, large, ["_h"], "inner", 64).withColumn("_no", F.monotonically_increasing_id())
+    often = stage(often.select("_no", "_h", "_ctx", "_first"), "often")
+    often = often.select("_no", *code, "_first").join(spelled_out(often, length), "_no", "left")
     reached = compared.union(often.select(*KEY, "_first", "_left", "_right"))
     size = F.least(F.lit(length), F.length("_ctx") - 1 - F.ascii(F.substring("_ctx", 1, 1).cast("string")))
     # A later document with the same surroundings is covered as far as they hold a whole string.
     whole = F.when(F.length("_ctx") > length, F.struct(F.ascii(F.substring("_ctx", 1, 1).cast("string")).alias("l"), size.alias("r")))
-    return (
+    repeated = (
         places.select(*code, "_d", "_t", "_at", whole.alias("_whole"))
         .join(reached, KEY)
         .select(
@@ -370,8 +377,8 @@ def covered(texts: DataFrame, length: int, group: int) -> DataFrame:
             F.when(F.col("_d") > F.col("_first"), F.col("_whole.l")).otherwise(F.col("_left")).alias("_left"),
             F.when(F.col("_d") > F.col("_first"), F.col("_whole.r")).otherwise(F.col("_right")).alias("_right"),
         )
-        .where("_right > 0")
     )
+    return direct.union(repeated).where("_right > 0")
 
 
 def _digest(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -385,9 +392,9 @@ def _digest(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
                 rows.append((len(t), len(t), 1, hashlib.sha256(b"").hexdigest()))
                 continue
             kept, at, removed, runs = [], 0, 0, 0
-            for a, b in merged(spans[k] or []):
-                kept.append(t[at:a])
-                at, removed, runs = b, removed + b - a, runs + 1
+            for s in spans[k] or []:
+                kept.append(t[at : s["a"]])
+                at, removed, runs = s["b"], removed + s["b"] - s["a"], runs + 1
             kept.append(t[at:])
             rows.append((len(t), removed, runs, hashlib.sha256(b"".join(kept)).hexdigest()))
         n, removed, runs, sha = zip(*rows) if rows else ((), (), (), ())
@@ -397,14 +404,28 @@ def _digest(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         )
 
 
-def merged(spans: list[dict]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted((s["a"], s["b"]) for s in spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans in order, those that touch as one."""
+    for batch in batches:
+        spans = batch.column("_spans")
+        cut = spans.offsets.to_numpy()
+        a, b = (spans.values.field(c).to_numpy()[cut[0] : cut[-1]].astype(np.int64) for c in "ab")
+        # A row's spans lie behind those of the rows before it.
+        base = np.repeat(np.arange(len(spans), dtype=np.int64) << 32, np.diff(cut))
+        order = np.argsort(base + a, kind="stable")
+        a, b = (base + a)[order], np.maximum.accumulate((base + b)[order])
+        first = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]])[: len(a)])
+        last = np.append(first[1:], len(a))[: len(first)] - 1
+        a, b = (pa.array((x & 0xFFFFFFFF).astype(np.int32)) for x in (a[first], b[last]))
+        rows = np.searchsorted(base[order][first], np.arange(len(spans) + 1, dtype=np.int64) << 32)
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("_d"),
+                batch.column("_t"),
+                pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.StructArray.from_arrays([a, b], names=["a", "b"])),
+            ],
+            names=["_d", "_t", "_spans"],
+        )
 
 
 def removed(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
@@ -415,15 +436,16 @@ def removed(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFr
     firsts = rows.where(long).groupBy(*KEY).agg(F.min("_d").alias("_first"), F.count(F.lit(1)).alias("_n"))
     copies = stage(firsts.where("_n > 1").select(*KEY, "_first"), "copies")
     known = join_measured(rows, copies, KEY, "left", 64).withColumn("_copy", F.coalesce(F.col("_d") > F.col("_first"), F.lit(False)))
-    alone = known.where(~F.col("_copy") & long).withColumnRenamed("_k1", "_t")
+    # The hash of a text tells it from others under its id, where there are any.
+    several = not rows.groupBy("_d").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty()
+    name = F.col("_k1") if several else F.lit(0).cast("long")
+    alone = known.where(~F.col("_copy") & long).withColumn("_t", name)
     found = covered(alone, length, group)
-    spans = stage(
-        found.groupBy("_d", "_t").agg(
-            F.collect_set(F.struct((F.col("_at") - F.col("_left")).alias("a"), (F.col("_at") + F.col("_right")).alias("b"))).alias("_spans")
-        ),
-        "spans",
+    spans = found.groupBy("_d", "_t").agg(
+        F.collect_set(F.struct((F.col("_at") - F.col("_left")).alias("a"), (F.col("_at") + F.col("_right")).alias("b"))).alias("_spans")
     )
-    out = join_measured(known.withColumnRenamed("_k1", "_t"), spans, ["_d", "_t"], "left", 80 + 16 * F.size("_spans"))
+    spans = stage(spans.mapInArrow(_merged, "_d bigint, _t bigint, _spans array<struct<a:int,b:int>>"), "spans")
+    out = join_measured(known.withColumn("_t", name), spans, ["_d", "_t"], "left", 80 + 16 * F.size("_spans"))
     kind = dict(docs.dtypes)["doc_id"]
     return out.select("doc_id", "_text", "_copy", F.when(~F.col("_copy"), F.col("_spans")).alias("_spans")).mapInArrow(
         lambda b: _digest(b, length), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
