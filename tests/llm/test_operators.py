@@ -6,6 +6,7 @@ import random
 import textwrap
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -113,6 +114,41 @@ def test_suffix_dedup_is_exact(spark, group):
     assert {r[0]: (r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got} == want
 
 
+def test_surroundings_hold_the_strings_that_name_their_anchor():
+    text = (prose(3, 400) + "xyxyxyxyxy" * 30).encode()
+    batch = pa.RecordBatch.from_pydict({"_d": [7], "_t": [0], "_text": pa.array([text.decode()])})
+    every = np.full(2 ** (suffix_dedup.MAP_BITS - 6), 2**64 - 1, np.uint64)
+    rows = [r for b in suffix_dedup._around(iter([batch]), 50, every, every) for r in b.to_pylist()]
+    named = [set() for _ in range(len(text) - 49)]
+    for r in rows:
+        first = r["_at"] - r["_ctx"][0]
+        assert r["_ctx"][1:] == text[first : first + len(r["_ctx"]) - 1]
+        for p in range(first, first + len(r["_ctx"]) - 50):
+            named[p].add(r["_h"])
+    # Every string travels, with one anchor's surroundings: not with those of its neighbours too.
+    assert all(len(x) == 1 for x in named)
+
+
+def test_equal_surroundings_do_not_travel(spark):
+    same, left = prose(11, 60), prose(12, 60)
+    rows = [(d, left[d : d + 40] + same) for d in (4, 2, 9)]
+    batch = pa.RecordBatch.from_pydict({"_d": [d for d, _ in rows], "_t": [0] * 3, "_text": [t for _, t in rows]})
+    every = np.full(2 ** (suffix_dedup.MAP_BITS - 6), 2**64 - 1, np.uint64)
+    places = pa.Table.from_batches(suffix_dedup._around(iter([batch]), 50, every, every)).to_pandas().sort_values("_h", kind="stable")
+    before = places["_ctx"].map(lambda c: c[0])
+    places["_left"], places["_right"] = before.astype("int32"), (places["_ctx"].map(len) - 1 - before).astype("int32")
+    mixed = np.zeros(2 ** (suffix_dedup.MAP_BITS - 6), np.uint64)
+    for h, g in places.groupby("_h")["_ctx"]:
+        if g.nunique() > 1:
+            s = int(h) & (2**suffix_dedup.MAP_BITS - 1)
+            mixed[s >> 6] |= np.uint64(1 << (s & 63))
+    whole = pa.RecordBatch.from_pandas(places, preserve_index=False)
+    (slim,) = suffix_dedup._needed(iter([whole]), mixed)
+    assert 0 < slim.column("_ctx").null_count < len(places)
+    reached = lambda b: [r for x in suffix_dedup._reach(iter([b]), 50, "_d", ["_d", "_at"]) for r in x.to_pylist()]
+    assert reached(slim) == reached(whole.drop_columns(["_left", "_right"]))
+
+
 def test_spans_are_merged_before_they_meet_the_texts():
     rng = random.Random(8)
     spans = [[{"a": (a := rng.randrange(200)), "b": a + rng.randint(1, 9)} for _ in range(rng.randint(0, 30))] for _ in range(50)]

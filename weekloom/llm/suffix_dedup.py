@@ -5,8 +5,9 @@
    of ``GRAM`` bytes. Equal strings name equal places, so they meet at one such anchor. Anchors of two
    documents or more set a bit in a map of fixed size. A string reaches half its spare bytes beyond the
    anchor on one side at least, so anchors in the map are looked up once more, longer by that half to the left
-   and to the right; those of which either form stands in two documents go on, each with the bytes around it
-   that its strings can reach.
+   and to the right; those of which either form stands in two documents go on, each with the bytes of the
+   strings that name it. These bytes travel only for anchors that have several such surroundings; of the others
+   every place but those of the first document is covered as far as they reach.
 3. Per anchor the surroundings are ordered to the right and, reversed, to the left by a deep-shallow
    sort: multikey quicksort on the first ``SHALLOW`` bytes, then a blind trie for each group that is still
    equal. The common prefix lengths of neighbours give those of all pairs, and a pair of which left and right
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ LENGTH = 50
 GRAM = 20
 SHALLOW = 8
 GROUP = 256
-#: The bit map of shared anchors has 2**27 bits, 16 MB.
+#: A bit map of anchors has 2**27 bits, 16 MB.
 MAP_BITS = 27
 FIRST = -(2**63)
 
@@ -62,17 +64,30 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return out
 
 
-def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of one text that some string of ``length`` bytes names, and their hashes."""
+def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of one text that some string of ``length`` bytes names, their hashes, and the hash each string names."""
     if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     h = gram_hashes(data, GRAM)
     w = length - GRAM + 1
     low = sliding(h, w, np.minimum)
     pad = np.zeros(w - 1, np.uint64)
     named = sliding(np.concatenate([pad, low, pad]), w, np.maximum) == h
     at = np.flatnonzero(named)
-    return at, h[at]
+    return at, h[at], low
+
+
+def named_by(at: np.ndarray, h: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the first and the last string that name each anchor. Those between do too: no smaller hash stands
+    between the anchor and either end."""
+    first, last = np.zeros_like(at), np.zeros_like(at)
+    for k in range(0, len(at), 16384):
+        part = slice(k, k + 16384)
+        start = at[part, None] - np.arange(width)
+        hit = (low[np.clip(start, 0, len(low) - 1)] == h[part, None]) & (start >= 0) & (start < len(low))
+        last[part] = at[part] - hit.argmax(axis=1)
+        first[part] = at[part] - (width - 1 - hit[:, ::-1].argmax(axis=1))
+    return first, last
 
 
 def longer(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +108,7 @@ def _seen(batches: Iterator[pa.RecordBatch], length: int, bits: np.ndarray | Non
     texts of a slice have it."""
 
     def codes(data: np.ndarray) -> np.ndarray:
-        at, h = anchors(data, length)
+        at, h, _ = anchors(data, length)
         return short(h) if bits is None else np.concatenate(longer(data, at[known(bits, short(h))], length))
 
     for batch in batches:
@@ -113,18 +128,25 @@ def slot(g: np.ndarray) -> np.ndarray:
     return (g.view(np.uint32) >> np.uint32(32 - MAP_BITS)).astype(np.int64)
 
 
-def known(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
-    s = slot(g)
+def is_set(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
     return ((bits[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
 
 
-def bit_map(seen: DataFrame) -> np.ndarray:
-    """Bits of what stands in two texts: a filter of fixed size, whatever the corpus. What it lets through by
-    chance, or as texts of one document, is sorted out by the exact steps behind it."""
-    shared = seen.groupBy("_g").agg(F.sum("_n").alias("_texts")).where("_texts > 1")
+def known(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
+    return is_set(bits, slot(g))
+
+
+def shared(seen: DataFrame) -> DataFrame:
+    """Places in the bit map of what stands in two texts."""
+    found = seen.groupBy("_g").agg(F.sum("_n").alias("_texts")).where("_texts > 1")
+    return found.select(F.shiftrightunsigned("_g", 32 - MAP_BITS).alias("_slot"))
+
+
+def bit_map(slots: DataFrame) -> np.ndarray:
+    """Bits of ``_slot``: a filter of fixed size, whatever the corpus. What it lets through by chance, or as texts of
+    one document, is sorted out by the exact steps behind it."""
     rows = (
-        shared.select(F.shiftrightunsigned("_g", 32 - MAP_BITS).alias("_slot"))
-        .groupBy(F.shiftrightunsigned("_slot", 6).alias("_word"))
+        slots.groupBy(F.shiftrightunsigned("_slot", 6).alias("_word"))
         .agg(F.expr("bit_or(shiftleft(1L, _slot & 63))").alias("_bits"))
         .toArrow()
     )
@@ -136,24 +158,22 @@ def bit_map(seen: DataFrame) -> np.ndarray:
 def _around(
     batches: Iterator[pa.RecordBatch], length: int, bits: np.ndarray, far: np.ndarray
 ) -> Iterator[pa.RecordBatch]:
-    """Every place of an anchor that both bit maps know, with the bytes around it."""
-    left = length - GRAM
+    """Every place of an anchor that both bit maps know, with the bytes of the strings that name it."""
     for batch in batches:
         docs, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_d", "_t"))
         for at, part in passes(batch.column("_text")):
             hs, ds, ts, ps, ctx = [], [], [], [], []
             for k, t in enumerate(part):
                 data = np.frombuffer(t, np.uint8)
-                place, h = anchors(data, length)
+                place, h, low = anchors(data, length)
                 keep = known(bits, short(h))
                 place, h = place[keep], h[keep]
                 before, behind = longer(data, place, length)
                 keep = known(far, before) | known(far, behind)
                 place, h = place[keep], h[keep]
-                for p in place.tolist():
-                    # The first byte says how many bytes stand before the anchor.
-                    a = max(0, p - left)
-                    ctx.append(bytes((p - a,)) + t[a : p + length])
+                first, last = named_by(place, h, low, length - GRAM + 1)
+                # The first byte says how many bytes stand before the anchor.
+                ctx += [bytes((p - a,)) + t[a : b + length] for p, a, b in zip(place.tolist(), first.tolist(), last.tolist())]
                 hs.append(h)
                 ps.append(place)
                 ds.append(np.full(len(h), docs[at + k]))
@@ -171,6 +191,15 @@ def _around(
                 )
 
 
+def _needed(batches: Iterator[pa.RecordBatch], mixed: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Places without surroundings where their anchor has the same everywhere."""
+    for batch in batches:
+        s = batch.column("_h").to_numpy() & (2**MAP_BITS - 1)
+        ctx = batch.column("_ctx")
+        ctx = pc.if_else(pa.array(is_set(mixed, s)), ctx, pa.scalar(None, ctx.type))
+        yield batch.set_column(batch.schema.get_field_index("_ctx"), "_ctx", ctx)
+
+
 def common_prefix(a: bytes, b: bytes) -> int:
     n = min(len(a), len(b))
     if a[:n] == b[:n]:
@@ -291,14 +320,20 @@ def reach(ctx: list[bytes], first: np.ndarray, length: int) -> tuple[np.ndarray,
 
 
 def _reach(batches: Iterator[pa.RecordBatch], length: int, doc: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
-    """Columns ``keep`` of every surrounding with its reach, also of those that no other one of an earlier ``doc`` covers."""
+    """Columns ``keep`` of every surrounding with its reach, also of those that no other one of an earlier ``doc`` covers.
+
+    Without ``_ctx`` an anchor's surroundings are the same, and reach as far as ``_left`` and ``_right`` say.
+    """
     for part in whole_groups(batches, "_h"):
         h, first = part.column("_h").to_numpy(), part.column(doc).to_numpy()
         ctx = part.column("_ctx").to_pylist()
         left, right = np.zeros(len(h), np.int32), np.zeros(len(h), np.int32)
         cuts = group_cuts(h)
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            if hi - lo > 1:
+        if "_left" in part.column_names:
+            later = first > np.repeat(np.minimum.reduceat(first, cuts[:-1]), np.diff(cuts))
+            left, right = (np.where(later, part.column(c).to_numpy(), 0).astype(np.int32) for c in ("_left", "_right"))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if hi - lo > 1 and ctx[lo] is not None:
                 left[lo:hi], right[lo:hi] = reach(ctx[lo:hi], first[lo:hi], length)
         yield pa.RecordBatch.from_arrays(
             [*(part.column(c).combine_chunks() for c in keep), pa.array(left), pa.array(right)],
@@ -332,16 +367,26 @@ def covered(texts: DataFrame, length: int, group: int) -> DataFrame:
     slim = texts.select("_d", "_t", "_text")
     only = slim.select("_text")
     send = texts.sparkSession.sparkContext.broadcast
-    bits = send(bit_map(only.mapInArrow(lambda b: _seen(b, length, None), "_g int, _n int")))
-    far = send(bit_map(only.mapInArrow(lambda b: _seen(b, length, bits.value), "_g int, _n int")))
+    bits = send(bit_map(shared(only.mapInArrow(lambda b: _seen(b, length, None), "_g int, _n int"))))
+    far = send(bit_map(shared(only.mapInArrow(lambda b: _seen(b, length, bits.value), "_g int, _n int"))))
     every = slim.mapInArrow(lambda b: _around(b, length, bits.value, far.value), "_h bigint, _d bigint, _t bigint, _at int, _ctx binary")
     # Surroundings travel as bytes; their keys are made from them where a join wants them.
     code = [F.xxhash64(F.lit(s), "_h", "_ctx").alias(f"_k{s}") for s in (1, 2)]
     places = stage(every, "places")
     # An anchor of few places meets in one task as it is; copies among its surroundings only matter where it has many.
-    frequent = stage(places.groupBy("_h").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > group).select("_h"), "frequent")
+    ctx = F.xxhash64("_ctx")
+    kinds = places.groupBy("_h").agg(F.count(F.lit(1)).alias("_size"), (F.min(ctx) < F.max(ctx)).alias("_mixed"))
+    kinds = stage(kinds.where(F.col("_mixed") | (F.col("_size") > group)), "anchor-kinds")
+    frequent = kinds.where(F.col("_size") > group).select("_h")
+    slots = kinds.where(F.col("_size") <= group).select(F.col("_h").bitwiseAND(F.lit(2**MAP_BITS - 1)).alias("_slot"))
+    mixed = send(bit_map(slots))
+    before = F.ascii(F.substring("_ctx", 1, 1).cast("string"))
     direct = (
         join_measured(places, frequent, ["_h"], "left_anti", 64)
+        .select("*", before.alias("_left"), (F.length("_ctx") - 1 - before).alias("_right"))
+        .mapInArrow(
+            lambda b: _needed(b, mixed.value), "_h bigint, _d bigint, _t bigint, _at int, _ctx binary, _left int, _right int"
+        )
         .repartition("_h")
         .sortWithinPartitions("_h")
         .mapInArrow(lambda b: _reach(b, length, "_d", ["_d", "_t", "_at"]), "_d bigint, _t bigint, _at int, _left int, _right int")
