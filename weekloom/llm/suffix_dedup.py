@@ -353,7 +353,9 @@ def spelled_out(large: DataFrame, length: int) -> DataFrame:
     # 128 bits name the anchor, its place in the string and the string.
     named = strings.select(*(F.xxhash64(F.lit(k), "_h", off, text).alias(f"_s{k}") for k in (1, 2)), "_no", "_first", off.alias("_off"))
     earliest = named.groupBy("_s1", "_s2").agg(F.min("_first").alias("_earliest"), F.max("_first").alias("_latest"))
-    hit = named.join(earliest.where("_earliest < _latest").drop("_latest"), ["_s1", "_s2"]).where("_earliest < _first")
+    # Strings of several documents are few beside those that run out of a common passage into a text of its own.
+    several = stage(earliest.where("_earliest < _latest").drop("_latest"), "strings-of-several")
+    hit = join_measured(named, several, ["_s1", "_s2"], "inner", 64).where("_earliest < _first")
     return hit.groupBy("_no").agg(
         F.max("_off").cast("int").alias("_left"), F.max(F.lit(length) - F.col("_off")).cast("int").alias("_right")
     )
