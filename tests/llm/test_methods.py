@@ -240,6 +240,73 @@ def test_near_passages_are_found(spark):
     assert all(got[k]["n_dup_words"] == 0 for k in range(200))
 
 
+def test_passages_behind_quotes_before_and_between(spark):
+    """Each part of a passage is quoted by texts before both of its holders and by texts between them."""
+    quotes, holders, later = ([], []), [], []
+    for k in range(30):
+        words = prose(45000 + k, 60).split()
+        for side, own in enumerate(quotes):
+            for j in range(3):
+                n = 46000 + 100 * k + 10 * side + j
+                own.append(f"{prose(n, 40)} {' '.join(words[20 * j : 20 * j + 20])} {prose(n + 5, 40)}")
+        holders.append(f"{prose(50000 + k, 50)} {' '.join(words)} {prose(50500 + k, 50)}")
+        later.append(f"{prose(51000 + k, 30)} {' '.join(words)} {prose(51500 + k, 60)}")
+    got = dup_words(spark, [*quotes[0], *holders, *quotes[1], *later])
+    n = len(got)
+    assert [got[i]["n_dup_words"] for i in range(n - 30, n)] == [60] * 30
+    assert all(got[i]["n_dup_words"] == 0 for i in range(n - 30))
+
+
+def test_passage_of_one_holder_among_many_quotes(spark):
+    """Hundreds of texts quote the parts; only the one in their midst holds the passage."""
+    words = prose(52000, 60).split()
+    quotes = [f"{prose(53000 + j, 40)} {' '.join(words[20 * (j % 3) : 20 * (j % 3) + 20])} {prose(54000 + j, 40)}" for j in range(300)]
+    holder = f"{prose(55000, 40)} {' '.join(words)} {prose(55001, 40)}"
+    got = dup_words(spark, [*quotes[:150], holder, *quotes[150:], f"{prose(55002, 40)} {' '.join(words)} {prose(55003, 40)}"])
+    assert got[301]["n_dup_words"] == 60 and {p["other"] for p in got[301]["passages"]} == {150}
+    assert all(got[i]["n_dup_words"] == 0 for i in range(301))
+
+
+def test_passages_equal_plain_loops(spark):
+    """Every word of a passage with any earlier text, on texts mixed from few sources with changed words."""
+    cfg = substring_dedup.Passages()
+    rng = random.Random(23)
+    sources = [prose(60000 + k, 130).split() for k in range(3)]
+    rows = []
+    for d in range(140):
+        words = prose(61000 + d, rng.randint(0, 30)).split()
+        for _ in range(rng.randint(1, 3)):
+            lo = rng.randrange(90)
+            part = rng.choice(sources)[lo : lo + rng.randint(15, 100)]
+            words += [w if rng.random() > 0.03 else f"x{rng.randrange(10**6)}" for w in part] + prose(62000 + rng.randrange(10**4), 4).split()
+        rows.append((None if d == 0 else d - d % 7 if d % 7 == 1 else d, " ".join(words)))
+    rows.append((200, f"{'same ' * 70}"))
+    rows.append((201, f"{prose(63000, 60)} {'same ' * 60}"))
+    size = cfg.words - cfg.shingle + 1
+    texts, want = [], {}
+    for d, text in rows:
+        w = text.split()
+        texts.append((-1 if d is None else d, [tuple(w[i : i + cfg.shingle]) for i in range(len(w) - cfg.shingle + 1)], len(w)))
+    held = [(e, set(theirs), many) for e, theirs, many in texts]
+    for d, mine, n in texts:
+        inside = np.zeros(n, bool)
+        for e, theirs, many in held:
+            if e < d and many >= cfg.words and n >= cfg.words:
+                hit = np.array([x in theirs for x in mine])
+                sums = np.concatenate([[0], np.cumsum(hit)])
+                for lo in np.flatnonzero(hit):
+                    hi = np.flatnonzero(hit) + 1
+                    hi = hi[(hi - lo >= size) & (100 * (sums[hi] - sums[lo]) >= cfg.percent * (hi - lo))]
+                    if len(hi):
+                        inside[lo : hi[-1] + cfg.shingle - 1] = True
+        want.setdefault((d, n), []).append(int(inside.sum()))
+    got = {}
+    for r in substring_dedup.find(spark.createDataFrame(rows, DOCS)).collect():
+        got.setdefault((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"]), []).append(r["n_dup_words"])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert sum(map(sum, want.values())) > 1000
+
+
 @pytest.mark.parametrize("table", ["sf0.001", "sf0.01"])
 def test_repeated_passages_equal_brute_force(spark, table):
     """Every word of a 50-word string that an earlier text holds is inside a passage."""
