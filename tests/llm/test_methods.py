@@ -302,6 +302,10 @@ def test_passages_equal_plain_loops(spark):
         want.setdefault((d, n), []).append(int(inside.sum()))
     got = {}
     for r in substring_dedup.find(spark.createDataFrame(rows, DOCS)).collect():
+        ends: dict = {}
+        for p in r["passages"]:
+            assert p["last"] > ends.get(p["other"], -1), "one contains another"
+            ends[p["other"]] = p["last"]
         got.setdefault((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"]), []).append(r["n_dup_words"])
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
     assert sum(map(sum, want.values())) > 1000
